@@ -24,7 +24,6 @@ from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .distributed import exact_quantiles, lookup_join, materialize, scratch_root
 from .folds import inner_folds
@@ -91,9 +90,9 @@ def model(name: str, params: Mapping, n: float, n_features: int, seed: int = 42,
 
 def assemble(long: DataFrame, genes: Sequence[str], keep: Sequence[str] = ("sample_id",)) -> DataFrame:
     """Feature vectors of the selected genes, in their given order; a sample has at most one row per gene."""
-    slots = F.create_map(*[x for i, g in enumerate(genes) for x in (F.lit(g), F.lit(i))])
-    cells = long.withColumn("_slot", slots[F.col("gene")]).filter(F.col("_slot").isNotNull())
-    rows = cells.groupBy(*keep).agg(F.sort_array(F.collect_list(F.struct("_slot", "value"))).alias("_cells"))
+    slots = long.sparkSession.createDataFrame([(g, i) for i, g in enumerate(genes)], "gene string, _slot int")
+    # The list of selected genes sits on the driver and is capped by the selection, so it may be broadcast.
+    rows = long.join(F.broadcast(slots), "gene").groupBy(*keep).agg(F.sort_array(F.collect_list(F.struct("_slot", "value"))).alias("_cells"))
     return rows.withColumn("features", array_to_vector(F.transform("_cells", lambda c: c["value"]))).drop("_cells")
 
 
@@ -222,9 +221,7 @@ def feature_summary(original: int, stats: DataFrame, selected: DataFrame) -> Dat
     )
 
 
-PREDICTIONS = T.StructType.fromDDL(
-    "sample_id string, patient_id string, outer_fold int, seed int, model_name string, y_true int, y_prob double, y_pred int"
-)
+PREDICTIONS = ("sample_id", "patient_id", "outer_fold", "seed", "model_name", "y_true", "y_prob", "y_pred")
 
 
 def oof_predict(
@@ -272,7 +269,7 @@ def oof_predict(
                 tags = {"seed": F.lit(seed), "model_name": F.lit(name)}
                 scored = scores_of(fitted, test, ["sample_id", "patient_id", "outer_fold"]).withColumns(tags)
                 scored = scored.withColumn("y_pred", (F.col("y_prob") >= 0.5).cast("int"))
-                scored.select(*PREDICTIONS.fieldNames()).write.mode("append").parquet(out["predictions"])
+                scored.select(*PREDICTIONS).write.mode("append").parquet(out["predictions"])
                 tags["outer_fold"] = F.lit(fold)
                 best = json.dumps(params, sort_keys=True)
                 log.withColumns(tags | {"best_params_json": F.lit(best)}).write.mode("append").parquet(out["log"])

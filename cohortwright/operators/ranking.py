@@ -290,23 +290,28 @@ def perturb_with_model(
     """The same swap for any classifier: one array slot is replaced and the model scores the row again.
 
     ``vectors`` is ``(sample_id, <label>, features)`` with ``genes`` naming the slots; ``candidates``
-    is ``(gene, reference_0, reference_1)``, bounded by the pre-selection. ``logit_shift`` is the
-    change of the log odds where the probabilities allow it.
+    is ``(gene, reference_0, reference_1)``, bounded by the pre-selection.
     """
-    slots = F.create_map(*[x for i, g in enumerate(genes) for x in (F.lit(g), F.lit(i))])
+    slot = {g: i for i, g in enumerate(genes)}
     picks = candidates.filter(F.col("gene").isin(*genes)).select("gene", "reference_0", "reference_1").collect()
     if not picks:
         raise ValueError("No candidate gene is a feature of the model")
     options = F.array(
-        *[F.struct(F.lit(r[0]).alias("gene"), F.lit(r[1]).alias("r0"), F.lit(r[2]).alias("r1")) for r in picks]
+        *[
+            F.struct(
+                F.lit(r[0]).alias("gene"), F.lit(slot[r[0]]).alias("slot"), F.lit(r[1]).alias("r0"),
+                F.lit(r[2]).alias("r1"),
+            )
+            for r in picks
+        ]
     )
     base = model.transform(vectors).select(
         "sample_id", label, vector_to_array("features").alias("_x"),
         vector_to_array("probability")[1].alias("original_prob"),
     )
-    swapped = base.withColumn("_o", F.explode(options)).withColumn("_slot", slots[F.col("_o.gene")])
+    swapped = base.withColumn("_o", F.explode(options))
     ref = F.when(F.col(label) == 1, F.col("_o.r0")).otherwise(F.col("_o.r1"))
-    moved = F.transform("_x", lambda v, i: F.when(i == F.col("_slot"), ref).otherwise(v))
+    moved = F.transform("_x", lambda v, i: F.when(i == F.col("_o.slot"), ref).otherwise(v))
     again = model.transform(swapped.withColumn("features", array_to_vector(moved)))
     return again.select(
         "sample_id", label, F.col("_o.gene").alias("gene"), "original_prob",
