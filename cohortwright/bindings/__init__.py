@@ -1,5 +1,5 @@
 """Queries over the driver tables: one per operator, each with the SQL that must give the same rows."""
 
-from . import keys_joins
+from . import keys_joins, metadata_prep
 
-BOOKS = (keys_joins.book,)
+BOOKS = (keys_joins.book, metadata_prep.book)
