@@ -165,11 +165,11 @@ FROM (
 
 
 def run_weights(d) -> str:
-    """Signed weight of every part (gene) in every run."""
+    """Signed weight of every part (gene) in every run; binary fractions, so that sums are exact."""
     return f"""
 SELECT CAST(l_linenumber % 2 + 1 AS INT) AS seed, CAST(l_orderkey % 5 + 1 AS INT) AS outer_fold,
-       'g' || CAST(l_partkey AS STRING) AS gene, l_discount - CAST(0.04 AS DOUBLE) AS gate_weight,
-       abs(l_discount - CAST(0.04 AS DOUBLE)) AS abs_gate_weight,
+       'g' || CAST(l_partkey AS STRING) AS gene, CAST(round(l_discount * 100) - 4 AS DOUBLE) / 128 AS gate_weight,
+       abs(CAST(round(l_discount * 100) - 4 AS DOUBLE) / 128) AS abs_gate_weight,
        CASE WHEN l_partkey % 10 = l_suppkey % 10 THEN 1 ELSE 0 END AS selected_flag
 FROM {{lineitem}}"""
 
@@ -189,8 +189,8 @@ def pert(d) -> str:
     return f"""
 SELECT 'o' || CAST(l_orderkey AS STRING) AS sample_id, CAST(l_linenumber % 2 + 1 AS INT) AS seed,
        CAST(l_orderkey % 5 + 1 AS INT) AS outer_fold, CAST(l_orderkey % 2 AS INT) AS disease_label,
-       'g' || CAST(l_partkey AS STRING) AS gene, l_tax - CAST(0.04 AS DOUBLE) AS logit_shift,
-       CAST({d.h("'5:' || CAST(l_orderkey AS STRING) || ':' || CAST(l_partkey AS STRING)")} % 201 - 100 AS DOUBLE) / 1000
+       'g' || CAST(l_partkey AS STRING) AS gene, CAST(round(l_tax * 100) - 4 AS DOUBLE) / 128 AS logit_shift,
+       CAST({d.h("'5:' || CAST(l_orderkey AS STRING) || ':' || CAST(l_partkey AS STRING)")} % 201 - 100 AS DOUBLE) / 1024
          AS delta_prob
 FROM {{lineitem}}"""
 
