@@ -154,13 +154,14 @@ def grid_search(
         fit, valid = sets[fold]
         fitted = model(name, grid[index], sizes[fold], width, seed, label).fit(fit)
         tags = {"candidate_index": F.lit(index + 1), "inner_fold": F.lit(fold)}
-        scores_of(fitted, valid, [], label).withColumns(tags).write.mode("append").parquet(path)
+        # A folder per fit: concurrent jobs must not commit into the same one.
+        scores_of(fitted, valid, [], label).withColumns(tags).write.parquet(f"{path}/fit_{index}_{fold}")
 
     with ThreadPoolExecutor(DRIVER_THREADS) as pool:
         list(pool.map(one, [(i, f) for i in range(len(grid)) for f in sets]))
     for fit, _ in sets.values():
         fit.unpersist()
-    best, log = choose(spark.read.parquet(path), grid)
+    best, log = choose(spark.read.parquet(f"{path}/fit_*"), grid)
     return model(name, grid[best], train.count(), width, seed, label).fit(train), grid[best], log
 
 
