@@ -13,6 +13,7 @@ from cohortwright.functions.hashing import stable_hash
 from .distributed import number_by_hash
 from .metadata import COMPLETENESS_FIELDS
 
+NESTED_LEVELS = 1000
 ENVIRONMENTS = ("env_sex", "env_smoking", "env_histology", "env_stage", "env_country_or_region")
 
 
@@ -89,8 +90,10 @@ def cohort_summary(
 ) -> DataFrame:
     """The nested one-row summary of a cohort build.
 
-    ``matched`` names the counts of matched samples. Each map is keyed by a category of bounded
-    cardinality (reasons, fields, levels, folds).
+    ``matched`` names the counts of matched samples. The maps are keyed by reasons, fields, folds and
+    levels. Free-text environments can have any number of levels: ``environment_levels`` counts them
+    for every column, and the nested counts list the columns with at most ``NESTED_LEVELS`` of them
+    (``category_counts`` is the full table).
     """
 
     def entries(df: DataFrame, key: str, value: Column | str) -> Column:
@@ -103,7 +106,10 @@ def cohort_summary(
         F.count_distinct("patient_id").alias("unique_patient_count"),
     )
     reasons = excluded_by_reason(excluded).agg(entries(excluded_by_reason(excluded), "exclusion_reason", "n").alias("m"))
-    levels = category_counts(cohort).groupBy("column").agg(entries(category_counts(cohort), "level", "n").alias("m"))
+    by_level = category_counts(cohort)
+    sizes = by_level.groupBy("column").agg(F.count("*").alias("levels"))
+    short = by_level.join(sizes.filter(F.col("levels") <= NESTED_LEVELS), "column", "left_semi")
+    levels = short.groupBy("column").agg(entries(short, "level", "n").alias("m"))
     environments = levels.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("column", F.to_json("m").alias("j"))))).alias("m"))
     per_fold = fold_distribution(folds).withColumn("c", F.struct("label_0", "label_1"))
     fields = available_counts(everything)
@@ -116,6 +122,7 @@ def cohort_summary(
         reasons.scalar().alias("excluded_sample_counts_by_reason"),
         fields.agg(entries(fields, "field", "available")).scalar().alias("available_confounder_counts"),
         environments.scalar().alias("environment_category_counts"),
+        sizes.agg(entries(sizes, "column", "levels")).scalar().alias("environment_levels"),
         per_fold.agg(entries(per_fold, "outer_fold", "c")).scalar().alias("fold_distribution"),
     )
 
