@@ -20,8 +20,7 @@ def _candidates(spark, sf):
 
 @book.add("k1_pick_representative", sql(f"SELECT sample_id, patient_id, disease_label, r = 1 AS representative_selected, CASE WHEN r > 1 THEN 'duplicate_' || disease_label_name || '_sample_within_patient' END AS exclusion_reason FROM ({BEST})", ints="disease_label"))
 def k1(spark, sf):
-    kept, rest = cohort.pick_representative(_candidates(spark, sf))
-    return kept.unionByName(rest).select("sample_id", "patient_id", "disease_label", "representative_selected", "exclusion_reason")
+    return cohort.mark_representatives(_candidates(spark, sf)).select("sample_id", "patient_id", "disease_label", "representative_selected", "exclusion_reason")
 
 
 @book.add("k1_duplicate_patients", sql("SELECT count(*) FILTER (WHERE n > 1) AS duplicate_patient_count, sum(n - c) AS duplicate_sample_reductions FROM (SELECT patient_id, count(*) AS n, count(DISTINCT disease_label_name) AS c FROM samples WHERE disease_label IS NOT NULL GROUP BY 1)", ints="duplicate_sample_reductions"))

@@ -295,9 +295,9 @@ boot AS (SELECT n.gene, g.it AS iteration, 0.30::DOUBLE * attribution_score + 0.
   FROM normalized n CROSS JOIN (SELECT unnest(generate_series(0, {N_BOOT - 1})) AS it) g LEFT JOIN resampled s ON n.gene = s.gene AND g.it = s.it)"""
 
 
-def _boot(spark, sf) -> DataFrame:
+def _boot(spark, sf, draw=r.bootstrap_scores) -> DataFrame:
     scores = materialize(_run_scores(spark, sf))
-    return r.bootstrap(_composed(spark, sf, scores), scores, N_BOOT)
+    return draw(_composed(spark, sf, scores), scores, N_BOOT)
 
 
 @book.add("r21_draw_table", sql(f"WITH scores AS (SELECT DISTINCT seed, outer_fold FROM run_weights), runs AS ({RUNS}) SELECT it AS iteration, seed, outer_fold, count(*) AS draws FROM (SELECT it, {Duck.h("'42:' || it || ':' || d")} % n AS i FROM (SELECT DISTINCT n FROM runs), unnest(generate_series(0, {N_BOOT - 1})) AS a(it), unnest(generate_series(0, n - 1)) AS b(d)) p JOIN runs ON p.i = runs.i GROUP BY 1, 2, 3", ints="seed outer_fold"))
@@ -307,7 +307,7 @@ def r21_draws(spark, sf):
 
 @book.add("r21_bootstrap", sql(f"{BOOT} SELECT gene, iteration, composite_bootstrap FROM boot", "composite_bootstrap"))
 def r21(spark, sf):
-    return _boot(spark, sf).select("gene", "iteration", "composite_bootstrap")
+    return _boot(spark, sf, r.bootstrap).select("gene", "iteration", "composite_bootstrap")
 
 
 @book.add("r22_bootstrap_ci", sql(f"{BOOT} SELECT gene, avg(composite_bootstrap) AS bootstrap_mean, quantile_cont(composite_bootstrap, 0.025) AS bootstrap_ci_lower, quantile_cont(composite_bootstrap, 0.975) AS bootstrap_ci_upper FROM boot GROUP BY 1", "bootstrap_mean bootstrap_ci_lower bootstrap_ci_upper"))

@@ -78,7 +78,7 @@ FROM (
          'tcga.' || lpad(CAST(o_custkey % 100 AS STRING), 2, '0') || '.' || CAST(o_custkey AS STRING) || '.'
            || CASE o_orderstatus WHEN 'F' THEN '01' WHEN 'O' THEN '11' ELSE '06' END
            || 'a' || CAST(o_orderkey AS STRING) AS barcode,
-         {d.h("'1:' || CAST(o_orderkey AS STRING)")} AS h
+         (o_orderkey * 7919 + 13) % 1009 AS h
   FROM {{orders}}
 )"""
 
@@ -97,7 +97,7 @@ def emb(d) -> str:
     """Long matrix of the embeddings with some cells missing."""
     return f"""
 SELECT 's' || CAST(vec_id AS STRING) AS sample_id, 'e' || CAST(pos AS STRING) AS gene,
-       CASE WHEN {d.h("'2:' || CAST(vec_id AS STRING) || ':' || CAST(pos AS STRING)")} % 19 > 0 THEN x END AS value,
+       CASE WHEN ((vec_id * 64 + pos) * 7919) % 1009 % 19 > 0 THEN x END AS value,
        CAST(CAST(floor(vec_id / 2) AS BIGINT) % 2 AS INT) AS disease_label,
        CAST(CAST(floor(vec_id / 2) AS BIGINT) % 5 + 1 AS INT) AS outer_fold
 FROM {d.unnest("{embeddings}", "embedding", "pos", "x")} AS z"""
@@ -110,14 +110,11 @@ def wide(d) -> str:
 
 
 def expr(d) -> str:
-    """Long matrix of the line items: order by part, quantity summed, some cells missing."""
-    return f"""
-SELECT sample_id, gene, CASE WHEN {d.h("'3:' || sample_id || ':' || gene")} % 17 > 0 THEN q END AS value
-FROM (
-  SELECT 's' || CAST(l_orderkey AS STRING) AS sample_id, 'g' || CAST(l_partkey AS STRING) AS gene,
-         sum(l_quantity) AS q
-  FROM {{lineitem}} GROUP BY 1, 2
-)"""
+    """Long matrix of the line items: order by part with the quantity, some cells missing."""
+    return """
+SELECT 's' || CAST(l_orderkey AS STRING) AS sample_id, 'g' || CAST(l_partkey AS STRING) AS gene,
+       CASE WHEN (l_orderkey * 7919 + l_partkey * 104729) % 2003 % 17 > 0 THEN l_quantity END AS value
+FROM {lineitem}"""
 
 
 def meta(d) -> str:
@@ -139,7 +136,7 @@ SELECT c_custkey, 'tcga.' || lpad(CAST(c_custkey % 100 AS STRING), 2, '0') || '.
   CASE WHEN h % 10 < 3 THEN NULL ELSE c_acctbal END AS days_to_death,
   c_mktsegment AS project_id, h
 FROM (
-  SELECT *, {d.h("'4:' || CAST(c_custkey AS STRING)")} AS h
+  SELECT *, (c_custkey * 7919 + 13) % 1009 AS h
   FROM {{customer}} JOIN {{nation}} ON c_nationkey = n_nationkey JOIN {{region}} ON n_regionkey = r_regionkey
 )"""
 
@@ -149,11 +146,11 @@ def pred(d) -> str:
     rows = ", ".join(f"('{m}', {s}, {k})" for m, k in (("alpha", 300), ("beta", 200), ("gamma", 100)) for s in (1, 2))
     return f"""
 SELECT model_name, seed, outer_fold, sample_id, user_id, y_true,
-       CAST(gain * y_true + 7 * ({d.h("model_name || ':' || CAST(seed AS STRING) || ':' || sample_id")} % 100) AS DOUBLE)
+       CAST(gain * y_true + 7 * ((event_id * 48271 + seed * 69621 + gain * 16807) % 2147483647 % 100) AS DOUBLE)
          / 1000 AS y_prob,
        env_sex, env_smoking, env_stage, env_hour, env_country
 FROM (
-  SELECT model_name, seed, gain, CAST(user_id % 5 + 1 AS INT) AS outer_fold, CAST(event_id AS STRING) AS sample_id,
+  SELECT model_name, seed, gain, CAST(user_id % 5 + 1 AS INT) AS outer_fold, CAST(event_id AS STRING) AS sample_id, event_id,
          user_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END AS y_true,
          CASE user_id % 2 WHEN 0 THEN 'male' ELSE 'female' END AS env_sex,
          CASE user_id % 3 WHEN 0 THEN 'smoker' WHEN 1 THEN 'non_smoker' ELSE 'unknown' END AS env_smoking,
@@ -190,7 +187,7 @@ def pert(d) -> str:
 SELECT 'o' || CAST(l_orderkey AS STRING) AS sample_id, CAST(l_linenumber % 2 + 1 AS INT) AS seed,
        CAST(l_orderkey % 5 + 1 AS INT) AS outer_fold, CAST(l_orderkey % 2 AS INT) AS disease_label,
        'g' || CAST(l_partkey AS STRING) AS gene, CAST(round(l_tax * 100) - 4 AS DOUBLE) / 128 AS logit_shift,
-       CAST({d.h("'5:' || CAST(l_orderkey AS STRING) || ':' || CAST(l_partkey AS STRING)")} % 201 - 100 AS DOUBLE) / 1024
+       CAST((l_orderkey * 7919 + l_partkey * 104729) % 2003 % 201 - 100 AS DOUBLE) / 1024
          AS delta_prob
 FROM {{lineitem}}"""
 

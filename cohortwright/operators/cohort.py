@@ -28,27 +28,33 @@ def representative_order(
     )
 
 
-def pick_representative(
+def mark_representatives(
     df: DataFrame,
     keys: Sequence[str] = ("patient_id", "disease_label_name"),
     order: Column | None = None,
     key: str = "sample_id",
-) -> tuple[DataFrame, DataFrame]:
-    """One sample per patient and class; the others are returned with a reason.
+) -> DataFrame:
+    """Flag one sample per patient and class; the others carry a reason.
 
     The choice is a combinable minimum per key, so a patient with very many samples costs no more
-    than any other. ``key`` must be unique.
+    than any other, and the flag joins back on the unique ``key``.
     """
     order = representative_order(key=key) if order is None else order
-    best = df.groupBy(*keys).agg(F.min_by(key, order).alias(key)).select(key)
-    kept = df.join(best, key, "left_semi").withColumns(
-        {"representative_selected": F.lit(True), "exclusion_reason": F.lit(None).cast("string")}
-    )
+    best = df.groupBy(*keys).agg(F.min_by(key, order).alias(key)).select(key, F.lit(True).alias("representative_selected"))
     reason = F.concat(F.lit("duplicate_"), F.col(keys[-1]).cast("string"), F.lit("_sample_within_patient"))
-    rest = df.join(best, key, "left_anti").withColumns(
-        {"representative_selected": F.lit(False), "exclusion_reason": reason}
-    )
-    return kept, rest
+    marked = df.drop("representative_selected").join(best, key, "left").fillna(False, ["representative_selected"])
+    return marked.withColumn("exclusion_reason", F.when(~F.col("representative_selected"), reason))
+
+
+def pick_representative(
+    df: DataFrame,
+    keys: Sequence[str] = ("patient_id", "disease_label_name"),
+    order: Column | None = None,
+    key: str = "sample_id",
+) -> tuple[DataFrame, DataFrame]:
+    """The representative samples, and the others with their reason."""
+    marked = mark_representatives(df, keys, order, key)
+    return marked.filter("representative_selected"), marked.filter("NOT representative_selected")
 
 
 def duplicate_patients(df: DataFrame, patient: str = "patient_id", kept: Sequence[str] = ("patient_id", "disease_label_name")) -> DataFrame:

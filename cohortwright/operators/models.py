@@ -246,21 +246,26 @@ def oof_predict(
     # The preparation of a fold is shared by its seeds and models.
     stats = materialize(fit_prep(rows, folds))
     chosen = materialize(select_features(stats, top, least, most).select("outer_fold", "gene", "rank", "retained"))
-    out = {k: f"{scratch_root(spark)}/{uuid.uuid4().hex}" for k in ("predictions", "log", "weights", "history")}
-    linear = False
-    for fold in folds:
-        genes = [r["gene"] for r in chosen.filter(F.col("outer_fold") == fold).orderBy("rank").select("gene").collect()]
+    root = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame, table: str, *parts: object) -> None:
+        # A folder per fit: concurrent jobs must not commit into the same one.
+        df.write.parquet("/".join([root, table, "_".join(["fit", *map(str, parts)])]))
+
+    def one_fold(fold: int) -> bool:
+        mine = chosen.filter(F.col("outer_fold") == fold)
+        genes = [r["gene"] for r in mine.orderBy("rank").select("gene").collect()]
         fold_stats = stats.filter(F.col("outer_fold") == fold).drop("outer_fold").join(
-            chosen.filter(F.col("outer_fold") == fold).select("gene"), "gene", "left_semi"
+            mine.select("gene"), "gene", "left_semi"
         )
         vectors = assemble(apply_prep(rows, fold_stats, ["gene"]), genes, keys)
         vectors = materialize(vectors.withColumn("label", F.col("disease_label").cast("double")))
         train, test = vectors.filter(F.col("outer_fold") != fold), vectors.filter(F.col("outer_fold") == fold)
         weighted = balance_weights(train)
+        linear = False
         for seed in seeds:
-            inner = materialize(
-                inner_folds(cohort.filter(F.col("outer_fold") != fold), [fold], inner_k, seed).select("patient_id", "inner_fold")
-            )
+            others = cohort.filter(F.col("outer_fold") != fold)
+            inner = materialize(inner_folds(others, [fold], inner_k, seed).select("patient_id", "inner_fold"))
             if inner_strict:
                 sets = strict_sets(rows.filter(F.col("outer_fold") != fold), inner, genes, keys)
             else:
@@ -270,19 +275,25 @@ def oof_predict(
                 tags = {"seed": F.lit(seed), "model_name": F.lit(name)}
                 scored = scores_of(fitted, test, ["sample_id", "patient_id", "outer_fold"]).withColumns(tags)
                 scored = scored.withColumn("y_pred", (F.col("y_prob") >= 0.5).cast("int"))
-                scored.select(*PREDICTIONS).write.mode("append").parquet(out["predictions"])
+                keep(scored.select(*PREDICTIONS), "predictions", fold, seed, name)
                 tags["outer_fold"] = F.lit(fold)
-                best = json.dumps(params, sort_keys=True)
-                log.withColumns(tags | {"best_params_json": F.lit(best)}).write.mode("append").parquet(out["log"])
+                best = F.lit(json.dumps(params, sort_keys=True))
+                keep(log.withColumns(tags | {"best_params_json": best}), "log", fold, seed, name)
                 if hasattr(fitted, "coefficients"):
                     linear = True
-                    feature_weights(fitted, genes, spark).withColumns(
-                        tags | {"intercept": F.lit(float(fitted.intercept))}
-                    ).write.mode("append").parquet(out["weights"])
-                    history(fitted, spark).withColumns(tags).write.mode("append").parquet(out["history"])
+                    intercept = F.lit(float(fitted.intercept))
+                    weights = feature_weights(fitted, genes, spark).withColumns(tags | {"intercept": intercept})
+                    keep(weights, "weights", fold, seed, name)
+                    keep(history(fitted, spark).withColumns(tags), "history", fold, seed, name)
                 if save_to:
                     save_model(fitted, f"{save_to}/{name}_seed_{seed}_outer_fold_{fold}")
-    tables = {k: spark.read.parquet(p) for k, p in out.items() if linear or k in ("predictions", "log")}
+        return linear
+
+    # Folds are independent: running a few at once keeps the cluster busy between small fitting jobs.
+    with ThreadPoolExecutor(DRIVER_THREADS) as pool:
+        linear = any(list(pool.map(one_fold, folds)))
+    names = ("predictions", "log", "weights", "history") if linear else ("predictions", "log")
+    tables = {name: spark.read.parquet(f"{root}/{name}/fit_*") for name in names}
     tables["feature_summary"] = feature_summary(n_genes, stats, chosen)
     tables["prep"] = stats
     return tables

@@ -163,19 +163,17 @@ def environment_effects(
 ) -> DataFrame:
     """Mean absolute attribution and probability change per (environment, level, gene).
 
-    Both are first combined per (sample, gene); only then are the sample's environments stacked.
-    ``n_rows`` counts attribution rows and carries the threshold, ``n_samples`` counts samples.
+    Environments are attached by sample, values are combined per (sample, gene), and only then are
+    the environments stacked, so the large input is shuffled once. ``n_rows`` counts attribution
+    rows and carries the threshold, ``n_samples`` counts samples.
     """
     have = [d for d in dims if d in samples.columns]
     envs = samples.select("sample_id", *[F.col(d).cast("string").alias(d) for d in have])
 
     def per_level(df: DataFrame, value: str, total: str, rows: str) -> DataFrame:
-        combined = df.groupBy("sample_id", "gene").agg(
-            F.sum(F.abs(F.col(value))).alias(total), F.count(value).alias(rows)
-        )
-        long = combined.join(envs, "sample_id").unpivot(
-            ["gene", total, rows], have, "environment_column", "environment_level"
-        )
+        placed = df.select("sample_id", "gene", F.abs(F.col(value)).alias("_v")).join(envs, "sample_id")
+        combined = placed.groupBy("sample_id", "gene", *have).agg(F.sum("_v").alias(total), F.count("_v").alias(rows))
+        long = combined.unpivot(["gene", total, rows], have, "environment_column", "environment_level")
         return long.filter(F.col("environment_level").isNotNull()).groupBy(
             "environment_column", "environment_level", "gene"
         ).agg(F.sum(total).alias(total), F.sum(rows).alias(rows), F.count("*").alias(f"{rows}_samples"))
@@ -394,11 +392,11 @@ def draw_table(runs: DataFrame, n: int, seed: int) -> DataFrame:
     return counts.join(numbered, "_i").select("iteration", *RUN, "draws")
 
 
-def bootstrap(
+def bootstrap_scores(
     df: DataFrame, scores: DataFrame, n: int = 100, seed: int = 42, weights: Mapping[str, float] = WEIGHTS,
     normalize: bool = False,
 ) -> DataFrame:
-    """Composite score and rank of every gene under resampled runs.
+    """Composite score of every gene under resampled runs.
 
     A gene's stability part becomes ``0.7 * own + 0.3 * mean resampled run score``. Scores are
     combined per (iteration, gene) before the shuffle; with ``normalize`` the parts are min-max
@@ -409,13 +407,20 @@ def bootstrap(
     means = sampled.groupBy("iteration", "gene").agg(
         (F.sum(F.col("run_predictive_score") * F.col("draws")) / F.sum("draws")).alias("_resampled")
     )
-    every = df.select("gene", *COMPONENTS).withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
-    joined = every.join(means, ["iteration", "gene"], "left")
+    iterations = F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")
+    joined = df.select("gene", *COMPONENTS).withColumn("iteration", F.explode(iterations)).join(
+        means, ["iteration", "gene"], "left"
+    )
     own = 0.7 * F.coalesce("stability_score", F.lit(0.0)) + 0.3 * F.coalesce("_resampled", F.lit(0.0))
     joined = joined.withColumn("stability_score", own)
     if normalize:
         joined = _normalize_within(joined, "iteration")
-    rescored = composite(joined, weights, "composite_bootstrap").select("gene", "iteration", "composite_bootstrap")
+    return composite(joined, weights, "composite_bootstrap").select("gene", "iteration", "composite_bootstrap")
+
+
+def bootstrap(df: DataFrame, scores: DataFrame, n: int = 100, seed: int = 42, **options) -> DataFrame:
+    """``bootstrap_scores`` with the rank of every gene within its iteration."""
+    rescored = bootstrap_scores(df, scores, n, seed, **options)
     return number_rows(rescored, ["iteration"], [F.desc("composite_bootstrap"), "gene"], "rank_bootstrap")
 
 

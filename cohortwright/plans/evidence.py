@@ -77,7 +77,7 @@ def rank_evidence(
     if not have:
         fused = fused.withColumn("invariance_score", F.lit(0.0))
     fused = materialize(r.normalize_scores(fused) if normalize else fused)
-    boot = materialize(r.bootstrap(fused, scores, n_boot, seed, weights)) if n_boot else None
+    boot = materialize(r.bootstrap(fused, scores, n_boot, seed, weights=weights)) if n_boot else None
     scored = r.composite(fused, weights)
     if boot is not None:
         scored = lookup_join(scored, r.bootstrap_ci(boot), "gene")
