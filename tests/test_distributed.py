@@ -78,3 +78,48 @@ def test_size_check():
 
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
     assert d.row_bytes(schema) == 88
+
+
+def test_a_hot_key_above_the_broadcast_limit_is_split(spark):
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    old = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = spark.range(400_000, numPartitions=8).select(
+            "id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 5000)).alias("g"), F.rand(1).alias("x")
+        )
+        table = rows.groupBy("g").agg(F.count("*").alias("n"))
+        joined = d.lookup_join(rows, table, "g", limit=0)
+        assert joined.agg(F.sum((F.col("g") == "hot").cast("int"))).first()[0] == 133_334
+        joined.write.format("noop").mode("overwrite").save()
+        rows_out = joined.collect()
+        assert len(rows_out) == 400_000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_hot_group_spans_many_ranges(spark, monkeypatch):
+    """Running totals of one group are computed in several partitions once it is large enough."""
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    stored = []
+    real = d.materialize
+    monkeypatch.setattr(d, "materialize", lambda df: stored.append(real(df)) or stored[-1])
+    try:
+        rows = spark.range(20_000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("g"))
+        got = d.number_rows(rows, ["g"], ["id"])
+        top = {r["g"]: r["m"] for r in got.groupBy("g").agg(F.max("row_number").alias("m")).collect()}
+        assert top == {"hot": 13_333, "cold": 6_667}
+        sizes = [r["count"] for r in stored[0].groupBy("_group", "_part").count().collect()]
+        assert len(sizes) >= 8 and max(sizes) < 5_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
