@@ -13,6 +13,7 @@ from cohortwright.operators.distributed import materialize
 from cohortwright.operators.folds import assert_no_leakage
 from cohortwright.operators.keys import assert_unique
 from cohortwright.operators.metadata import encodable
+from cohortwright.operators.prepare import apply_prep
 
 RUN = ["model_name", "seed", "outer_fold"]
 
@@ -29,6 +30,33 @@ def align(cohort: DataFrame, folds: DataFrame, matrix: DataFrame) -> tuple[DataF
     return aligned, joins.restrict(matrix, shared)
 
 
+def fold_facts(cohort: DataFrame, log: DataFrame) -> DataFrame:
+    """Per (model, seed, fold): train and test samples and patients, and the chosen parameters.
+
+    Patients never cross folds, so the training side is the total minus the fold.
+    """
+    per_fold = cohort.groupBy("outer_fold").agg(
+        F.count("*").alias("n_test_samples"), F.count_distinct("patient_id").alias("n_test_patients")
+    )
+    samples = per_fold.agg(F.sum("n_test_samples")).scalar()
+    patients = per_fold.agg(F.sum("n_test_patients")).scalar()
+    sizes = per_fold.withColumns(
+        {
+            "n_train_samples": samples - F.col("n_test_samples"),
+            "n_train_patients": patients - F.col("n_test_patients"),
+        }
+    )
+    return log.select(*RUN, "best_params_json").distinct().join(sizes, "outer_fold")
+
+
+def latent_space(cohort: DataFrame, matrix: DataFrame, prep: DataFrame, genes: Sequence[str]) -> DataFrame:
+    """Two-dimensional projection of every sample, prepared with the statistics of its held-out fold."""
+    placed = matrix.join(cohort.select("sample_id", "patient_id", "disease_label", "outer_fold"), "sample_id")
+    keys = ["sample_id", "patient_id", "disease_label", "outer_fold"]
+    vectors = materialize(models.assemble(apply_prep(placed, prep), genes, keys))
+    return models.pca2(vectors).select(*keys, "latent_1", "latent_2")
+
+
 def evaluate_baselines(
     cohort: DataFrame,
     folds: DataFrame,
@@ -45,10 +73,12 @@ def evaluate_baselines(
     grids = grids or {name: None for name in models.DEFAULT_MODELS}
     out = models.oof_predict(long, aligned, grids, seeds, save_to=save_to, **search)
     scored = out["predictions"]
-    per_fold = materialize(metrics.binary_metrics(scored, RUN))
+    per_fold = materialize(metrics.binary_metrics(scored, RUN).join(fold_facts(aligned, out["log"]), RUN))
     have = [d for d in dims if d in aligned.columns]
     placed = joins.enrich(scored, aligned.select("sample_id", *have), "sample_id")
     summary = materialize(metrics.summarize_models(per_fold, scored))
+    winners = materialize(metrics.pick_winners(summary))
+    best = scored.filter(F.col("model_name") == winners.select("best_baseline").scalar())
     tables = {
         "predictions": scored,
         "fold_metrics": per_fold,
@@ -56,7 +86,8 @@ def evaluate_baselines(
         "feature_summary": out["feature_summary"],
         "calibration": metrics.calibration(scored, RUN, bins),
         "summary": summary,
-        "winners": metrics.pick_winners(summary),
+        "winners": winners,
+        "best_confusion": metrics.confusion(best, ["model_name"]),
         "roc": metrics.roc_points(scored, ["model_name"]),
         "pr": metrics.pr_points(scored, ["model_name"]),
     }
@@ -87,14 +118,26 @@ def evaluate_sparse(
     skipped = encodable(aligned, dims).filter("reason <> 'usable'").select(
         F.col("column").alias("environment_column"), F.lit("skipped").alias("status"), "reason"
     )
-    gates = models.flag_top(out["weights"].drop("model_name"))
+    gates = materialize(models.flag_top(out["weights"].drop("model_name")))
     summary = metrics.summary_long(per_fold, scored)
-    return {
+    sparsity = models.sparsity_share(gates)
+    facts = fold_facts(aligned, out["log"]).join(out["feature_summary"], "outer_fold").join(
+        sparsity, ["seed", "outer_fold"]
+    )
+    # Genes every fold selected: a subset of one fold's selection, so its bound holds here too.
+    n_folds = gates.select("outer_fold").distinct().count()
+    common = gates.groupBy("gene").agg(F.size(F.collect_set("outer_fold")).alias("n")).filter(F.col("n") == n_folds)
+    genes = sorted(r["gene"] for r in common.collect())
+    tables = {
         "predictions": scored,
-        "fold_metrics": per_fold,
+        "fold_metrics": per_fold.join(facts, RUN),
         "search_log": out["log"],
         "gate_weights": gates,
-        "sparsity": models.sparsity_share(gates),
+        "sparsity": sparsity,
+        "latent": latent_space(aligned, long, out["prep"], genes) if len(genes) > 1 else None,
+        "roc": metrics.roc_points(scored, ["model_name"]),
+        "pr": metrics.pr_points(scored, ["model_name"]),
+        "calibration": metrics.calibration(scored, ["model_name"], 8, adapt=False),
         "history": out["history"],
         "environment_metrics": env,
         "invariance": used.unionByName(skipped, allowMissingColumns=True),
@@ -102,3 +145,4 @@ def evaluate_sparse(
         "comparison": metrics.compare(baselines, summary),
         "prep": out["prep"],
     }
+    return {name: table for name, table in tables.items() if table is not None}

@@ -82,12 +82,17 @@ def test_evaluation_and_ranking(spark, cohort):
     search = {"inner_k": 2, "top": 8, "least": 2, "most": 8}
     args = (cohort["cohort"], cohort["folds"], cohort["normalized"])
     base = evaluate_baselines(*args, {"LR_ElasticNet": [{"C": 0.5, "l1_ratio": 0.5, "class_weight": None}]}, seeds=[1], **search)
-    assert base["predictions"].count() == 60 and base["fold_metrics"].count() == 3
+    assert base["predictions"].count() == 60
+    folds = base["fold_metrics"].collect()
+    assert len(folds) == 3 and all(r["n_train_samples"] + r["n_test_samples"] == 60 for r in folds)
+    assert base["best_confusion"].selectExpr("tn + fp + fn + tp AS n").first()["n"] == 60
     assert base["summary"].first()["pooled_auroc"] > 0.8
     assert base["winners"].first()["best_baseline"] == "LR_ElasticNet"
     assert base["subgroups"].filter("status = 'ok'").count() > 0
     sparse = evaluate_sparse(*args, base["summary"], grid["LR_L1"], seeds=[1, 2], dims=["env_sex", "env_country_or_region", "nope"], **search)
     assert sparse["gate_weights"].count() == 2 * 3 * 8
+    assert sparse["latent"].count() == 60
+    assert {r["selected_variable_genes"] for r in sparse["fold_metrics"].collect()} == {8}
     assert {r["model_family"] for r in sparse["comparison"].collect()} == {"baseline", "candidate"}
     assert {r["reason"] for r in sparse["invariance"].collect()} == {"evaluated", "missing"}
     sets = spark.createDataFrame([("signal", "g0"), ("signal", "g1"), ("rest", "g5"), ("none", "zz")], "pathway string, gene string")
