@@ -163,17 +163,21 @@ def environment_effects(
 ) -> DataFrame:
     """Mean absolute attribution and probability change per (environment, level, gene).
 
-    Environments are attached by sample, values are combined per (sample, gene), and only then are
-    the environments stacked, so the large input is shuffled once. ``n_rows`` counts attribution
-    rows and carries the threshold, ``n_samples`` counts samples.
+    Values are combined per (sample, gene) before the environments are attached: that merges methods
+    and runs map-side, and leaves a sample with very many rows at most one row per gene, which the
+    planner can still split in the join. ``n_rows`` counts attribution rows and carries the
+    threshold, ``n_samples`` counts samples.
     """
     have = [d for d in dims if d in samples.columns]
     envs = samples.select("sample_id", *[F.col(d).cast("string").alias(d) for d in have])
 
     def per_level(df: DataFrame, value: str, total: str, rows: str) -> DataFrame:
-        placed = df.select("sample_id", "gene", F.abs(F.col(value)).alias("_v")).join(envs, "sample_id")
-        combined = placed.groupBy("sample_id", "gene", *have).agg(F.sum("_v").alias(total), F.count("_v").alias(rows))
-        long = combined.unpivot(["gene", total, rows], have, "environment_column", "environment_level")
+        combined = df.groupBy("sample_id", "gene").agg(
+            F.sum(F.abs(F.col(value))).alias(total), F.count(value).alias(rows)
+        )
+        long = combined.join(envs, "sample_id").unpivot(
+            ["gene", total, rows], have, "environment_column", "environment_level"
+        )
         return long.filter(F.col("environment_level").isNotNull()).groupBy(
             "environment_column", "environment_level", "gene"
         ).agg(F.sum(total).alias(total), F.sum(rows).alias(rows), F.count("*").alias(f"{rows}_samples"))
