@@ -46,7 +46,7 @@ def rank_evidence(
     scorer = gates.select(*r.RUN, "gene", F.col("gate_weight").alias("weight"))
 
     gate_run, gate_gene = r.aggregate_weights(gates)
-    # The cap is the reference's own sampling operator: up to ``cap_per_class`` samples per fold and class.
+    # Attribution is sampled by design: up to ``cap_per_class`` samples per fold and class.
     chosen = c.capped_sample(samples, "disease_label", cap_per_class, seed, by=["outer_fold"])
     attr = materialize(r.attribute(joins.restrict(long, chosen), scorer, methods))
     per_run = materialize(r.attribution_by_run(attr))

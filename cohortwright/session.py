@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Hot join keys above the broadcast limit are split by the adaptive planner.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # ... also where an aggregate on the join key follows, at the price of one more shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
