@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import decontaminate, neardup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,9 +22,15 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of documents on 4-word shingles."""
+    out = neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_decontaminate,)
+    for f in (op1_decontaminate, op10_minhash)
 }
 
 ORACLES: dict[str, str] = {}
