@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup
+from . import decontaminate, neardup, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the words of 13-word windows that an earlier document has too."""
+    return substrings.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of documents on 4-word shingles."""
     out = neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
@@ -30,7 +35,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_decontaminate, op10_minhash)
+    for f in (op1_decontaminate, op8_substrings, op10_minhash)
 }
 
 ORACLES: dict[str, str] = {}
