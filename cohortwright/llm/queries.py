@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, substrings
+from . import decontaminate, neardup, quality, sharding, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,18 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their counts and the verdict of the quality rules."""
+    out = quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select("doc_id", *[F.col("quality")[n].alias(n) for n in names])
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in shards 0 to 15 by jump consistent hashing of their ids."""
+    return sharding.shard(table(spark, sf_dir, "documents"), 16)
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the words of 13-word windows that an earlier document has too."""
     return substrings.without_repeats(table(spark, sf_dir, "documents"))
@@ -35,7 +47,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_decontaminate, op8_substrings, op10_minhash)
+    for f in (op1_decontaminate, op4_quality, op7_sharding, op8_substrings, op10_minhash)
 }
 
 ORACLES: dict[str, str] = {}
