@@ -6,7 +6,7 @@ hash forms a segment that goes to that hash's shard. Equal windows have equal le
 
 1. Hashes held by one document only can't repeat: a map-side combined aggregate finds the repeated ones, and a
    filter of fixed size lets only segments with such hashes leave the scan.
-2. Equal segments are combined (least and greatest document) before the shuffle. A hash with very many segments
+2. Tasks combine equal segments (least and greatest document) before the shuffle, so copies don't add up in a shard. A hash with very many segments
    is cut into single windows, dealt by their own content, so that no shard holds a hot group.
 3. Each shard builds an FM-index of its distinct segments: suffixes sorted to depth W by prefix doubling, their
    Burrows-Wheeler transform in a wavelet matrix with rank directories. The segments stream through it: backward
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -59,48 +60,88 @@ def _least_hashes(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Ite
             words = cut(part.column("text"), SPACED, lower=False)
             first, _, h = segments(words, words.hashes(), window, k)
             doc = part.column("doc").to_numpy()[np.searchsorted(words.offsets, first, side="right") - 1]
-            # Once for each document and hash.
+            # How many documents of this part hold each hash.
             order = np.lexsort((doc, h))
             h, doc = h[order], doc[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h[new])), pa.array(doc[new])], names=["h", "doc"])
+            h = h[new]
+            start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h[start])), pa.array(np.diff(np.append(start, len(h))))], names=["h", "n"])
+
+
+@dataclass
+class _Cut:
+    """How documents are cut: window and gram length, and the filters of repeated and of hot hashes."""
+
+    window: int
+    k: int
+    repeated: np.ndarray
+    hot: np.ndarray
+
+    def __call__(self, part: pa.RecordBatch) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """(words, document, first word within all words, route, contents as 32-bit word hashes) of the candidate segments.
+
+        Two windows that differ in one word are taken for equal with a chance of 2^-32.
+        """
+        words = cut(part.column("text"), SPACED, lower=False)
+        hashes = words.hashes()
+        first, last, h = segments(words, hashes, self.window, self.k)
+        keep = passes(self.repeated, h)
+        first, last, h = first[keep], last[keep], h[keep]
+        # Hot hashes: every window is a segment of its own, routed by its own words.
+        split = passes(self.hot, h)
+        counts = np.where(split, last - first, 1)
+        which = np.repeat(np.arange(len(h)), counts)
+        step = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+        single = split[which]
+        a = first[which] + np.where(single, step, 0)
+        b = np.where(single, a + self.window, last[which] + self.window - 1)
+        route = h[which]
+        if single.any():
+            route[single] = grams(hashes, self.window, seed=3)[a[single]]
+        raw = (hashes >> np.uint64(32)).astype("<u4")
+        contents = [raw[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist())]
+        return words, np.searchsorted(words.offsets, a, side="right") - 1, a, route, contents
+
+
+def key_of(content: bytes) -> bytes:
+    return hashlib.blake2b(content, digest_size=16).digest()
+
+
+def _unique(batches: Iterator[pa.RecordBatch], cutter: _Cut, held: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Distinct segments of a task with their least and greatest document, sent on whenever ``held`` are gathered."""
+    found: dict[bytes, tuple[int, int, int]] = {}
+
+    def out() -> pa.RecordBatch:
+        least, most, route = (np.array(x, np.int64) for x in zip(*found.values())) if found else (np.zeros(0, np.int64),) * 3
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(found), pa.binary()), pa.array(least), pa.array(most), pa.array(route)], names=["words", "doc", "last_doc", "route"]
+        )
 
-
-_PLACE = pa.schema([
-    ("doc", pa.int64()), ("text_hash", pa.int64()), ("at", pa.int64()), ("route", pa.int64()), ("key", pa.binary()), ("words", pa.binary()),
-])
-
-
-def _places(batches: Iterator[pa.RecordBatch], window: int, k: int, repeated: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch):
-            words = cut(part.column("text"), SPACED, lower=False)
-            hashes = words.hashes()
-            first, last, h = segments(words, hashes, window, k)
-            keep = passes(repeated, h)
-            first, last, h = first[keep], last[keep], h[keep]
-            split = passes(hot, h)
-            # Hot hashes: every window is a segment of its own, routed by its own words.
-            counts = np.where(split, last - first, 1)
-            which = np.repeat(np.arange(len(h)), counts)
-            step = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-            single = split[which]
-            a = first[which] + np.where(single, step, 0)
-            b = np.where(single, a + window, last[which] + window - 1)
-            route = h[which]
-            if single.any():
-                route[single] = grams(hashes, window, seed=3)[a[single]]
-            doc = np.searchsorted(words.offsets, a, side="right") - 1
-            raw = hashes.astype("<u8")
-            content = [raw[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist())]
-            keys = [hashlib.blake2b(c, digest_size=16).digest() for c in content]
+            _, doc, _, route, contents = cutter(part)
+            ids = part.column("doc").to_numpy()[doc].tolist()
+            for c, d, r in zip(contents, ids, signed(route).tolist()):
+                had = found.get(c)
+                found[c] = (d, d, r) if had is None else (min(d, had[0]), max(d, had[1]), r)
+            if len(found) > held:
+                yield out()
+                found.clear()
+    yield out()
+
+
+def _places(batches: Iterator[pa.RecordBatch], cutter: _Cut) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in chunks(batch):
+            words, doc, a, _, contents = cutter(part)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(part.column("doc").to_numpy()[doc]), pa.array(part.column("text_hash").to_numpy()[doc]), pa.array(a - words.offsets[doc]),
-                    pa.array(signed(route.astype(np.uint64))), pa.array(keys, pa.binary()), pa.array(content, pa.binary()),
+                    pa.array(part.column("doc").to_numpy()[doc]), pa.array(part.column("text_hash").to_numpy()[doc]),
+                    pa.array((a - words.offsets[doc]).astype(np.int64)), pa.array([key_of(c) for c in contents], pa.binary()),
                 ],
-                schema=_PLACE,
+                names=["doc", "text_hash", "at", "key"],
             )
 
 
@@ -120,22 +161,25 @@ class WaveletMatrix:
             self.before.append(np.concatenate(([0], np.cumsum(np.bitwise_count(packed).astype(np.int64)))))
             self.zeros.append(int(self.n - bit.sum()))
             symbols = np.concatenate((symbols[~bit], symbols[bit]))
+        every = np.arange(1 << self.levels)
+        self.begin = self.place(every, np.zeros_like(every))
 
     def _ones(self, plane: int, at: np.ndarray) -> np.ndarray:
         word, rest = at >> 6, (at & 63).astype(np.uint64)
         inside = self.words[plane][word] & ((np.uint64(1) << rest) - np.uint64(1))
         return self.before[plane][word] + np.bitwise_count(inside)
 
-    def rank(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How often each symbol stands before ``lo`` and before ``hi``."""
-        begin = np.zeros_like(lo)
+    def place(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where position ``at`` of the sequence leads in the last plane, seen from each symbol."""
         for plane in range(self.levels):
             one = (symbol >> (self.levels - 1 - plane) & 1).astype(bool)
-            b1, l1, h1 = self._ones(plane, begin), self._ones(plane, lo), self._ones(plane, hi)
-            begin = np.where(one, self.zeros[plane] + b1, begin - b1)
-            lo = np.where(one, self.zeros[plane] + l1, lo - l1)
-            hi = np.where(one, self.zeros[plane] + h1, hi - h1)
-        return lo - begin, hi - begin
+            ones = self._ones(plane, at)
+            at = np.where(one, self.zeros[plane] + ones, at - ones)
+        return at
+
+    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How often each symbol stands before ``at``."""
+        return self.place(symbol, at) - self.begin[symbol]
 
 
 class FMIndex:
@@ -155,9 +199,11 @@ class FMIndex:
         self.bwt = WaveletMatrix(text[self.suffixes - 1])
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=int(text.max(initial=0)) + 1))))
 
+    def of_symbol(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.first[symbol], self.first[symbol + 1]
+
     def extend_left(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = self.bwt.rank(symbol, lo, hi)
-        return self.first[symbol] + a, self.first[symbol] + b
+        return self.first[symbol] + self.bwt.rank(symbol, lo), self.first[symbol] + self.bwt.rank(symbol, hi)
 
 
 def least_in_ranges(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -176,8 +222,8 @@ def least_in_ranges(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.nd
 
 def earliest(contents: list[bytes], docs: np.ndarray, window: int) -> list[np.ndarray]:
     """For each distinct segment, the least document that holds each of its windows."""
-    raw = np.frombuffer(b"".join(contents), "<u8")
-    length = np.array([len(c) // 8 for c in contents])
+    raw = np.frombuffer(b"".join(contents), "<u4")
+    length = np.array([len(c) // 4 for c in contents])
     symbols, coded = np.unique(raw, return_inverse=True)
     owner = np.repeat(np.arange(len(contents)), length)
     text = np.zeros(len(raw) + len(contents) + 1, np.int64)
@@ -186,24 +232,37 @@ def earliest(contents: list[bytes], docs: np.ndarray, window: int) -> list[np.nd
     holder = np.full(len(text), NO_ID)
     holder[at] = docs[owner]
     index = FMIndex(text, window)
-    in_order = holder[index.suffixes]
     # Windows by their last word; each backward step takes the word before.
     end = np.cumsum(length)
     last = np.flatnonzero(np.arange(len(raw)) - np.repeat(end - length, length) >= window - 1)
-    lo, hi = np.zeros(len(last), np.int64), np.full(len(last), len(text))
-    for step in range(window):
-        lo, hi = index.extend_left(text[at[last - step]], lo, hi)
-    least = least_in_ranges(in_order, lo, hi)
+    least = docs[owner[last]].copy()
+    going = np.arange(len(last))
+    lo, hi = index.of_symbol(text[at[last]])
+    for step in range(1, window):
+        # A suffix range of one place is the window's own; its matching statistics can't reach another segment.
+        more = hi - lo > 1
+        going, lo, hi = going[more], lo[more], hi[more]
+        if not len(going):
+            break
+        lo, hi = index.extend_left(text[at[last[going] - step]], lo, hi)
+    if len(going):
+        least[going] = least_in_ranges(holder[index.suffixes], lo, hi)
     return np.split(least, np.cumsum(length - window + 1)[:-1])
 
 
 def _shard(table: pa.Table, window: int) -> pa.Table:
-    table = table.combine_chunks()
-    docs, greatest = table.column("doc").to_numpy(), table.column("last_doc").to_numpy()
-    found = earliest(table.column("words").to_pylist(), docs, window)
-    late = np.array([bool((m < g).any()) for m, g in zip(found, greatest)])
-    keep = np.flatnonzero(late)
-    return pa.table({"key": table.column("key").take(pa.array(keep)), "earliest": pa.array([found[i] for i in keep], pa.list_(pa.int64()))})
+    """``key`` and each window's earliest document, for the segments in which any document comes later than that."""
+    merged: dict[bytes, tuple[int, int]] = {}
+    for c, least, most in zip(table.column("words").to_pylist(), table.column("doc").to_pylist(), table.column("last_doc").to_pylist()):
+        had = merged.get(c)
+        merged[c] = (least, most) if had is None else (min(least, had[0]), max(most, had[1]))
+    contents, docs = list(merged), np.array([v[0] for v in merged.values()])
+    greatest = np.array([v[1] for v in merged.values()])
+    found = earliest(contents, docs, window)
+    size = np.array([len(f) for f in found])
+    every = np.concatenate(found)
+    late = np.flatnonzero(np.minimum.reduceat(every, np.cumsum(size) - size) < greatest)
+    return pa.table({"key": pa.array([key_of(contents[i]) for i in late], pa.binary()), "earliest": pa.array([found[i] for i in late], pa.list_(pa.int64()))})
 
 
 _RESULT_SQL = "doc bigint, text_hash bigint, n_words bigint, n_removed bigint, kept_sha256 string"
@@ -211,38 +270,34 @@ _RESULT_SQL = "doc bigint, text_hash bigint, n_words bigint, n_removed bigint, k
 
 def _kept(part: pa.RecordBatch, window: int, places: list | None) -> pa.RecordBatch:
     words = cut(part.column("text"), SPACED, lower=False)
-    removed, digests = [], []
-    for d in range(part.num_rows):
-        a, b = int(words.offsets[d]), int(words.offsets[d + 1])
-        keep = np.ones(b - a, bool)
-        if places is not None and places[d]:
-            at = np.array(places[d])
-            keep = ~covered(at, at + window, b - a)
-        removed.append(int((~keep).sum()))
-        digests.append(hashlib.sha256(b" ".join(words.text(i) for i in np.flatnonzero(keep) + a)).hexdigest())
+    keep = np.ones(len(words.starts), bool)
+    for d, at in enumerate(places or ()):
+        if at:
+            a, b, first = int(words.offsets[d]), int(words.offsets[d + 1]), np.array(at)
+            keep[a:b] = ~covered(first, first + window, b - a)
+    buffer, offsets = words.spaced(keep)
+    digests = [hashlib.sha256(buffer[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    kept = np.diff(np.concatenate(([0], np.cumsum(keep)))[words.offsets])
     names = ["doc", "text_hash", "n_words", "n_removed", "kept_sha256"]
-    return pa.RecordBatch.from_arrays([part.column("doc"), part.column("text_hash"), pa.array(words.per_doc.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(digests)], names=names)
+    return pa.RecordBatch.from_arrays(
+        [part.column("doc"), part.column("text_hash"), pa.array(words.per_doc.astype(np.int64)), pa.array((words.per_doc - kept).astype(np.int64)), pa.array(digests, pa.string())],
+        names=names,
+    )
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = GRAM, log2_bits: int = 27) -> DataFrame:
     """(doc, text_hash, at): windows, by first word, that also start in a document with a smaller id."""
     held = texts(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), text_key(F.col("text")).alias("text_hash"), "text")
-    hashes = held.select("doc", "text").mapInArrow(lambda it: _least_hashes(it, window, k), "h bigint, doc bigint")
-    hashes = hashes.groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n"))
-    hashes = materialize(hashes.filter("a < b").select("h", "n"))
-    repeated, hot = build_filter(hashes, "h", log2_bits), build_filter(hashes.filter(F.col("n") > HOT), "h", 24)
-    places = materialize(
-        held.mapInArrow(lambda it: _places(it, window, k, repeated, hot), "doc bigint, text_hash bigint, at bigint, route bigint, key binary, words binary")
-    )
-    unique = places.groupBy("key").agg(F.min("doc").alias("doc"), F.max("doc").alias("last_doc"), F.min("route").alias("route"), F.min("words").alias("words"))
-    unique = materialize(unique)
-    shards = max(1, unique.count() // SEGMENTS_PER_SHARD)
-    found = unique.withColumn("shard", F.pmod(F.xxhash64("route"), shards)).groupBy("shard").applyInArrow(
-        lambda t: _shard(t, window), "key binary, earliest array<bigint>"
-    )
-    late = places.select("doc", "text_hash", "at", "key").join(found, "key").select(
-        "doc", "text_hash", F.posexplode("earliest").alias("step", "least"), "at"
-    )
+    hashes = held.select("doc", "text").mapInArrow(lambda it: _least_hashes(it, window, k), "h bigint, n bigint")
+    hashes = materialize(hashes.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"))
+    cutter = _Cut(window, k, build_filter(hashes, "h", log2_bits), build_filter(hashes.filter(F.col("n") > HOT), "h", 24))
+    candidates = hashes.agg(F.sum("n")).first()[0] or 0
+    unique = held.select("doc", "text").mapInArrow(lambda it: _unique(it, cutter), "words binary, doc bigint, last_doc bigint, route bigint")
+    shards = max(1, candidates // SEGMENTS_PER_SHARD)
+    found = unique.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).drop("route").groupBy("shard")
+    found = found.applyInArrow(lambda t: _shard(t.combine_chunks(), window), "key binary, earliest array<bigint>")
+    places = held.mapInArrow(lambda it: _places(it, cutter), "doc bigint, text_hash bigint, at bigint, key binary")
+    late = places.join(found, "key").select("doc", "text_hash", F.posexplode("earliest").alias("step", "least"), "at")
     return late.filter("least < doc").select("doc", "text_hash", (F.col("at") + F.col("step")).alias("at")).distinct()
 
 

@@ -83,6 +83,23 @@ class Words:
         np.cumsum(_BYTE_VALUE[self.data] * _power(_BASE, n + 1)[:n], out=sums[1:])
         return mix((sums[self.ends] - sums[self.starts]) * _power(_BASE_INVERSE, n + 1)[self.starts])
 
+    def spaced(self, keep: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The kept words of all documents, joined by one space in each, and the byte offset of each document."""
+        kept = np.flatnonzero(keep)
+        doc = np.searchsorted(self.offsets, kept, side="right") - 1
+        more = np.zeros(len(kept), bool)
+        more[:-1] = doc[1:] == doc[:-1]
+        change = np.zeros(len(self.data) + 1, np.int8)
+        change[self.starts[kept]] = 1
+        # A word that isn't the last kept one takes the byte after it along, as its space.
+        last = self.ends[kept] + more
+        np.add.at(change, last, -1)
+        inside = np.cumsum(change[:-1], dtype=np.int8).astype(bool)
+        out = self.data.copy()
+        out[self.ends[kept[more]]] = 0x20
+        size = np.bincount(doc, last - self.starts[kept], len(self.offsets) - 1).astype(np.int64)
+        return out[inside].tobytes(), np.concatenate(([0], np.cumsum(size)))
+
     def text(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
