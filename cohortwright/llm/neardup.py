@@ -9,8 +9,9 @@ similarity 0.8 miss each other in all bands with probability (1 - 0.8^5)^45 < 2e
    whose sizes or signatures exclude the similarity (five standard deviations) go; the rest is confirmed on
    the full sets of both texts. Components come from alternating large-star and small-star.
 2. Buckets that still hold several components compare the signatures of members of different components,
-   in blocks of at most BLOCK x BLOCK inside tasks; only pairs within reach of the threshold leave a task and
-   are confirmed too. So no link is lost for having met only beside the bucket's least member.
+   in blocks of at most BLOCK x BLOCK inside tasks. In ROUNDS rounds each class tries its closest partner, which
+   joins large groups with few pairs; the last round compares the full sets, folded to 32 bits, of every pair left
+   within reach of the threshold inside the tasks, and confirms those about or above it. So no link is lost for having met only beside the bucket's least member.
 
 Null and empty texts: set size 0, own component. Equal and repeated rows: one class. A null ``doc_id`` can't
 name a component; it takes the least id of its component, or null. Empty tables give no rows.
@@ -33,6 +34,7 @@ from .store import keyed, materialize, text_key, texts
 from .words import SPACED, Words, chunks, cut, grams, mix, signed
 
 ROWS, BANDS, BLOCK = 5, 45, 512
+ROUNDS = 2
 HASHES = ROWS * BANDS
 _random = np.random.default_rng(20)
 _FACTOR = _random.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -130,26 +132,56 @@ def _passing(batches: Iterator[pa.RecordBatch], key: str, bits: np.ndarray) -> I
         yield batch.filter(pa.array(passes(bits, h)))
 
 
-def _across(table: pa.Table, threshold: float) -> pa.Table:
-    """Pairs of different components in one block pair of a bucket whose signatures are close enough."""
-    least, n = least_agreement(threshold), table.num_rows
-    table = table.combine_chunks()
-    mins = _bytes(table.column("mins").combine_chunks() if isinstance(table.column("mins"), pa.ChunkedArray) else table.column("mins"))
+def _folded(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in chunks(batch):
+            x, at = sets(cut(part.column("text"), SPACED, lower=True), k)
+            x = (x >> np.uint64(32)).astype("<u4")  # still sorted
+            folded = pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("uid"), folded], names=["uid", "folded"])
+
+
+def _similar(one: np.ndarray, others: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Whether sorted 32-bit sets come within 0.01 of the threshold; folding to 32 bits changes that little."""
+    size = np.array([len(o) for o in others])
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, every), len(one) - 1)
+    shared = np.add.reduceat((one[at] == every).astype(np.int64), np.cumsum(size) - size)
+    return shared >= (threshold - 0.01) * (size + len(one) - shared)
+
+
+def _across(table: pa.Table, threshold: float, best: bool) -> pa.Table:
+    """Pairs of different components in one block pair of a bucket whose signatures are close enough.
+
+    ``best``: only the closest such partner of each member. Otherwise all pairs that first meet in this bucket
+    and whose folded sets have about the similarity.
+    """
+    least, table = least_agreement(threshold), table.combine_chunks()
+    mins = _bytes(table.column("mins"))
     root, uid = table.column("root").to_numpy(), table.column("uid").to_numpy()
     side, size = table.column("block").to_numpy(), table.column("n_shingles").to_numpy()
-    i, j = int(table.column("i")[0].as_py()), int(table.column("j")[0].as_py())
+    i, j, key = (table.column(c)[0].as_py() for c in ("i", "j", "key"))
     left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-    found_a, found_b = [], []
-    for p in left if n else []:
-        to = right[(root[right] != root[p]) & (uid[right] > uid[p] if i == j else True)]
-        if len(to):
-            small, large = np.minimum(size[to], size[p]), np.maximum(size[to], size[p])
-            to = to[small >= threshold * large - 1e-9]
-            to = to[(mins[to] == mins[p]).sum(axis=1) >= least]
-            found_a.append(np.minimum(uid[to], uid[p]))
-            found_b.append(np.maximum(uid[to], uid[p]))
-    cat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return pa.table({"a": cat(found_a), "b": cat(found_b)})
+    if not best:
+        bands = np.array(table.column("bands").to_pylist(), np.int64)
+        mine = int((bands[0] == key).argmax())
+        folded = [np.frombuffer(x, "<u4") for x in table.column("folded").to_pylist()]
+    found: list[list[np.ndarray]] = [[], [], []]
+    for p in left:
+        to = right[(root[right] != root[p]) & (best or i != j or uid[right] > uid[p])]
+        to = to[np.minimum(size[to], size[p]) >= threshold * np.maximum(size[to], size[p]) - 1e-9]
+        equal = (mins[to] == mins[p]).sum(axis=1)
+        near = np.flatnonzero(equal >= least)
+        if best and len(near):
+            near = near[[equal[near].argmax()]]
+        elif len(near):
+            near = near[~(bands[to[near], :mine] == bands[p, :mine]).any(axis=1)]
+            if len(near):
+                near = near[_similar(folded[p], [folded[q] for q in to[near]], threshold)]
+        for out, values in zip(found, (np.full(len(near), uid[p]), uid[to[near]], equal[near])):
+            out.append(values)
+    a, b, equal = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in found)
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "of": a, "equal": equal})
 
 
 class _Graph:
@@ -176,16 +208,19 @@ class _Graph:
         sized = pairs.join(a, "a").join(b, "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent)
         return sized.select("a", "b", "mins_a", "mins_b").mapInArrow(lambda it: _likely(it, threshold), "a bigint, b bigint")
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Stored pairs (a, b) whose full sets have the similarity."""
-        nodes = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
+    def text_of(self, nodes: DataFrame) -> DataFrame:
+        """(uid, text) of the distinct classes ``uid``."""
         wanted = materialize(self.classes.join(nodes, "uid").select("uid", "of.doc_id", "of.text_hash"))
         bits = build_filter(wanted.withColumn("h", F.xxhash64("text_hash")), "h", self.log2_bits)
         held = self.docs.withColumn("h", F.xxhash64("text_hash"))
         held = held.mapInArrow(lambda it: _passing(it, "h", bits), held.schema).drop("h").alias("d")
         match = F.col("w.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("w.text_hash") == F.col("d.text_hash"))
         # Repeated rows give the same text, so any of them serves.
-        text = materialize(wanted.alias("w").join(held, match).select("uid", "text").dropDuplicates(["uid"]))
+        return wanted.alias("w").join(held, match).select("uid", "text").dropDuplicates(["uid"])
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """Stored pairs (a, b) whose full sets have the similarity."""
+        text = materialize(self.text_of(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()))
         a, b = (text.select(F.col("uid").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
         k, percent = self.k, self.percent
         return materialize(pairs.join(a, "a").join(b, "b").mapInArrow(lambda it: _confirmed(it, k, percent), "a bigint, b bigint"))
@@ -198,21 +233,36 @@ class _Graph:
         stars = members.filter("uid != least").select(F.col("least").alias("a"), F.col("uid").alias("b")).distinct()
         likely = materialize(self.near(stars))
         first = self.confirmed(likely)
-        roots = components(first)
-        placed = members.filter("n > 2").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+        members, links, tested = members.filter("n > 2").select("uid", "key"), first, likely
+        for last in (False,) * ROUNDS + (True,):
+            across = self.across(members, components(links), best=not last)
+            across = materialize(across.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+            links, tested = links.union(self.confirmed(across)), tested.union(across)
+        return links
+
+    def across(self, members: DataFrame, roots: DataFrame, best: bool) -> DataFrame:
+        """Likely pairs between the components that a bucket holds; ``best``: the closest one of each class only."""
+        placed = members.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
         placed = materialize(placed)
         mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).filter("r0 < r1")
-        rest = placed.select("key", "uid", "root").join(mixed.select("key", "m"), "key")
-        rest = rest.join(self.classes.select("uid", "n_shingles", "mins"), "uid")
+        rest = placed.join(mixed.select("key", "m"), "key")
+        threshold, k = self.threshold, self.k
+        facts = self.classes.select("uid", "n_shingles", "mins", *([] if best else ["bands"]))
+        if not best:
+            rest = materialize(rest)
+            folded = self.text_of(rest.select("uid").distinct()).mapInArrow(lambda it: _folded(it, k), "uid bigint, folded binary")
+            facts = facts.join(folded, "uid")
+        rest = rest.join(facts, "uid")
         blocks = F.ceil(F.col("m") / BLOCK).cast("int")
         rest = (
             rest.withColumn("block", F.pmod(F.xxhash64("uid"), blocks).cast("int"))
             .withColumn("to", F.explode(F.sequence(F.lit(0), blocks - 1)))
             .withColumns({"i": F.least("block", "to"), "j": F.greatest("block", "to")})
         )
-        threshold = self.threshold
-        across = rest.groupBy("key", "i", "j").applyInArrow(lambda t: _across(t, threshold), "a bigint, b bigint").distinct()
-        return first.union(self.confirmed(materialize(across.join(likely, ["a", "b"], "left_anti"))))
+        pairs = rest.groupBy("key", "i", "j").applyInArrow(lambda t: _across(t, threshold, best), "a bigint, b bigint, of bigint, equal bigint")
+        if best:
+            pairs = pairs.groupBy("of").agg(F.max_by(F.struct("a", "b"), F.struct("equal", "a", "b")).alias("p")).select("p.*")
+        return pairs
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, log2_bits: int = 24) -> DataFrame:
