@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .filters import build_filter, passes
-from .store import EMPTY_SHA256, keyed, materialize, merged_length, texts
+from .store import EMPTY_SHA256, keyed, materialize, merged_length, text_key, texts
 from .words import PLAIN, Words, chunks, cut, fits, grams, minima, signed
 
 WINDOW = 10
@@ -68,7 +68,7 @@ def _item_places(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
 
 _ITEM = pa.schema([("item_id", pa.string()), ("t", pa.int32()), ("h", pa.int64()), ("at", pa.int32()), ("lead", pa.int32()), ("around", pa.binary())])
 _DOC = pa.schema([
-    ("uid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()),
+    ("uid", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()),
     ("places", pa.list_(pa.struct([f for f in _ITEM if f.name != "item_id"]))),
 ])
 _SPAN = pa.schema([("uid", pa.int64()), ("item_id", pa.string()), ("first", pa.int64()), ("last", pa.int64())])
@@ -88,7 +88,7 @@ def _doc_places(batches: Iterator[pa.RecordBatch], lengths: list[int], bits: np.
                 for p, x, d in zip(at, signed(h).tolist(), doc):
                     places[d].append(_place(words, d, t, x, p))
             yield pa.RecordBatch.from_arrays(
-                [part.column("uid"), part.column("doc_id"), pa.array(words.per_doc.astype(np.int64)), pa.array(places, _DOC.field("places").type)],
+                [*(part.column(c) for c in ("uid", "doc_id", "text_hash")), pa.array(words.per_doc.astype(np.int64)), pa.array(places, _DOC.field("places").type)],
                 schema=_DOC,
             )
 
@@ -117,7 +117,7 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, log2_bits: int = 24) -> tuple[DataFrame, DataFrame]:
-    """(documents: uid, doc_id, n_words), (spans: uid, item_id, first, last: words of the document that an item has too)."""
+    """(documents: uid, doc_id, text_hash, n_words), (spans: uid, item_id, first, last: words of the document that an item has too)."""
     places = materialize(
         items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text"))
         .mapInArrow(lambda it: _item_places(it, window), "item_id string, t int, h bigint, at int, lead int, around binary")
@@ -126,14 +126,14 @@ def shared_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, log2_b
     lengths = sorted(r[0] for r in places.select("t").distinct().collect())
     bits = build_filter(places, "h", log2_bits)
     found = materialize(
-        keyed(texts(docs)).mapInArrow(
-            lambda it: _doc_places(it, lengths, bits), f"uid bigint, doc_id bigint, n_words bigint, places array<{_PLACE}>"
+        keyed(texts(docs).withColumn("text_hash", text_key(F.col("text")))).mapInArrow(
+            lambda it: _doc_places(it, lengths, bits), f"uid bigint, doc_id bigint, text_hash bigint, n_words bigint, places array<{_PLACE}>"
         )
     )
     hits = found.select("uid", F.explode("places").alias("p")).select("uid", "p.*")
     theirs = places.select("item_id", "t", "h", F.col("lead").alias("item_lead"), F.col("around").alias("item_around"))
     spans = hits.join(theirs, ["t", "h"]).mapInArrow(_extended, "uid bigint, item_id string, first bigint, last bigint").distinct()
-    return found.select("uid", "doc_id", "n_words"), materialize(spans)
+    return found.select("uid", "doc_id", "text_hash", "n_words"), materialize(spans)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -151,3 +151,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         F.coalesce(F.sha2(F.array_join("items", ","), 256), F.lit(EMPTY_SHA256)).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents without any shared window, all columns and repeated rows kept."""
+    found, spans = shared_spans(docs, items, window)
+    hit = found.join(spans.select("uid").distinct(), "uid").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    own = docs.withColumn("_text_hash", text_key(F.col("text").cast("string")))
+    same = own["doc_id"].cast("bigint").eqNullSafe(F.col("_id")) & (own["_text_hash"] == F.col("_hash"))
+    return own.join(hit, same, "left_anti").drop("_text_hash")

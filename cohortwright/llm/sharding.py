@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialize, texts
+from .store import materialize, text_key, texts
 from .words import mix
 
 RANGE_ROWS = 20_000
@@ -44,21 +44,36 @@ def _assigned(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Rec
         yield batch.append_column("shard", pa.array(jump(keys, shards), pa.int32())).append_column("grown_shard", pa.array(jump(keys, shards + 1), pa.int32()))
 
 
+def _placed(own: DataFrame, shards: int) -> DataFrame:
+    """Rows of (doc_id, text_hash, ...) with shard, slot and grown_shard."""
+    given = own.schema
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given)
+    placed = own.mapInArrow(lambda it: _assigned(it, shards), f"{kept}, shard int, grown_shard int")
+    placed = materialize(placed.withColumns({"__order": F.xxhash64("doc_id", "text_hash"), "__uid": F.monotonically_increasing_id()}))
+    ranges = max(1, placed.count() // (shards * RANGE_ROWS))
+    # Ranges are classes of the hash; exact repeats of a row are dealt on by their own number.
+    placed = placed.withColumn("__part", F.pmod(F.xxhash64("__order", F.pmod("__uid", F.lit(64))), F.lit(ranges)).cast("int"))
+    counts = placed.groupBy("shard", "__part").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("shard", "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    here = Window.partitionBy("shard", "__part").orderBy("__order", "__uid")
+    slot = (F.col("__before") + F.row_number().over(here) - 1).cast("bigint")
+    return placed.join(before, ["shard", "__part"]).select(*given.names, "shard", slot.alias("slot"), "grown_shard")
+
+
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """Per document row: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce("text", F.lit(""))
-    own = texts(docs).select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = own.mapInArrow(lambda it: _assigned(it, shards), "doc_id bigint, size bigint, text_crc32 bigint, shard int, grown_shard int")
-    placed = materialize(placed.withColumns({"order": F.xxhash64("doc_id", "text_crc32", "size"), "uid": F.monotonically_increasing_id()}))
-    ranges = max(1, placed.count() // (shards * RANGE_ROWS))
-    # Ranges are classes of the hash; exact repeats of a row are dealt on by their own number.
-    part = F.pmod(F.xxhash64("order", F.pmod("uid", F.lit(64))), F.lit(ranges)).cast("int")
-    placed = placed.withColumn("part", part)
-    counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("shard", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    here = Window.partitionBy("shard", "part").orderBy("order", "uid")
-    return placed.join(before, ["shard", "part"]).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        (F.col("before") + F.row_number().over(here) - 1).cast("bigint").alias("slot"), "grown_shard",
-    )
+    own = texts(docs).select(
+        "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), text_key(F.col("text")).alias("text_hash")
+    )
+    return _placed(own, shards).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def with_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
+    """The documents, all columns and repeated rows kept, with ``shard`` and ``slot`` (which replace columns so named)."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]).alias("row"))
+    own = own.withColumn("nth", F.monotonically_increasing_id())
+    own = materialize(own.withColumns({"doc_id": F.col("row.doc_id").cast("bigint"), "text_hash": text_key(F.col("row.text").cast("string"))}))
+    slots = _placed(own.select("doc_id", "text_hash", "nth"), shards)
+    return own.select("row", "nth").join(slots.select("nth", "shard", "slot"), "nth").select("row.*", "shard", "slot")

@@ -109,7 +109,7 @@ def key_of(content: bytes) -> bytes:
     return hashlib.blake2b(content, digest_size=16).digest()
 
 
-def _unique(batches: Iterator[pa.RecordBatch], cutter: _Cut, held: int = 200_000) -> Iterator[pa.RecordBatch]:
+def _unique(batches: Iterator[pa.RecordBatch], cutter: _Cut, held: int = 100_000) -> Iterator[pa.RecordBatch]:
     """Distinct segments of a task with their least and greatest document, sent on whenever ``held`` are gathered."""
     found: dict[bytes, tuple[int, int, int]] = {}
 
