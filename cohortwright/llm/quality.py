@@ -10,7 +10,7 @@ judged alike, one by one. Columns of the input stay as they are beside the struc
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -55,6 +55,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used and wherever the plan moves it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def repeat_words(words: Column) -> Column:
     """Words inside 3-word windows that the array holds at least twice.
 
@@ -71,8 +76,7 @@ def repeat_words(words: Column) -> Column:
         same = lambda x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
         return F.sort_array(F.transform(F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["at"]))
 
-    # One-element arrays bind a value once: the sorted windows are used many times.
-    at = F.get(F.transform(F.array(F.sort_array(windows)), places), 0)
+    at = bound(F.sort_array(windows), places)
     start = F.struct(F.lit(-3).alias("end"), F.lit(0).cast("bigint").alias("n"))
     total = F.aggregate(at, start, lambda a, x: F.struct(x.alias("end"), (a["n"] + F.least(F.lit(3), x - a["end"])).alias("n")), lambda a: a["n"])
     return F.when(n >= 3, total).otherwise(F.lit(0).cast("bigint"))
@@ -83,14 +87,16 @@ def _share(part: Column, whole: Column) -> Column:
 
 
 def assess(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The documents with a struct ``quality``: counts, ratios, ``base_failed``, ``failed`` (names of rules) and ``kept``."""
+    """The documents with a struct ``quality`` (replacing a column so named): counts, ratios, ``base_failed``, ``failed`` (names of rules) and ``kept``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    cut = docs.withColumns({
-        "__words": words_of(text),
-        "__lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-    })
-    words, lines = F.col("__words"), F.col("__lines")
-    counted = cut.withColumn("__count", F.struct(
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    parts = F.struct(text.alias("text"), words_of(text).alias("words"), lines.alias("lines"))
+    quality = bound(parts, lambda x: bound(_counts(x["text"], x["words"], x["lines"]), lambda c: _verdict(c, rules)))
+    return docs.withColumn("quality", quality)
+
+
+def _counts(text: Column, words: Column, lines: Column) -> Column:
+    return F.struct(
         F.size(words).cast("bigint").alias("n_words"),
         F.length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOL)).cast("bigint").alias("n_symbols"),
@@ -101,8 +107,10 @@ def assess(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
         F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))).cast("bigint").alias("n_alphabetic"),
         F.size(F.filter(lines, lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•‣–]"))).cast("bigint").alias("n_bullets"),
         F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).cast("bigint").alias("n_ellipses"),
-    ))
-    c = F.col("__count")
+    )
+
+
+def _verdict(c: Column, rules: Sequence[Rule]) -> Column:
     measures = {
         "n_words": c["n_words"],
         "repeat_share": _share(c["n_repeat_words"], c["n_words"]),
@@ -124,12 +132,11 @@ def assess(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
         broken.append(F.when(out, F.lit(rule.measure)))
     base = (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
     failed = F.array_distinct(F.filter(F.array(*broken), lambda x: x.isNotNull()))
-    quality = F.struct(
+    return F.struct(
         *[c[f].alias(f) for f in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "stop_words")],
         *[m.cast("double").alias(name) for name, m in measures.items() if name not in ("n_words", "stop_words")],
         base.alias("base_failed"), failed.alias("failed"), (~base & (F.size(failed) == 0)).alias("kept"),
     )
-    return counted.withColumn("quality", quality).drop("__words", "__lines", "__count")
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
