@@ -28,7 +28,7 @@ def _exploded(docs: DataFrame, site: str) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
-        F.coalesce(F.concat(F.lit("="), F.col(site).cast("string")), F.lit("")).alias("site"), F.posexplode(F.split(text, "\n")).alias("at", "line"),
+        F.coalesce(F.concat(F.lit("="), F.col(site).cast("string")), F.lit("-")).alias("site"), F.posexplode(F.split(text, "\n")).alias("at", "line"),
     )
     rows = rows.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     return rows.select("doc_id", "text_hash", "site", "at", *_line_key(F.col("line")))
