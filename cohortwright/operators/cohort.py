@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortwright.functions.arithmetic import as_column
 from cohortwright.functions.hashing import stable_hash
 
-from .distributed import number_by_hash
+from .distributed import materialize, number_by_hash
 from .metadata import COMPLETENESS_FIELDS
 
 NESTED_LEVELS = 1000
@@ -34,15 +34,20 @@ def mark_representatives(
     order: Column | None = None,
     key: str = "sample_id",
 ) -> DataFrame:
-    """Flag one sample per patient and class; the others carry a reason.
+    """Flag one row per patient and class; the others carry a reason.
 
-    The choice is a combinable minimum per key, so a patient with very many samples costs no more
-    than any other, and the flag joins back on the unique ``key``.
+    Several rows (aliquots) may share ``key``, so rows are numbered and stored, and the choice is a
+    combinable minimum of (order, row content, number): exactly one row of each group is flagged, and
+    a patient with very many samples costs no more than any other.
     """
     order = representative_order(key=key) if order is None else order
-    best = df.groupBy(*keys).agg(F.min_by(key, order).alias(key)).select(key, F.lit(True).alias("representative_selected"))
+    df = df.drop("representative_selected")
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
+    content = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in sorted(df.columns)])
+    best = rows.groupBy(*keys).agg(F.min_by("_row", F.struct(order.alias("order"), content.alias("content"), "_row")).alias("_row"))
+    marked = rows.join(best.select("_row", F.lit(True).alias("representative_selected")), "_row", "left").drop("_row")
     reason = F.concat(F.lit("duplicate_"), F.col(keys[-1]).cast("string"), F.lit("_sample_within_patient"))
-    marked = df.drop("representative_selected").join(best, key, "left").fillna(False, ["representative_selected"])
+    marked = marked.fillna(False, ["representative_selected"])
     return marked.withColumn("exclusion_reason", F.when(~F.col("representative_selected"), reason))
 
 

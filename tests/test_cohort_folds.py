@@ -81,3 +81,14 @@ def test_capped_sample(groups):
     got = cohort.capped_sample(groups, "disease_label", 7, 1)
     assert {r["count"] for r in got.groupBy("disease_label").count().collect()} == {7}
     assert sorted(got.collect()) == sorted(cohort.capped_sample(groups.coalesce(1), "disease_label", 7, 1).collect())
+
+
+def test_representatives_of_shared_sample_ids(spark):
+    """Aliquots share a sample id; still one row is chosen per patient and class, and the same one each time."""
+    rows = [("p1", "tumor", "s1", "s1-01", 0.5), ("p1", "tumor", "s1", "s1-02", 0.5), ("p1", "tumor", "s2", "s2-01", 0.2), ("p1", "normal", "s3", "s3-01", 0.1), ("p2", "tumor", "s4", None, None), ("p2", "tumor", "s4", None, None)]
+    df = spark.createDataFrame(rows, "patient_id string, disease_label_name string, sample_id string, original_id string, metadata_completeness_score double")
+    found = [cohort.pick_representative(df.repartition(n)) for n in (1, 4)]
+    for kept, rest in found:
+        assert sorted((r.patient_id, r.disease_label_name, r.sample_id) for r in kept.collect()) == [("p1", "normal", "s3"), ("p1", "tumor", "s1"), ("p2", "tumor", "s4")]
+        assert rest.count() == 3
+    assert sorted(map(str, found[0][0].collect())) == sorted(map(str, found[1][0].collect()))
