@@ -31,16 +31,30 @@ _own_scratch: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: ``spark.checkpoint.dir``, or a local one if unset."""
+    """Folder of this application for intermediate tables, in ``spark.checkpoint.dir``.
+
+    Where that is unset a local session uses a temporary folder; a cluster, whose executors don't share
+    local disks, is refused.
+    """
+    app = spark.sparkContext.applicationId
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
+        return f"{configured.rstrip('/')}/{app}"
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
     if app not in _own_scratch:
         _own_scratch[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return _own_scratch[app]
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; tables made from them can't be read afterwards."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back: lineage is cut, the size is known."""
     spark = df.sparkSession
