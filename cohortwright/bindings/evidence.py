@@ -100,12 +100,12 @@ def r7(spark, sf):
 RUN_SCORES = f"""SELECT *, rank() OVER (PARTITION BY seed, outer_fold ORDER BY run_predictive_score DESC) + (count(*) OVER (PARTITION BY seed, outer_fold, run_predictive_score) - 1) / 2.0::DOUBLE AS rank_within_run
 FROM (SELECT coalesce(g.seed, a.seed) AS seed, coalesce(g.outer_fold, a.outer_fold) AS outer_fold, coalesce(g.gene, a.gene) AS gene,
   0.6::DOUBLE * coalesce(a.v, 0) + 0.4::DOUBLE * coalesce(g.abs_gate_weight, 0) AS run_predictive_score
-  FROM ({GATE_RUN}) g FULL JOIN (SELECT seed, outer_fold, gene, avg(mean_abs_attribution) AS v FROM ({ATTR_RUN}) WHERE outer_fold > 1 GROUP BY 1, 2, 3) a
+  FROM ({GATE_RUN}) g FULL JOIN (SELECT seed, outer_fold, gene, avg(mean_abs_attribution) AS v FROM ({ATTR_RUN}) GROUP BY 1, 2, 3) a
   ON g.seed = a.seed AND g.outer_fold = a.outer_fold AND g.gene = a.gene)"""
 
 
 def _run_scores(spark, sf) -> DataFrame:
-    attr = r.attribution_by_run(view(spark, sf, "attr")).filter("outer_fold > 1")
+    attr = r.attribution_by_run(view(spark, sf, "attr"))
     return r.run_scores(attr, r.aggregate_weights(view(spark, sf, "run_weights"))[0])
 
 
@@ -138,11 +138,11 @@ def _level_sql(table: str, value: str, least: int) -> str:
     return f"SELECT environment_column, environment_level, gene, avg(abs(v)) AS m, count(*) AS n, count(DISTINCT sample_id) AS s FROM ({parts}) WHERE environment_level IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= {least}"
 
 
-EFFECTS = f"SELECT a.environment_column, a.environment_level, a.gene, a.m AS mean_attribution, p.m AS mean_perturbation_effect, a.n AS n_rows, a.s AS n_samples FROM ({_level_sql('attr', 'attribution_value', 10)}) a LEFT JOIN ({_level_sql('(SELECT * FROM pert WHERE disease_label = 1)', 'delta_prob', 10)}) p ON a.environment_column = p.environment_column AND a.environment_level = p.environment_level AND a.gene = p.gene"
+EFFECTS = f"SELECT a.environment_column, a.environment_level, a.gene, a.m AS mean_attribution, p.m AS mean_perturbation_effect, a.n AS n_rows, a.s AS n_samples FROM ({_level_sql('attr', 'attribution_value', 10)}) a LEFT JOIN ({_level_sql('pert', 'delta_prob', 10)}) p ON a.environment_column = p.environment_column AND a.environment_level = p.environment_level AND a.gene = p.gene"
 
 
 def _effects(spark, sf) -> DataFrame:
-    pert = view(spark, sf, "pert").filter("disease_label = 1")
+    pert = view(spark, sf, "pert")
     return r.environment_effects(view(spark, sf, "attr"), pert, view(spark, sf, "sample_envs"), ["env_status", "env_sex"])
 
 

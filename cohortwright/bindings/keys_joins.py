@@ -252,12 +252,12 @@ def j5(spark, sf):
     return joins.attach_folds(cohort, folds)
 
 
-@book.add("j6_align_matrix", sql("SELECT sample_id, gene, arg_min(v, b) AS value FROM (SELECT e.sample_id, e.gene, {'x': e.value} AS v, copies.b FROM emb e CROSS JOIN (VALUES (1), (2)) AS copies(b) WHERE e.outer_fold < 4) GROUP BY 1, 2".replace("arg_min(v, b) AS value", "arg_min(v, b).x AS value"), "value"))
+@book.add("j6_align_matrix", sql("SELECT sample_id, gene, arg_min(v, b) AS value FROM (SELECT e.sample_id, e.gene, {'x': e.value} AS v, copies.b FROM emb e CROSS JOIN (VALUES (1), (2)) AS copies(b)) GROUP BY 1, 2".replace("arg_min(v, b) AS value", "arg_min(v, b).x AS value"), "value"))
 def j6(spark, sf):
     # Every row twice, the second copy with another value; the first one counts.
     long = view(spark, sf, "emb").select("sample_id", "gene", F.explode(F.array(F.struct("value", F.lit(1).alias("o")), F.struct((F.col("value") + 1).alias("value"), F.lit(2).alias("o")))).alias("c"))
     long = long.select("sample_id", "gene", "c.value", F.col("c.o").alias("position"))
-    return joins.align_matrix(long, view(spark, sf, "grp").filter("outer_fold < 4"), order="position")
+    return joins.align_matrix(long, view(spark, sf, "grp"), order="position")
 
 
 @book.add("j7_enrich", sql("SELECT s.row_id, m.gender, m.race FROM samples s LEFT JOIN (SELECT * FROM meta WHERE c_custkey % 5 > 0) m ON s.patient_no = m.c_custkey"))
@@ -267,10 +267,10 @@ def j7(spark, sf):
 
 
 @book.add("j8_fuse_evidence", sql("""
-WITH a AS (SELECT gene, avg(attribution_value) AS attribution_score FROM attr WHERE attribution_value > 15 GROUP BY 1),
-g AS (SELECT gene, avg(abs_gate_weight) AS gate_score FROM run_weights WHERE seed = 1 GROUP BY 1),
-s AS (SELECT gene, max(gate_weight) AS stability_score FROM run_weights WHERE outer_fold = 3 GROUP BY 1),
-p AS (SELECT gene, avg(abs(delta_prob)) AS perturbation_score FROM pert WHERE delta_prob > 0.09 GROUP BY 1)
+WITH a AS (SELECT gene, avg(attribution_value) AS attribution_score FROM attr GROUP BY 1),
+g AS (SELECT gene, avg(abs_gate_weight) AS gate_score FROM run_weights GROUP BY 1),
+s AS (SELECT gene, max(gate_weight) AS stability_score FROM run_weights GROUP BY 1),
+p AS (SELECT gene, avg(abs(delta_prob)) AS perturbation_score FROM pert GROUP BY 1)
 SELECT coalesce(a.gene, g.gene, s.gene) AS gene, coalesce(attribution_score, 0.0) AS attribution_score,
   coalesce(gate_score, 0.0) AS gate_score, coalesce(stability_score, 0.0) AS stability_score,
   coalesce(perturbation_score, 0.0) AS perturbation_score
@@ -279,10 +279,10 @@ LEFT JOIN p ON coalesce(a.gene, g.gene, s.gene) = p.gene""", "attribution_score
 def j8(spark, sf):
     w = view(spark, sf, "run_weights")
     return joins.fuse_evidence(
-        view(spark, sf, "attr").filter("attribution_value > 15").groupBy("gene").agg(F.avg("attribution_value").alias("attribution_score")),
-        w.filter("seed = 1").groupBy("gene").agg(F.avg("abs_gate_weight").alias("gate_score")),
-        w.filter("outer_fold = 3").groupBy("gene").agg(F.max("gate_weight").alias("stability_score")),
-        perturbation=view(spark, sf, "pert").filter("delta_prob > 0.09").groupBy("gene").agg(F.avg(F.abs("delta_prob")).alias("perturbation_score")),
+        view(spark, sf, "attr").groupBy("gene").agg(F.avg("attribution_value").alias("attribution_score")),
+        w.groupBy("gene").agg(F.avg("abs_gate_weight").alias("gate_score")),
+        w.groupBy("gene").agg(F.max("gate_weight").alias("stability_score")),
+        perturbation=view(spark, sf, "pert").groupBy("gene").agg(F.avg(F.abs("delta_prob")).alias("perturbation_score")),
     )
 
 

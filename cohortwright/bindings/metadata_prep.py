@@ -32,7 +32,7 @@ STAGE_TEXT = f"trim(replace({low('tumor_stage')}, 'stage', ''))"
 NUMERAL = f"regexp_extract({STAGE_TEXT}, '^(iv|iii|ii|i|[1-4])([abc][0-9]?)?(\\W|$)', 1)"
 STAGE = f"CASE WHEN {NUMERAL} IN ('i', 'ii', '1', '2') THEN 'early_stage' WHEN {NUMERAL} IN ('iii', 'iv', '3', '4') THEN 'late_stage' ELSE 'unknown' END"
 STAGE_COMPAT = f"CASE WHEN {STAGE_TEXT} = 'unknown' THEN 'unknown' WHEN regexp_matches({STAGE_TEXT}, '^[i12]') THEN 'early_stage' WHEN regexp_matches({STAGE_TEXT}, '^[34]') THEN 'late_stage' ELSE 'unknown' END"
-REGION = f"substr(regexp_replace({low('country')}, '\\s+', '_', 'g'), 1, 40)"
+REGION = f"regexp_replace({low('country')}, '\\s+', '_', 'g')"
 
 
 def _meta(spark, sf, **cols):

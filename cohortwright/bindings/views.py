@@ -105,7 +105,7 @@ FROM {d.unnest("{embeddings}", "embedding", "pos", "x")} AS z"""
 
 def wide(d) -> str:
     """Embeddings as a wide matrix."""
-    cols = ", ".join(f"{d.at('embedding', i)} AS e{i}" for i in range(16))
+    cols = ", ".join(f"{d.at('embedding', i)} AS e{i}" for i in range(64))
     return f"SELECT 's' || CAST(vec_id AS STRING) AS sample_id, {cols} FROM {{embeddings}}"
 
 

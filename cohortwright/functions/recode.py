@@ -30,7 +30,6 @@ SMOKER_WORDS = r"\b(current|reformed|former|smoker|yes)\b"
 # Roman numeral or digit with an optional sub-stage such as a, b2.
 STAGE_PATTERN = r"^(iv|iii|ii|i|[1-4])([abc][0-9]?)?(\W|$)"
 
-SLUG_LENGTH = 40
 
 
 def clean_unknown(c: Column | str) -> Column:
@@ -107,6 +106,7 @@ def recode_stage(c: Column | str, mode: str = "strict") -> Column:
     )
 
 
-def slug(c: Column | str, length: int = SLUG_LENGTH) -> Column:
-    """Lower case, whitespace runs to underscores, cut to ``length``; unknown stays unknown."""
-    return F.substring(F.regexp_replace(F.lower(clean_unknown(c)), r"\s+", "_"), 1, length)
+def slug(c: Column | str, length: int | None = None) -> Column:
+    """Lower case, whitespace runs to underscores; unknown stays unknown. ``length`` cuts names on request."""
+    name = F.regexp_replace(F.lower(clean_unknown(c)), r"\s+", "_")
+    return name if length is None else F.substring(name, 1, length)

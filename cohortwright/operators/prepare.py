@@ -267,7 +267,9 @@ def training_medians(long: DataFrame, folds: Sequence[int], fold: str = "outer_f
 def select_features(
     stats: DataFrame, top: int = 5000, least: int = 1000, most: int = 8000
 ) -> DataFrame:
-    """Genes kept per held-out fold: varying in training, the ``min(max(top, least), most, n)`` most variable."""
+    """Genes kept per held-out fold: varying in training, the ``max(top, least)`` most variable, at most ``most``."""
+    if top > most:
+        raise ValueError(f"top={top} exceeds most={most}; raise ``most`` to keep more genes")
     varying = stats.filter(F.col("variance") > MIN_VARIANCE)
     ranked = number_rows(varying, ["outer_fold"], [F.desc("variance"), "gene"], "rank", total=True)
     return ranked.filter(F.col("rank") <= min(max(top, least), most)).withColumnRenamed("rank_total", "retained")

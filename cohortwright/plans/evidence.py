@@ -23,8 +23,8 @@ def rank_evidence(
     dims: Sequence[str] = c.ENVIRONMENTS,
     methods: Sequence[str] = r.METHODS,
     weights: Mapping[str, float] = r.WEIGHTS,
-    cap_per_class: int = 25,
-    n_perturb: int = 100,
+    cap_per_class: int | None = None,
+    n_perturb: int | None = None,
     q: float = 0.1,
     min_rows: int = 10,
     n_boot: int = 100,
@@ -46,9 +46,11 @@ def rank_evidence(
     scorer = gates.select(*r.RUN, "gene", F.col("gate_weight").alias("weight"))
 
     gate_run, gate_gene = r.aggregate_weights(gates)
-    # Attribution is sampled by design: up to ``cap_per_class`` samples per fold and class.
-    chosen = c.capped_sample(samples, "disease_label", cap_per_class, seed, by=["outer_fold"])
-    attr = materialize(r.attribute(joins.restrict(long, chosen), scorer, methods))
+    # All held-out samples are attributed; ``cap_per_class`` draws some per fold and class on request.
+    attributed = long
+    if cap_per_class is not None:
+        attributed = joins.restrict(long, c.capped_sample(samples, "disease_label", cap_per_class, seed, by=["outer_fold"]))
+    attr = materialize(r.attribute(attributed, scorer, methods))
     per_run = materialize(r.attribution_by_run(attr))
     by_method, attr_gene = r.attribution_by_gene(per_run)
     scores = materialize(r.run_scores(per_run, gate_run))
@@ -59,9 +61,11 @@ def rank_evidence(
         "gene", F.col("mean_abs_gate_weight").alias("gate_score"), "mean_gate_weight", "gate_selection_frequency"
     )
     stable_part = stable.withColumnRenamed("stability_score_raw", "stability_score")
-    top = materialize(r.preselect(joins.fuse_evidence(attr_part, gate_part, stable_part), n_perturb).select("gene"))
-
-    refs = r.class_reference(joins.restrict(long, top, "gene"), q, by=["outer_fold", "gene"])
+    perturbed = long
+    if n_perturb is not None:
+        top = materialize(r.preselect(joins.fuse_evidence(attr_part, gate_part, stable_part), n_perturb).select("gene"))
+        perturbed = joins.restrict(long, top, "gene")
+    refs = r.class_reference(perturbed, q, by=["outer_fold", "gene"])
     intercepts = gates.select(*r.RUN, "intercept").distinct() if "intercept" in gates.columns else None
     pert = materialize(r.perturb(long, scorer, refs, intercepts))
     pert_run = r.perturb_by_run(pert)

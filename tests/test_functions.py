@@ -64,7 +64,7 @@ def test_other_recodes(spark):
     assert values(spark, [" x ", " -- ", None, "NULL"], clean_unknown("v")) == ["x", "unknown", "unknown", "unknown"]
     assert values(spark, ["M", "Female", "?"], recode_exact("v")) == ["male", "female", "unknown"]
     assert values(spark, ["Squamous adeno", "Adenoma", "z", ""], recode_contains("v")) == ["escc", "eac", "other", "unknown"]
-    assert values(spark, ["North  East " + "x" * 60, None], slug("v")) == [("north_east_" + "x" * 60)[:40], "unknown"]
+    assert values(spark, ["North  East " + "x" * 60, None], slug("v", 40)) == [("north_east_" + "x" * 60)[:40], "unknown"]
 
 
 def test_arithmetic(spark):
