@@ -55,7 +55,7 @@ def byte_grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     real = np.ones(len(padded), bool)
     for mark in range(3):
         real[ends - length - mark - 1] = False
-    return key[real].astype(np.int64), owner[real]
+    return key[real], owner[real]
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,6 +67,18 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[start], np.add.reduceat(counts, start)
 
 
+def _counted(keys: np.ndarray, train: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct keys with their counts in training texts, apart for keys of training and of other texts."""
+    out = []
+    for wanted in (True, False):
+        mine = np.sort(keys[train == wanted])
+        if len(mine):
+            start = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1])))
+            counts = np.diff(np.append(start, len(mine))) if wanted else np.zeros(len(start), np.int64)
+            out.append((mine[start].astype(np.int64), counts))
+    return out
+
+
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, kind, key, n): what each bucket holds, and how often in training texts."""
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -74,6 +86,8 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> Iterator[pa.RecordBatch]:
         for kind, parts in held.items():
+            if not parts:
+                continue
             keys, n = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(keys), bucket)), pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n)], names=["bucket", "kind", "key", "n"]
@@ -87,11 +101,11 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from out()
                 held, bucket = {WORD: [], GRAM: []}, int(of[a])
             for part in chunks(batch.slice(a, b - a)):
-                train = part.column("train").to_numpy(zero_copy_only=False).astype(np.int64)
+                train = part.column("train").to_numpy(zero_copy_only=False)
                 words = cut(part.column("text"), SPACED, lower=True)
-                held[WORD].append(_summed(signed(words.hashes()), np.repeat(train, words.per_doc)))
+                held[WORD] += _counted(signed(words.hashes()), np.repeat(train, words.per_doc))
                 keys, doc = byte_grams(part.column("text"))
-                held[GRAM].append(_summed(keys, train[doc]))
+                held[GRAM] += _counted(keys, train[doc])
     yield from out()
 
 
@@ -186,32 +200,30 @@ def _top(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mixed.one, mixed.rest, mixed.last
 
 
-def _scores(docs: pa.Table, values: pa.Table, end: tuple[float, bool]) -> pa.Table:
-    kind = values.column("kind").to_numpy()
+def _scores(docs: pa.Table, values: pa.Table, ends: int, whole: float) -> pa.Table:
+    """``values``: counts of words, log10 probabilities of grams."""
+    kind, base_of = values.column("kind").to_numpy(), lambda n: np.log10((n + 0.1) / whole)
     known = {}
     for k in (WORD, GRAM):
-        mine = kind == k
-        key, value = values.column("key").to_numpy()[mine], values.column("value").to_numpy()[mine]
-        seen = values.column("seen").to_numpy(zero_copy_only=False).astype(bool)[mine]
+        key, value = (values.column(c).to_numpy()[kind == k] for c in ("key", "value"))
         order = np.argsort(key)
-        known[k] = key[order], value[order], seen[order]
+        known[k] = key[order], value[order]
     parts = []
     for batch in docs.to_batches():
         for part in chunks(batch):
             n = part.num_rows
             words = cut(part.column("text"), SPACED, lower=True)
-            key, value, seen = known[WORD]
-            at, doc = np.searchsorted(key, signed(words.hashes())), words.doc_of()
-            base = np.bincount(doc, value[at], n) if len(at) else np.zeros(n)
-            have = np.bincount(doc, seen[at], n) if len(at) else np.zeros(n)
-            key, value, _ = known[GRAM]
+            key, value = known[WORD]
+            count, doc = value[np.searchsorted(key, signed(words.hashes()))], words.doc_of()
+            base, have = np.bincount(doc, base_of(count), n), np.bincount(doc, count > 0, n)
+            key, value = known[GRAM]
             grams, of = byte_grams(part.column("text"))
-            score = np.bincount(of, value[np.searchsorted(key, grams)], n)
+            score = np.bincount(of, value[np.searchsorted(key, grams.astype(np.int64))], n)
             size = np.bincount(of, minlength=n)
             parts.append(pa.table({
                 "doc_id": part.column("doc_id"), "held_out": pa.array(~part.column("train").to_numpy(zero_copy_only=False)),
-                "n_tokens": words.per_doc.astype(np.int64) + 1, "n_known": have.astype(np.int64) + int(end[1]),
-                "base_score": base + end[0], "score": score, "bits_per_byte": -score * (_LN10 / _LN2) / size,
+                "n_tokens": words.per_doc.astype(np.int64) + 1, "n_known": have.astype(np.int64) + int(ends > 0),
+                "base_score": base + base_of(ends), "score": score, "bits_per_byte": -score * (_LN10 / _LN2) / size,
             }))
     return pa.concat_tables(parts)
 
@@ -231,14 +243,13 @@ def score(docs: DataFrame) -> DataFrame:
     tokens, types = totals.filter(F.col("kind") == WORD).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     tokens, types = tokens + ends, types + int(ends > 0)
     whole = tokens + 0.1 * (types + 1)
-    words = totals.filter(F.col("kind") == WORD).select("kind", "key", F.log10((F.col("n") + 0.1) / F.lit(whole)).alias("value"), (F.col("n") > 0).alias("seen"))
+    words = totals.filter(F.col("kind") == WORD).select("kind", "key", F.col("n").cast("double").alias("value"))
     # Start and end marks stand for bytes, so every gram has its context group.
     grams = totals.filter(F.col("kind") == GRAM).select(F.shiftright("key", 8).bitwiseAND(0xFFFF).alias("context"), "key", "n").groupBy("context")
     depth2 = grams.applyInArrow(_depth_two, "recent bigint, node bigint, zeros double, ones double, weighted double")
     top = _top(depth2.groupBy("recent", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).collect())
     scored = grams.applyInArrow(lambda t: _gram_scores(t, top), "key bigint, value double")
-    values = words.union(scored.select(F.lit(GRAM).alias("kind"), "key", "value", F.lit(True).alias("seen")))
+    values = words.union(scored.select(F.lit(GRAM).alias("kind"), "key", "value"))
     answers = asked.select("bucket", "kind", "key").join(values, ["kind", "key"])
-    end = float(np.log10((ends + 0.1) / whole)), ends > 0
-    out = held.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(lambda a, b: _scores(a, b, end), _SCORED_SQL)
+    out = held.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(lambda a, b: _scores(a, b, ends, whole), _SCORED_SQL)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score", "bits_per_byte")
