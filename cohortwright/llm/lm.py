@@ -112,7 +112,7 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln Gamma(x) for x > 0: Stirling's series at x + 8, carried back."""
     y = x + 8
-    series = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    series = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
     return series - np.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7))
 
 
@@ -235,7 +235,7 @@ def score(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0
     row = F.monotonically_increasing_id()
-    held = materialize(texts(docs).withColumns({"train": train, "bucket": F.floor(row / DOCS_PER_BUCKET).cast("bigint")}))
+    held = materialize(texts(docs).withColumns({"train": train, "bucket": F.floor(row / DOCS_PER_BUCKET).cast("bigint")}), compression="zstd")
     # Rows of a partition stay in order, so a bucket is read in few pieces.
     asked = materialize(held.select("bucket", "train", "text").mapInArrow(_asked, "bucket bigint, kind int, key bigint, n bigint"))
     totals = materialize(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")))

@@ -225,8 +225,8 @@ class _Graph:
         k, percent = self.k, self.percent
         return materialize(pairs.join(a, "a").join(b, "b").mapInArrow(lambda it: _confirmed(it, k, percent), "a bigint, b bigint"))
 
-    def links(self) -> DataFrame:
-        """Stored links (a, b) that join all classes of a component."""
+    def roots(self) -> DataFrame:
+        """(node, root) of all classes that are linked with another."""
         bucket = self.classes.select("uid", F.explode("bands").alias("key"))
         shared = bucket.groupBy("key").agg(F.min("uid").alias("least"), F.count("*").alias("n")).filter("n > 1")
         members = materialize(bucket.join(shared, "key"))
@@ -234,11 +234,14 @@ class _Graph:
         likely = materialize(self.near(stars))
         first = self.confirmed(likely)
         members, links, tested = members.filter("n > 2").select("uid", "key"), first, likely
+        roots = components(links)
         for last in (False,) * ROUNDS + (True,):
-            across = self.across(members, components(links), best=not last)
+            across = self.across(members, roots, best=not last)
             across = materialize(across.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-            links, tested = links.union(self.confirmed(across)), tested.union(across)
-        return links
+            if not across.isEmpty():
+                links, tested = links.union(self.confirmed(across)), tested.union(across)
+                roots = components(links)
+        return roots
 
     def across(self, members: DataFrame, roots: DataFrame, best: bool) -> DataFrame:
         """Likely pairs between the components that a bucket holds; ``best``: the closest one of each class only."""
@@ -268,8 +271,7 @@ class _Graph:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, log2_bits: int = 24) -> DataFrame:
     """Per document row: uid, doc_id, text_hash, n_shingles, component_id, first (the one row of its component to keep)."""
     graph = _Graph(docs, k, percent, log2_bits)
-    roots = components(graph.links())
-    placed = graph.classes.select("uid", "digest").join(roots.withColumnRenamed("node", "uid"), "uid", "left")
+    placed = graph.classes.select("uid", "digest").join(graph.roots().withColumnRenamed("node", "uid"), "uid", "left")
     placed = placed.select("digest", F.coalesce("root", "uid").alias("root"))
     rows = graph.rows.select("uid", "doc_id", "text_hash", "n_shingles", "digest").join(placed, "digest", "left")
     rows = materialize(rows.withColumn("root", F.coalesce("root", "uid")).drop("digest"))
