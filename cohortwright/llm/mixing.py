@@ -119,7 +119,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     settled, level = [], 0
     while True:
         # One row for each source and size class, however many documents they have.
-        placed = open_.withColumn("class", F.floor(F.log2("size") * 4).cast("int"))
+        # Classes widen with the level, so every level has fewer rows than the one before.
+        placed = open_.withColumn("class", F.floor(F.log2("size") * (4 / 4**level)).cast("int"))
         counts = placed.groupBy("source_hash", "class").agg(F.count("*").alias("n"))
         counts = counts.withColumn("of_source", F.sum("n").over(Window.partitionBy("source_hash")))
         # A source that fits one block is one, so that small documents can settle its large ones.
