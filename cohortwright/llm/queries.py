@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, licenses, lines, lm, mixing, neardup, quality, sharding, substrings, toxicity
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,5 +82,3 @@ QUERIES: dict[str, Query] = {
         op9_toxicity, op10_minhash,
     )
 }
-
-ORACLES: dict[str, str] = {}
