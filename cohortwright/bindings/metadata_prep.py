@@ -168,17 +168,24 @@ def c16(spark, sf):
 
 # ---- profiling and preparation -----------------------------------------------------------------
 
-PROFILED = {"gender": "string", "age": "string", "days_to_death": "double", "h": "bigint"}
+PROFILED = {
+    "c_custkey": "bigint", "barcode": "string", "gender": "string", "smoking_status": "string", "tumor_stage": "string",
+    "primary_diagnosis": "string", "country": "string", "race": "string", "age": "string", "days_to_death": "double",
+    "project_id": "string", "h": "bigint",
+}
 
 
 @book.add("p1_missing_profile", sql(" UNION ALL ".join(f"SELECT 'meta' AS dataset, '{c}' AS \"column\", count(*) - count({c}) AS missing_count, (count(*) - count({c})) / count(*) AS missing_fraction, '{t}' AS dtype FROM meta" for c, t in PROFILED.items()), "missing_fraction"))
 def p1(spark, sf):
-    return profile.missing_profile(view(spark, sf, "meta").select(*PROFILED), "meta")
+    return profile.missing_profile(view(spark, sf, "meta"), "meta")
 
 
-@book.add("p2_missing_total", sql("SELECT 'meta' AS dataset, sum(CAST(gender IS NULL AS INT) + CAST(age IS NULL AS INT)) AS missing_values FROM meta UNION ALL SELECT 'expr', sum(CAST(value IS NULL AS INT)) FROM expr", ints="missing_values"))
+MISSING_CELLS = " + ".join(f"CAST({c} IS NULL AS INT)" for c in PROFILED)
+
+
+@book.add("p2_missing_total", sql(f"SELECT 'meta' AS dataset, sum({MISSING_CELLS}) AS missing_values FROM meta UNION ALL SELECT 'expr', sum(CAST(value IS NULL AS INT)) FROM expr", ints="missing_values"))
 def p2(spark, sf):
-    return profile.missing_total({"meta": view(spark, sf, "meta").select("gender", "age"), "expr": view(spark, sf, "expr")})
+    return profile.missing_total({"meta": view(spark, sf, "meta"), "expr": view(spark, sf, "expr")})
 
 
 @book.add("p3_impute_mean", sql("SELECT sample_id, gene, coalesce(value, avg(value) OVER (PARTITION BY gene)) AS value FROM expr", "value"))
