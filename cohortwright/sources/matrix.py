@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,25 +41,36 @@ def matrix_to_long(df: DataFrame, id_col: str | None = None, prefix: str = BARCO
 
 
 def read_wide_matrix(spark: SparkSession, path: str, sep: str = ",", prefix: str = BARCODE_PREFIX) -> DataFrame:
-    """Long form of a delimited matrix with too many columns for a table schema.
+    """Long form of delimited matrices with too many columns for a table schema.
 
-    Each line is one text value, split and exploded by position; the header becomes a table of
-    positions. Cells must not contain the separator.
+    Each line is one text value, split and exploded by position. Every file has its own header, which
+    gives its labels and its orientation; a line with another number of cells than its header is an
+    error. Cells must not contain the separator.
     """
-    lines = spark.read.text(path)
-    header = lines.first()[0]
-    labels = [c.strip() for c in next(csv.reader([header], delimiter=sep))]
-    by_gene = is_gene_by_sample(labels, prefix)
-    positions = spark.createDataFrame(list(enumerate(labels[1:])), "position int, label string")
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("nth"),
+    )
     cells = F.split("value", re.escape(sep))
-    body = lines.filter(F.col("value") != header).select(
-        F.trim(F.get(cells, F.lit(0)), F.lit(' "')).alias("key"),
-        F.posexplode(F.slice(cells, 2, len(labels))).alias("position", "cell"),
+    headers = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "nth").alias("header"))
+    labels = F.transform(F.split("header", re.escape(sep)), lambda x: F.trim(x, F.lit(' "')))
+    headers = headers.select("file", "header", labels.alias("labels")).withColumn("n", F.size("labels"))
+    after = F.slice("labels", 2, F.col("n"))
+    samples = F.size(F.filter(after, lambda x: F.upper(F.replace(x, F.lit("."), F.lit("-"))).startswith(prefix)))
+    # The same rule as ``is_gene_by_sample``, for each file.
+    by_gene = (F.col("n") >= 3) & (samples >= F.greatest(F.lit(3), F.floor((F.col("n") - 1) / 2)))
+    headers = headers.withColumn("by_gene", by_gene)
+    positions = headers.select("file", "by_gene", F.posexplode(after).alias("position", "label"))
+    body = lines.join(headers.select("file", "header", "n"), "file").filter((F.col("value") != F.col("header")) & (F.trim("value") != ""))
+    wrong = F.raise_error(F.concat(F.lit("Line with another number of cells than the header of "), F.col("file")))
+    checked = F.when(F.size(cells) == F.col("n"), cells).otherwise(wrong.cast("array<string>"))
+    body = body.select("file", checked.alias("cells")).select(
+        "file", F.trim(F.get("cells", F.lit(0)), F.lit(' "')).alias("key"), F.posexplode(F.slice("cells", 2, F.size("cells"))).alias("position", "cell")
     )
     text = F.trim(F.col("cell"), F.lit(' "'))
-    long = body.join(positions, "position").withColumn("value", to_number(F.when(~text.isin(*MISSING_TOKENS), text)))
-    sample, gene = ("label", "key") if by_gene else ("key", "label")
-    return long.select(F.col(sample).alias("sample_id"), F.col(gene).alias("gene"), "value")
+    long = body.join(positions, ["file", "position"]).withColumn("value", to_number(F.when(~text.isin(*MISSING_TOKENS), text)))
+    sample, gene = (F.when(F.col("by_gene"), F.col(x)).otherwise(F.col(y)) for x, y in (("label", "key"), ("key", "label")))
+    return long.select(sample.alias("sample_id"), gene.alias("gene"), "value")
 
 
 def name_unnamed(label: str) -> bool:

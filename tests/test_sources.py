@@ -50,6 +50,16 @@ def test_wide_text_matrix_both_ways(spark, tmp_path):
     assert rows == {("s1", "g1"): 1.0, ("s1", "g2"): 2.0, ("s2", "g1"): 3.0, ("s2", "g2"): None}
 
 
+def test_wide_files_with_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("gene,TCGA-1,TCGA-2,TCGA-3\ng1,1,2,3\n")
+    (tmp_path / "b.csv").write_text("barcode,g1,g2\nTCGA-9,7,8\n\n")
+    rows = {(r["sample_id"], r["gene"]): r["value"] for r in matrix.read_wide_matrix(spark, str(tmp_path)).collect()}
+    assert rows == {("TCGA-1", "g1"): 1.0, ("TCGA-2", "g1"): 2.0, ("TCGA-3", "g1"): 3.0, ("TCGA-9", "g1"): 7.0, ("TCGA-9", "g2"): 8.0}
+    (tmp_path / "c.csv").write_text("barcode,g1,g2\ns1,1\n")
+    with pytest.raises(Exception, match="another number of cells"):
+        matrix.read_wide_matrix(spark, str(tmp_path / "c.csv")).collect()
+
+
 def test_gene_sets(spark, tmp_path):
     (tmp_path / "a.gmt").write_text("S1\tdesc\tA\tB\tA\t\nshort\tx\nS2\td\tC\n")
     got = {tuple(r) for r in gene_sets.read_gene_sets(spark, str(tmp_path / "a.gmt")).collect()}
