@@ -3,12 +3,14 @@
 Words (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z became a-z) are hashed into BUCKETS embeddings. Filters of 1, 2
 and 3 words slide over them; each filter's rectified maximum over the document is a feature of a logistic output. The
 network is trained in numpy with Adagrad on at most SAMPLE labelled documents, taken in hash order of their ids from
-the labelled rows given (the only bound; whole texts are used). One coordinate of an embedding starts from the word's
+the labelled rows given (the only bound, of the fit alone; whole texts are used). One coordinate of an embedding starts from the word's
 smoothed log-odds among training documents, the rest at random. Scoring is a narrow pass over all rows: a word's
 product with every filter row is tabulated once, so a document costs a few gathers a word.
 
-A tenth of the sample chooses for each language the threshold with the best F1 (``toxic_by_lang`` in the result);
-language, source and id never enter the score. Null and empty texts have no words: all features are 0. Documents
+All labelled rows given choose for each language the threshold with the best F1 (``toxic_by_lang`` in the result), each
+by the score of a network that did not learn from it: rows of the sample are scored by FOLDS further networks, each
+fitted without its fold, all others by the network itself. A language with fewer than LEAST rows of either label keeps
+the default. Language, source and id never enter the score. Null and empty texts have no words: all features are 0. Documents
 without label are scored only; rows of ``labels`` with a null id or label are left out, repeated ones count as their
 greatest label. Without labelled rows every score is 1/2.
 """
@@ -23,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import texts
+from cohortwright.operators.distributed import lookup_join, running_totals
+
+from .store import materialize, texts
 from .words import PLAIN, chunks, cut
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 8, (1, 2, 3)
 SAMPLE, EPOCHS, BATCH, RATE, DECAY = 8000, 6, 32, 0.05, 1e-5
+FOLDS, LEAST = 5, 5
 
 
 def _bucketed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -161,42 +166,59 @@ def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batch):
             ids, offsets = _bucketed(part.column("text"))
             flat = [ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), part.column("toxic"), pa.array(flat, pa.binary())], names=["doc_id", "lang", "toxic", "ids"])
-
-
-def best_threshold(score: np.ndarray, label: np.ndarray, default: float = 0.3) -> float:
-    """The threshold with the best F1; the default where a language has too few labels of either kind."""
-    if label.sum() < 5 or (1 - label).sum() < 5:
-        return default
-    order = np.argsort(-score, kind="stable")
-    hit = np.cumsum(label[order])
-    f1 = 2 * hit / (np.arange(1, len(order) + 1) + label.sum())
-    last = np.append(score[order][1:] != score[order][:-1], True)
-    at = int(np.where(last, f1, -1).argmax())
-    below = score[order][at + 1] if at + 1 < len(order) else 0.0
-    return float((score[order][at] + below) / 2)
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Network, dict[str, float]]:
-    """The network and a threshold for each language, from at most ``sample`` labelled documents."""
-    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = texts(docs, F.col("lang").cast("string").alias("lang")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.mapInArrow(_ids, "doc_id bigint, lang string, toxic int, ids binary").collect()
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "lang", "toxic", "fold")), pa.array(flat, pa.binary())], names=["doc_id", "lang", "toxic", "fold", "ids"])
+
+
+def _without(fold: int, ids: list[np.ndarray], label: np.ndarray, folds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and scores of a fold's documents by a network that learnt from the others."""
+    mine = np.flatnonzero(folds == fold)
+    if not len(mine):
+        return mine, np.zeros(0)
+    net, others = Network(), np.flatnonzero(folds != fold)
+    if len(others):
+        net.fit([ids[i] for i in others], label[others])
+    else:
+        net.out[:] = 0
+    return mine, scored(np.concatenate([ids[i] for i in mine]), np.concatenate(([0], np.cumsum([len(ids[i]) for i in mine]))), net, net.tables())
+
+
+def known_labels(labels: DataFrame) -> DataFrame:
+    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.col("toxic").cast("int") > 0).cast("int").alias("toxic")).dropna()
+    return known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def train(docs: DataFrame, chosen: DataFrame) -> tuple[Network, DataFrame]:
+    """The network, and (lang, score, toxic) of the chosen labelled documents by networks that did not learn from them."""
+    spark = docs.sparkSession
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = texts(docs, F.col("lang").cast("string").alias("lang")).join(F.broadcast(chosen.select("*", fold)), "doc_id")
+    rows = rows.mapInArrow(_ids, "doc_id bigint, lang string, toxic int, fold int, ids binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.ids))
     net = Network()
-    ids, label = [np.frombuffer(r.ids, np.int32) for r in rows], np.array([int(r.toxic > 0) for r in rows], np.int64)
-    held = np.array([r.doc_id % 10 == 7 for r in rows], bool) if len(rows) >= 200 else np.zeros(len(rows), bool)
-    if not len(rows):
+    if not rows:
         net.out[:] = 0
-        return net, {}
-    net.fit([x for x, h in zip(ids, held) if not h], label[~held])
-    test = held if held.any() else ~held
-    mine = [x for x, h in zip(ids, test) if h]
-    score = scored(np.concatenate(mine), np.concatenate(([0], np.cumsum([len(x) for x in mine]))), net, net.tables())
-    lang = np.array([r.lang or "" for r, h in zip(rows, test) if h])
-    return net, {str(name): best_threshold(score[lang == name], label[test][lang == name]) for name in np.unique(lang)}
+        return net, spark.createDataFrame([], "lang string, score double, toxic int")
+    ids, label, folds = [np.frombuffer(r.ids, np.int32) for r in rows], np.array([r.toxic for r in rows], np.int64), np.array([r.fold for r in rows])
+    sent = spark.sparkContext.broadcast((ids, label, folds))
+    # One task for each fold.
+    apart = spark.sparkContext.parallelize(range(FOLDS), FOLDS).map(lambda k: _without(k, *sent.value)).collect()
+    net.fit(ids, label)
+    out = [(rows[i].lang, float(s), rows[i].toxic) for places, scores in apart for i, s in zip(places, scores)]
+    return net, spark.createDataFrame(out, "lang string, score double, toxic int")
+
+
+def best_thresholds(judged: DataFrame) -> DataFrame:
+    """(lang, limit) from (lang, score, toxic): half way below the score with the best F1, the highest of equal ones.
+
+    Equal scores are combined first; running counts are range-partitioned, so a language may hold all rows.
+    """
+    counts = materialize(judged.groupBy(F.coalesce("lang", F.lit("")).alias("lang"), "score").agg(F.sum("toxic").alias("hit"), F.count("*").alias("n")))
+    upto = running_totals(counts, ["lang"], [F.col("score").desc()], {"hits": "hit", "rows": "n"}, totals=True)
+    enough = upto.filter((F.col("hits_total") >= LEAST) & (F.col("rows_total") - F.col("hits_total") >= LEAST))
+    f1 = 2 * F.col("hits") / (F.col("rows") + F.col("hits_total"))
+    best = enough.groupBy("lang").agg(F.max_by("score", F.struct(f1, "score")).alias("best"))
+    below = lookup_join(counts, best, "lang", "inner").groupBy("lang", "best").agg(F.max(F.when(F.col("score") < F.col("best"), F.col("score"))).alias("below"))
+    return below.select("lang", ((F.col("best") + F.coalesce("below", F.lit(0.0))) / 2).alias("limit"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -205,10 +227,13 @@ def held_out(doc_id: Column) -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """Per document row: doc_id, held_out, score, predicted, toxic_by_lang."""
-    net, limits = train(docs, labels.filter(~held_out(F.col("doc_id"))), sample)
+    known = materialize(known_labels(labels.filter(~held_out(F.col("doc_id")))))
+    chosen = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    net, judged = train(docs, chosen)
     lang = F.col("lang").cast("string").alias("lang")
-    out = texts(docs, lang).mapInArrow(lambda it: _score_batches(it, net), "doc_id bigint, lang string, score double")
-    limit = F.lit(threshold)
-    for name, at in limits.items():
-        limit = F.when(F.coalesce("lang", F.lit("")) == name, F.lit(at)).otherwise(limit)
+    out = materialize(texts(docs, lang).mapInArrow(lambda it: _score_batches(it, net), "doc_id bigint, lang string, score double"))
+    others = known.join(F.broadcast(chosen), "doc_id", "left_anti")
+    limits = best_thresholds(judged.unionByName(out.join(others, "doc_id").select("lang", "score", "toxic")))
+    out = lookup_join(out.withColumn("lang", F.coalesce("lang", F.lit(""))), limits, "lang")
+    limit = F.coalesce("limit", F.lit(threshold))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), (F.col("score") >= limit).alias("toxic_by_lang"))

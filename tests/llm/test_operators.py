@@ -187,6 +187,35 @@ def test_toxicity_held_out(spark):
     assert (rank[label == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(label) - ones)) > 0.9
 
 
+def test_toxicity_thresholds(spark):
+    """The best F1 of each language over all its labelled rows, ties and rare labels included."""
+    random = np.random.default_rng(4)
+    rows = [(lang, float(random.integers(0, 40)) / 40, int(random.random() < share)) for lang, n, share in (("a", 400, 0.1), ("b", 60, 0.5), (None, 300, 0.9), ("few", 40, 0.05)) for _ in range(n)]
+    got = {r.lang: r.limit for r in toxicity.best_thresholds(spark.createDataFrame(rows, "lang string, score double, toxic int")).collect()}
+    want = {}
+    for lang in ("a", "b", "", "few"):
+        mine = [(s, t) for name, s, t in rows if (name or "") == lang]
+        ones = sum(t for _, t in mine)
+        if min(ones, len(mine) - ones) >= 5:
+            levels = sorted({s for s, _ in mine})
+            f1 = lambda at: 2 * sum(t for s, t in mine if s >= at) / (sum(s >= at for s, _ in mine) + ones)
+            best = max(levels, key=lambda at: (f1(at), at))
+            want[lang] = (best + max((s for s in levels if s < best), default=0.0)) / 2
+    assert got == want and "few" not in want and len(want) == 3
+
+
+@pytest.mark.parametrize("sample", (250, 8000))
+def test_toxicity_rare_language(spark, sample):
+    """A language has its own threshold wherever its labelled rows lie, in the network's sample or outside."""
+    random = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{w}" for w in random.integers(0, 300, 30)), "xx" if i % 10 < 5 else "en", int(random.random() < 0.15)) for i in range(400)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id bigint, toxic int")
+    out = toxicity.classify(docs, labels, 2.0, sample).collect()
+    found = {r.doc_id for r in out if r.toxic_by_lang}
+    assert {lang for i, _, lang, _ in rows if i in found} == {"xx", "en"}
+
+
 def test_near_duplicates(spark, given):
     where, docs, _ = given
     out = QUERIES["op10_minhash"](spark, where)
