@@ -1,19 +1,22 @@
 """Language-model scores by context-tree weighting over bytes, beside a smoothed word-unigram base.
 
 A byte is eight binary decisions, one for each node on its path through a binary tree of the 256 bytes. Every node is
-predicted in the contexts of 0, 1, 2 and 3 preceding bytes by Krichevsky-Trofimov estimates, and all depths are
+predicted in the contexts of 0 to ``depth`` preceding bytes by Krichevsky-Trofimov estimates, and all depths are
 mixed with the weights that context-tree weighting gives them after the training texts: with P_e the estimator's
 probability of a context's bits and P_w = (P_e + product of the P_w of its longer contexts) / 2, a context stops
 the descent with weight P_e / (2 P_w). A node that training never reached in a context leaves its weight to the
-longest context that did reach it. A text starts after three start marks (byte FE) and ends with an end mark (FF);
+longest context that did reach it. A text starts after ``depth`` start marks (byte FE) and ends with an end mark (FF);
 neither byte occurs in UTF-8. The score is the log10 probability of the whole text with its end.
 
 As Spark jobs, no table is broadcast but one of fixed size (256 x 256 nodes):
 
-1. Documents are stored in buckets of neighbouring rows. A bucket sends each distinct word and 4-byte gram it holds
-   once, with its count in training texts; sums by key give all statistics of the corpus, with a row a bucket at most.
-2. Grams are grouped by the two bytes before the last (at most 65,536 groups of at most 65,536 grams), which holds
-   each group's subtrees of depth 2 and 3 whole. Sums over groups give depths 1 and 0.
+1. Documents are stored in buckets of neighbouring rows. A bucket sends each distinct word and gram (the preceding bytes
+   and the byte itself, 8 bytes at most) it holds once, with its count in training texts; sums by key give all
+   statistics of the corpus, with a row a bucket at most.
+2. Nodes of a context go up to its shortened one: groups by hash of the last four context bytes hold their deeper
+   subtrees whole and send a row for each node of depth 4; groups by hash of the last two bytes do the same down to
+   depth 2; sums give depths 1 and 0. The mixture so far comes back down the same way. A tree of depth 4 or less has
+   only the second kind of groups.
 3. Word and gram values go back to the buckets that asked for them, and a cogroup of both scores the documents.
 
 Null texts count as empty: one end token. A null ``doc_id`` counts as the empty text in the hash (held out). Repeated
@@ -23,37 +26,40 @@ rows are trained on and scored one by one. Without training texts all contexts a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .store import materialize, texts
 from .words import SPACED, buffers, chunks, cut, signed
 
 DOCS_PER_BUCKET = 8192
+MAX_DEPTH = 7  # a gram is one 64-bit number
+ROWS_PER_GROUP = 1 << 17
 WORD, GRAM = 0, 1
 START, END = 0xFE, 0xFF
 _LN2, _LN10, _LNPI = float(np.log(2)), float(np.log(10)), float(np.log(np.pi))
 
 
-def byte_grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(three preceding bytes and the byte itself as one number, document) of every byte and end of the texts."""
+def byte_grams(column: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(preceding bytes and the byte itself as one number, document) of every byte and end of the texts."""
     data, offsets = buffers(column)
-    n = len(offsets) - 1
+    n, width = len(offsets) - 1, depth + 1
     length = np.diff(offsets)
-    padded = np.full(len(data) + 4 * n, START, np.uint32)
+    padded = np.full(len(data) + width * n, START, np.uint64)
     doc = np.repeat(np.arange(n), length)
-    padded[np.arange(len(data)) + 4 * doc + 3] = data
-    ends = offsets[1:] + 4 * np.arange(1, n + 1) - 1
+    padded[np.arange(len(data)) + width * doc + depth] = data
+    ends = offsets[1:] + width * np.arange(1, n + 1) - 1
     padded[ends] = END
     key = padded.copy()
-    for back in (1, 2, 3):
-        key[back:] |= padded[:-back] << np.uint32(8 * back)
-    owner = np.repeat(np.arange(n), length + 4)
+    for back in range(1, width):
+        key[back:] |= padded[:-back] << np.uint64(8 * back)
+    owner = np.repeat(np.arange(n), length + width)
     real = np.ones(len(padded), bool)
-    for mark in range(3):
+    for mark in range(depth):
         real[ends - length - mark - 1] = False
     return key[real], owner[real]
 
@@ -79,7 +85,7 @@ def _counted(keys: np.ndarray, train: np.ndarray) -> list[tuple[np.ndarray, np.n
     return out
 
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _asked(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     """(bucket, kind, key, n): what each bucket holds, and how often in training texts."""
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     bucket = None
@@ -104,7 +110,7 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 train = part.column("train").to_numpy(zero_copy_only=False)
                 words = cut(part.column("text"), SPACED, lower=True)
                 held[WORD] += _counted(signed(words.hashes()), np.repeat(train, words.per_doc))
-                keys, doc = byte_grams(part.column("text"))
+                keys, doc = byte_grams(part.column("text"), depth)
                 held[GRAM] += _counted(keys, train[doc])
     yield from out()
 
@@ -116,15 +122,6 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return series - np.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7))
 
 
-def node_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones seen at each node (1 to 255) of the byte tree, for rows of 256 byte counts."""
-    zeros, ones = np.zeros_like(counts), np.zeros_like(counts)
-    for level in range(8):
-        halves = counts.reshape(len(counts), 1 << level, 2, 128 >> level).sum(axis=-1)
-        zeros[:, 1 << level : 2 << level], ones[:, 1 << level : 2 << level] = halves[..., 0], halves[..., 1]
-    return zeros, ones
-
-
 def estimated(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """ln of the Krichevsky-Trofimov probability of such a row of bits."""
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - _LNPI
@@ -133,18 +130,17 @@ def estimated(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 class _Mixture:
     """The mixed chance of a one at each node so far, and the weight left for longer contexts."""
 
-    def __init__(self, shape: tuple[int, ...]):
-        self.one, self.rest, self.last = np.zeros(shape), np.ones(shape), np.full(shape, 0.5)
+    def __init__(self, one: np.ndarray, rest: np.ndarray, last: np.ndarray):
+        self.one, self.rest, self.last = one, rest, last
 
     def deepen(self, zeros: np.ndarray, ones: np.ndarray, stop: np.ndarray | float) -> _Mixture:
         seen = zeros + ones > 0
         kt = (ones + 0.5) / (zeros + ones + 1)
-        used = np.where(seen, stop, 1.0)
-        out = _Mixture(np.broadcast_shapes(self.one.shape, zeros.shape))
-        out.one = self.one + self.rest * used * np.where(seen, kt, self.last)
-        out.rest = self.rest * (1 - used)
-        out.last = np.where(seen, kt, self.last)
-        return out
+        used, last = np.where(seen, stop, 1.0), np.where(seen, kt, self.last)
+        return _Mixture(self.one + self.rest * used * last, self.rest * (1 - used), last)
+
+    def at(self, row: np.ndarray) -> _Mixture:
+        return _Mixture(self.one[row], self.rest[row], self.last[row])
 
 
 def _weighted(estimate: np.ndarray, longer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,39 +149,85 @@ def _weighted(estimate: np.ndarray, longer: np.ndarray) -> tuple[np.ndarray, np.
     return both, np.exp(estimate - _LN2 - both)
 
 
-def _group_counts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    key, n = table.column("key").to_numpy(), table.column("n").to_numpy()
-    oldest, row = np.unique(key >> 24, return_inverse=True)
-    counts = np.zeros((len(oldest), 256))
-    counts[row, key & 255] = n
-    return counts, key, row, oldest
+@dataclass
+class _Level:
+    """Nodes of the contexts of one depth: ``key`` is context and node, ``row`` the place of each next deeper node."""
+
+    key: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    weighted: np.ndarray
+    stop: np.ndarray | float
+    row: np.ndarray
+
+
+def _climb(level: _Level, depth: int, to: int) -> list[_Level]:
+    """The levels from ``depth`` up to ``to``, deepest first; all longer contexts of a context are in the table."""
+    levels = [level]
+    for d in range(depth - 1, to - 1, -1):
+        key, row = np.unique(level.key & np.uint64((1 << (8 * d + 8)) - 1), return_inverse=True)
+        zeros, ones, longer = (np.bincount(row, x, len(key)) for x in (level.zeros, level.ones, level.weighted))
+        level = _Level(key, zeros, ones, *_weighted(estimated(zeros, ones), longer), row)
+        levels.append(level)
+    return levels
+
+
+def _leaves(table: pa.Table) -> _Level:
+    """Nodes of the longest contexts; ``row`` has the eight nodes of each gram."""
+    gram, n = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    bits = np.arange(8, dtype=np.uint64)
+    byte = (gram & np.uint64(255))[:, None]
+    node = (np.uint64(1) << bits) | (byte >> (np.uint64(8) - bits))
+    one = (byte >> (np.uint64(7) - bits)) & np.uint64(1)
+    key, row = np.unique((gram & ~np.uint64(255))[:, None] | node, return_inverse=True)
+    row, n = row.reshape(-1), np.repeat(n, 8)
+    ones = np.bincount(row, n * one.reshape(-1), len(key))
+    zeros = np.bincount(row, n, len(key)) - ones
+    return _Level(key, zeros, ones, estimated(zeros, ones), 1.0, row)
+
+
+def _stored(table: pa.Table) -> _Level:
+    key, zeros, ones, weighted = (table.column(c).to_numpy() for c in ("key", "zeros", "ones", "weighted"))
+    return _Level(key.view(np.uint64), zeros, ones, weighted, 1.0, np.arange(len(key)))
+
 
+def _upper(level: _Level, depth: int, to: int) -> pa.Table:
+    last = _climb(level, depth, to)[-1]
+    return pa.table({"key": last.key.view(np.int64), "zeros": last.zeros, "ones": last.ones, "weighted": last.weighted})
 
-def _depth_two(table: pa.Table) -> pa.Table:
-    """The depth-2 context of a group at each node: counts and ln P_w."""
-    counts, key, _, _ = _group_counts(table)
-    z3, o3 = node_counts(counts)
-    z2, o2 = z3.sum(axis=0), o3.sum(axis=0)
-    weighted, _ = _weighted(estimated(z2, o2), estimated(z3, o3).sum(axis=0))
-    node = np.flatnonzero(z2 + o2 > 0)
-    return pa.table({"recent": np.full(len(node), key[0] >> 8 & 255), "node": node, "zeros": z2[node], "ones": o2[node], "weighted": weighted[node]})
 
+def _before(key: np.ndarray, above: pa.Table | tuple[np.ndarray, np.ndarray, np.ndarray]) -> _Mixture:
+    """The mixture of all shorter contexts at these nodes, from the stored rows or the top of the tree."""
+    if isinstance(above, tuple):
+        recent, node = (key >> np.uint64(8) & np.uint64(255)).astype(int), (key & np.uint64(255)).astype(int)
+        return _Mixture(*(t[recent, node] for t in above))
+    known = above.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    at = order[np.searchsorted(known, key, sorter=order)]
+    return _Mixture(*(above.column(c).to_numpy()[at] for c in ("one", "rest", "last")))
 
-def _gram_scores(table: pa.Table, top: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Table:
+
+def _descend(levels: list[_Level], above: pa.Table | tuple[np.ndarray, np.ndarray, np.ndarray]) -> _Mixture:
+    """The mixture before the deepest level, at its nodes."""
+    mixed = _before(levels[-1].key, above)
+    for level in levels[:0:-1]:
+        mixed = mixed.deepen(level.zeros, level.ones, level.stop).at(level.row)
+    return mixed
+
+
+def _lower(table: pa.Table, depth: int, to: int, top: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Table:
+    level = _stored(table)
+    mixed = _descend(_climb(level, depth, to), top)
+    return pa.table({"key": table.column("key"), "one": mixed.one, "rest": mixed.rest, "last": mixed.last})
+
+
+def _gram_scores(table: pa.Table, above: pa.Table | tuple[np.ndarray, np.ndarray, np.ndarray], depth: int, to: int) -> pa.Table:
     """log10 probability of the last byte of each gram."""
-    counts, key, row, oldest = _group_counts(table)
-    z3, o3 = node_counts(counts)
-    z2, o2 = z3.sum(axis=0), o3.sum(axis=0)
-    _, stop = _weighted(estimated(z2, o2), estimated(z3, o3).sum(axis=0))
-    mixed, recent = _Mixture((256,)), key[0] >> 8 & 255
-    mixed.one, mixed.rest, mixed.last = (t[recent] for t in top)
-    one = mixed.deepen(z2, o2, stop).deepen(z3, o3, 1.0).one
-    score = np.zeros((len(oldest), 256))
-    every = np.arange(256)
-    for level in range(8):
-        p = one[:, (1 << level) | (every >> (8 - level))]
-        score += np.log(np.where(every >> (7 - level) & 1, p, 1 - p))
-    return pa.table({"key": key, "value": score[row, key & 255] / _LN10})
+    leaves = _leaves(table)
+    one = _descend(_climb(leaves, depth, to), above).deepen(leaves.zeros, leaves.ones, leaves.stop).one
+    bit = table.column("key").to_numpy()[:, None] >> np.arange(7, -1, -1) & 1
+    p = one[leaves.row].reshape(-1, 8)
+    return pa.table({"key": table.column("key"), "value": np.log(np.where(bit, p, 1 - p)).sum(axis=1) / _LN10})
 
 
 def _top(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,11 +238,12 @@ def _top(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     weighted, stop = _weighted(estimated(zeros, ones), longer)
     z0, o0 = zeros.sum(axis=0), ones.sum(axis=0)
     _, stop0 = _weighted(estimated(z0, o0), weighted.sum(axis=0))
-    mixed = _Mixture((1, 256)).deepen(z0[None], o0[None], stop0[None]).deepen(zeros, ones, stop)
+    start = _Mixture(np.zeros((256, 256)), np.ones((256, 256)), np.full((256, 256), 0.5))
+    mixed = start.deepen(z0[None], o0[None], stop0[None]).deepen(zeros, ones, stop)
     return mixed.one, mixed.rest, mixed.last
 
 
-def _scores(docs: pa.Table, values: pa.Table, ends: int, whole: float) -> pa.Table:
+def _scores(docs: pa.Table, values: pa.Table, ends: int, whole: float, depth: int) -> pa.Table:
     """``values``: counts of words, log10 probabilities of grams."""
     kind, base_of = values.column("kind").to_numpy(), lambda n: np.log10((n + 0.1) / whole)
     known = {}
@@ -217,8 +260,8 @@ def _scores(docs: pa.Table, values: pa.Table, ends: int, whole: float) -> pa.Tab
             count, doc = value[np.searchsorted(key, signed(words.hashes()))], words.doc_of()
             base, have = np.bincount(doc, base_of(count), n), np.bincount(doc, count > 0, n)
             key, value = known[GRAM]
-            grams, of = byte_grams(part.column("text"))
-            score = np.bincount(of, value[np.searchsorted(key, grams.astype(np.int64))], n)
+            grams, of = byte_grams(part.column("text"), depth)
+            score = np.bincount(of, value[np.searchsorted(key, grams.view(np.int64))], n)
             size = np.bincount(of, minlength=n)
             parts.append(pa.table({
                 "doc_id": part.column("doc_id"), "held_out": pa.array(~part.column("train").to_numpy(zero_copy_only=False)),
@@ -231,25 +274,53 @@ def _scores(docs: pa.Table, values: pa.Table, ends: int, whole: float) -> pa.Tab
 _SCORED_SQL = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, bits_per_byte double"
 
 
-def score(docs: DataFrame) -> DataFrame:
+_NODES_SQL = "key bigint, zeros double, ones double, weighted double"
+
+
+def _grouped(rows: DataFrame, to: int, groups: int) -> GroupedData:
+    """Rows whose contexts share their last ``to`` bytes are together."""
+    context = F.shiftrightunsigned("key", 8).bitwiseAND((1 << 8 * to) - 1)
+    return rows.withColumn("part", F.pmod(F.xxhash64(context), F.lit(groups))).groupBy("part")
+
+
+def _gram_values(grams: DataFrame, depth: int) -> DataFrame:
+    """log10 probability of the last byte of each gram, from (key, n)."""
+    to = 4 if depth > 4 else 2
+    groups = grams.count() // ROWS_PER_GROUP + 1
+    leaves = _grouped(grams, to, groups)
+    nodes = leaves.applyInArrow(lambda t: _upper(_leaves(t), depth, to), _NODES_SQL)
+    if to > 2:
+        nodes = materialize(nodes)
+        middle = _grouped(nodes, 2, nodes.count() // ROWS_PER_GROUP + 1)
+        second = middle.applyInArrow(lambda t: _upper(_stored(t), to, 2), _NODES_SQL)
+    else:
+        second = nodes
+    recent, node = F.shiftrightunsigned("key", 8).bitwiseAND(255).alias("recent"), F.col("key").bitwiseAND(255).alias("node")
+    top = _top(second.groupBy(recent, node).agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).collect())
+    if to > 2:
+        above = middle.applyInArrow(lambda t: _lower(t, to, 2, top), "key bigint, one double, rest double, last double")
+        both = leaves.cogroup(_grouped(above, to, groups))
+        return both.applyInArrow(lambda t, a: _gram_scores(t, a, depth, to), "key bigint, value double")
+    return leaves.applyInArrow(lambda t: _gram_scores(t, top, depth, to), "key bigint, value double")
+
+
+def score(docs: DataFrame, depth: int = 3) -> DataFrame:
     """Per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
+    if not 3 <= depth <= MAX_DEPTH:
+        raise ValueError(f"depth must be 3 to {MAX_DEPTH}")
     train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0
     row = F.monotonically_increasing_id()
     held = materialize(texts(docs).withColumns({"train": train, "bucket": F.floor(row / DOCS_PER_BUCKET).cast("bigint")}), compression="zstd")
     # Rows of a partition stay in order, so a bucket is read in few pieces.
-    asked = materialize(held.select("bucket", "train", "text").mapInArrow(_asked, "bucket bigint, kind int, key bigint, n bigint"))
+    asked = materialize(held.select("bucket", "train", "text").mapInArrow(lambda it: _asked(it, depth), "bucket bigint, kind int, key bigint, n bigint"))
     totals = materialize(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     ends = held.filter("train").count()
     tokens, types = totals.filter(F.col("kind") == WORD).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     tokens, types = tokens + ends, types + int(ends > 0)
     whole = tokens + 0.1 * (types + 1)
     words = totals.filter(F.col("kind") == WORD).select("kind", "key", F.col("n").cast("double").alias("value"))
-    # Start and end marks stand for bytes, so every gram has its context group.
-    grams = totals.filter(F.col("kind") == GRAM).select(F.shiftright("key", 8).bitwiseAND(0xFFFF).alias("context"), "key", "n").groupBy("context")
-    depth2 = grams.applyInArrow(_depth_two, "recent bigint, node bigint, zeros double, ones double, weighted double")
-    top = _top(depth2.groupBy("recent", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("weighted")).collect())
-    scored = grams.applyInArrow(lambda t: _gram_scores(t, top), "key bigint, value double")
+    scored = _gram_values(totals.filter(F.col("kind") == GRAM).select("key", "n"), depth)
     values = words.union(scored.select(F.lit(GRAM).alias("kind"), "key", "value"))
     answers = asked.select("bucket", "kind", "key").join(values, ["kind", "key"])
-    out = held.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(lambda a, b: _scores(a, b, ends, whole), _SCORED_SQL)
+    out = held.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(lambda a, b: _scores(a, b, ends, whole, depth), _SCORED_SQL)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score", "bits_per_byte")

@@ -45,7 +45,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their unigram base score and the context-tree model's log10 probability."""
-    return lm.score(table(spark, sf_dir, "documents"))
+    return lm.score(table(spark, sf_dir, "documents"), lm.MAX_DEPTH)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

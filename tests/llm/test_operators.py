@@ -101,6 +101,25 @@ def test_context_tree(spark):
         assert r.score == pytest.approx(tree.score(texts[r.doc_id]), rel=1e-9)
 
 
+@pytest.mark.parametrize("depth", (4, 5, 7))
+def test_context_tree_deep(spark, monkeypatch, depth):
+    """Longer contexts, with several groups of each kind."""
+    monkeypatch.setattr(lm, "ROWS_PER_GROUP", 40)
+    texts = ["abracadabra", "abba", None, "", "ünï cödé", "abracadabra abracadabra", "日本語の日本語", "zzz"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    tree = brute.ContextTree([t for i, t in enumerate(texts) if brute.id_hash(i) % 10], depth)
+    for r in lm.score(docs, depth).collect():
+        assert r.score == pytest.approx(tree.score(texts[r.doc_id]), rel=1e-9)
+
+
+def test_lm_query_is_deep(spark, given):
+    where, docs, _ = given
+    out = QUERIES["op5_lm"](spark, where).collect()
+    short = lm.score(spark.read.parquet(f"{where}/documents.parquet"), 3).collect()
+    # Copies of long texts are told better by longer contexts.
+    assert sum(r.score for r in out) > 1.02 * sum(r.score for r in short)
+
+
 def test_mixing(spark, given):
     where, docs, _ = given
     out = mixing.mix(spark.read.parquet(f"{where}/documents.parquet")).collect()
