@@ -79,6 +79,20 @@ r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM (SELECT doc_id, min(root) AS component_id FROM r GROUP BY 1) LEFT JOIN n USING (doc_id)"""
 
+SEARCH = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_PLAIN}') AS w FROM documents),
+held AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, w FROM d WHERE len(w) > 0),
+corpus AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM held),
+items AS (SELECT item_id, list_distinct(regexp_extract_all({_LOWER}, '{_PLAIN}')) AS terms FROM benchmark),
+asked AS (SELECT item_id, unnest(terms) AS term FROM items),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM held) SEMI JOIN asked USING (term) GROUP BY 1, 2, 3),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, corpus GROUP BY term, n_docs),
+gain AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))) AS gain FROM tf JOIN weight USING (term), corpus),
+scores AS (SELECT item_id, doc_id, CAST(sum(gain) AS BIGINT) AS score FROM asked JOIN gain USING (term) GROUP BY 1, 2 HAVING sum(gain) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10"""
+
 ORACLES = {
     "op1_decontaminate": DECONTAMINATE, "op3_lines": LINES, "op4_quality": QUALITY, "op8_substrings": SUBSTRINGS, "op10_minhash": MINHASH,
+    "op11_search": SEARCH,
 }

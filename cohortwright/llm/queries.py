@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lines, lm, mixing, neardup, quality, sharding, substrings, toxicity
+from . import alignment, decontaminate, licenses, lines, lm, mixing, neardup, quality, search, sharding, substrings, toxicity, wrappers
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -75,10 +75,25 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item, with shared parts of the items evaluated once."""
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents under two tokenizers: their token groups, links, and corpus-wide counts of linked id pairs."""
+    return alignment.align(table(spark, sf_dir, "documents")).documents().drop("groups")
+
+
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by wrappers of its host."""
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_licenses, op3_lines, op4_quality, op5_lm, op6_mixing, op7_sharding, op8_substrings,
-        op9_toxicity, op10_minhash,
+        op9_toxicity, op10_minhash, op11_search, op12_alignment, op13_html,
     )
 }
