@@ -7,13 +7,14 @@ single key holds a large share of the rows:
 * ``running_totals`` / ``number_rows`` range-partition by (key, order), total each range, and add the
   totals of the earlier ranges to a window that only spans one range;
 * ``number_by_hash`` does the same for a hash order, where the ranges are known without sampling;
-* ``exact_quantiles`` reads order statistics off running totals of value counts;
-* ``lookup_join`` broadcasts a side only after counting it, and otherwise leaves a shuffled join
+* ``bottom_by_hash`` counts hash prefixes to find a group's first rows in hash order without sorting the group;
+* ``lookup_join`` broadcasts a side only after measuring it, and otherwise leaves a shuffled join
   whose hot keys adaptive execution splits.
 """
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
@@ -60,28 +61,38 @@ def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _field_bytes(dtype: T.DataType) -> int:
-    if isinstance(dtype, (T.ByteType, T.BooleanType, T.ShortType, T.IntegerType, T.FloatType)):
-        return 4
-    if isinstance(dtype, T.NumericType) or isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return 8
-    if isinstance(dtype, T.StructType):
-        return sum(_field_bytes(f.dataType) for f in dtype.fields)
-    if isinstance(dtype, T.StringType):
-        return 64
-    return 1024
-
-
-def row_bytes(schema: T.StructType) -> int:
-    return 16 + sum(_field_bytes(f.dataType) for f in schema.fields)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(*stored: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` returned and that nothing reads any more."""
+    for df in stored:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stored_size(df: DataFrame) -> int:
+    """Bytes that the rows of a stored table take in memory: fixed parts by type, texts and nested values as long as they are."""
+    fixed, lengths = 16, []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+            fixed += 8
+        else:
+            fixed += 16
+            flat = F.col(f"`{f.name}`") if isinstance(f.dataType, T.BinaryType) else F.col(f"`{f.name}`").cast("string")
+            lengths.append(F.coalesce(F.octet_length(flat), F.lit(0)).cast("bigint"))
+    each = functools.reduce(Column.__add__, lengths) if lengths else F.lit(0).cast("bigint")
+    rows, texts = df.agg(F.count("*"), F.coalesce(F.sum(each), F.lit(0))).first()
+    return rows * fixed + texts
 
 
 def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    """Whether a stored table fits a broadcast, from its exact row count (read off the file footers)."""
-    return df.count() * row_bytes(df.schema) <= (BROADCAST_BYTES if limit is None else limit)
+    """Whether a stored table fits a broadcast, by its measured size."""
+    return stored_size(df) <= (BROADCAST_BYTES if limit is None else limit)
 
 
 def lookup_join(
@@ -94,7 +105,7 @@ def lookup_join(
 ) -> DataFrame:
     """Join a computed per-key table onto a large one.
 
-    The table is stored first, so it is computed once and its row count is exact. Within the limit
+    The table is stored first, so it is computed once and its size can be measured. Within the limit
     it is broadcast and ``big`` is not shuffled; above it the join is a plain equi-join.
     """
     table = table if stored else materialize(table)
@@ -152,6 +163,44 @@ def number_rows(
     return running_totals(df, by, order, {name: F.lit(1).cast("bigint")}, totals=total)
 
 
+def tie_ranks(df: DataFrame, by: Sequence[str], score: str, tie: Sequence[str], name: str) -> DataFrame:
+    """Average-tie rank of every row by falling ``score`` within ``by`` (1 is best).
+
+    Rows are range-partitioned by (group, score, ``tie``), so that equal scores spread over as many ranges as they fill.
+    Only a range's first and last score can go on in another one: the table of ranges holds how often each occurs
+    there, and running sums over it give the peers that a row has outside its range. No row is joined by its score.
+    """
+    staged = df.withColumn("_group", _group(by)).withColumn("_score", F.col(score))
+    placed = materialize(
+        staged.repartitionByRange("_group", F.col("_score").desc(), *tie).withColumn("_part", F.spark_partition_id())
+    )
+    ends = placed.groupBy("_group", "_part", "_score").agg(F.count("*").alias("_n"))
+    parts = ends.groupBy("_group", "_part").agg(
+        F.sum("_n").alias("_rows"),
+        F.array_distinct(F.array(F.max(F.struct("_score", "_n")), F.min(F.struct("_score", "_n")))).alias("_ends"),
+    )
+    within = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_rows").over(within), F.lit(0)))
+    peers = Window.partitionBy("_group", "_end._score")
+    shared = parts.withColumn("_end", F.explode("_ends")).select(
+        "_group", "_part", "_before", "_end",
+        F.coalesce(F.sum("_end._n").over(peers.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"),
+        F.sum("_end._n").over(peers).alias("_all"),
+    )
+    table = shared.groupBy("_group", "_part").agg(
+        F.any_value("_before").alias("_before"), F.collect_list(F.struct(F.col("_end._score").alias("_score"), "_earlier", "_all")).alias("_ends")
+    )
+    here = Window.partitionBy("_group", "_part")
+    joined = placed.join(table, ["_group", "_part"]).withColumns({
+        "_place": F.rank().over(here.orderBy(F.col("_score").desc())),
+        "_own": F.count("*").over(Window.partitionBy("_group", "_part", "_score")),
+        "_end": F.get(F.filter("_ends", lambda e: e["_score"].eqNullSafe(F.col("_score"))), F.lit(0)),
+    })
+    above = F.col("_before") + F.col("_place") - 1 - F.coalesce(F.col("_end._earlier"), F.lit(0))
+    peers_ = F.coalesce(F.col("_end._all"), F.col("_own"))
+    return joined.withColumn(name, above + (peers_ + 1) / F.lit(2.0)).drop("_group", "_part", "_score", "_before", "_ends", "_place", "_own", "_end")
+
+
 def number_by_hash(
     df: DataFrame, by: Sequence[str], hash_col: str, tie: Sequence[str], name: str = "row_number", total: bool = False
 ) -> DataFrame:
@@ -180,32 +229,53 @@ def number_by_hash(
     )
 
 
+def bottom_by_hash(
+    df: DataFrame, by: Sequence[str], hash_col: str, tie: Sequence[str], k: int, most: int = 100_000
+) -> DataFrame:
+    """The first ``k`` rows of each group by a 32-bit hash, then ``tie``, without sorting the group.
+
+    Rows are counted by prefixes of the hash (partial counts, at most 4,096 per group); the prefix that holds rank ``k``
+    cuts the group. Rows before it are in, those after it are out, and only those under it are ordered. While a cut
+    prefix holds more than ``most`` rows, longer prefixes divide it; rows that share the whole hash are ranged by ``tie``.
+    """
+    staged = df.withColumn("_group", _group(by))
+    # A group's hash range [_low, _high) still contested, and how many of its rows are in.
+    cut = materialize(staged.select("_group").distinct().select(
+        "_group", F.lit(0).cast("bigint").alias("_low"), F.lit(1 << 32).cast("bigint").alias("_high"), F.lit(k).cast("bigint").alias("_need"), F.lit(0).cast("bigint").alias("_held")
+    ))
+    crowded = True
+    for shift in (20, 8, 0):
+        if not crowded:
+            break
+        inside = lookup_join(staged.select("_group", F.col(hash_col).alias("_h")), cut, "_group", "inner", stored=True)
+        inside = inside.filter((F.col("_h") >= F.col("_low")) & (F.col("_h") < F.col("_high")))
+        counts = inside.groupBy("_group", "_need", F.shiftright("_h", shift).alias("_prefix")).agg(F.count("*").alias("_n"))
+        running = counts.withColumn(
+            "_upto", F.sum("_n").over(Window.partitionBy("_group").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        )
+        found = running.filter((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_n") < F.col("_need"))).select(
+            "_group", F.shiftleft("_prefix", shift).alias("_new"), (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_left"), F.col("_n").alias("_held")
+        )
+        # A group with fewer rows than wanted is in as a whole: nothing of it is contested any more.
+        before, cut = cut, materialize(cut.join(found, "_group", "left").select(
+            "_group", F.coalesce("_new", "_high").alias("_low"),
+            F.when(F.col("_new").isNull(), F.col("_high")).otherwise(F.col("_new") + (1 << shift)).alias("_high"),
+            F.coalesce("_left", F.lit(0)).alias("_need"), F.coalesce("_held", F.lit(0)).alias("_held"),
+        ))
+        discard(before)
+        crowded = not cut.filter(F.col("_held") > most).isEmpty()
+    placed = lookup_join(staged, cut.drop("_held"), "_group", "inner")
+    first = placed.filter(F.col(hash_col) < F.col("_low"))
+    contested = placed.filter((F.col(hash_col) >= F.col("_low")) & (F.col(hash_col) < F.col("_high")))
+    if crowded:
+        numbered = number_rows(contested, ["_group"], [hash_col, *tie], "_place")
+    else:
+        numbered = contested.withColumn("_place", F.row_number().over(Window.partitionBy("_group").orderBy(hash_col, *tie)))
+    chosen = numbered.filter(F.col("_place") <= F.col("_need")).drop("_place")
+    return first.unionByName(chosen).drop("_group", "_low", "_high", "_need")
+
+
 def value_counts(df: DataFrame, by: Sequence[str], value: str, extra: Mapping[str, Column] | None = None) -> DataFrame:
     """Non-missing values of each group with their multiplicity ``n`` (map-side combined)."""
     aggs = [F.count("*").alias("n"), *[F.sum(c).alias(k) for k, c in (extra or {}).items()]]
     return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*aggs)
-
-
-def interpolated(value: str, upto: Column, n: Column, total: Column, q: Column | float) -> Column:
-    """Aggregate giving the linear-interpolation quantile from (value, n, running count) rows."""
-    position = (total - 1).cast("double") * q
-    low, high = F.floor(position), F.ceil(position)
-    v = F.col(value)
-    at_low = F.max(F.when((upto > low) & (upto - n <= low), v))
-    at_high = F.max(F.when((upto > high) & (upto - n <= high), v))
-    part = F.max(position - low)
-    return at_low + (at_high - at_low) * part
-
-
-def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float | Column]
-) -> DataFrame:
-    """Exact linear-interpolation quantiles per group, without holding a group in one buffer."""
-    counts = value_counts(df, by, value)
-    ordered = running_totals(counts, by, [value], {"_upto": F.col("n")}, totals=True)
-    return ordered.groupBy(*by).agg(
-        *[
-            interpolated(value, F.col("_upto"), F.col("n"), F.col("_upto_total"), q).alias(name)
-            for name, q in probs.items()
-        ]
-    )
