@@ -183,8 +183,9 @@ class Postings:
     bitmap of its documents. A bit's code is the pair's place x documents + document; a plane is a sorted row of codes.
     """
 
-    def __init__(self, pairs: np.ndarray, n_docs: int, planes: list[np.ndarray]):
+    def __init__(self, pairs: np.ndarray, n_docs: int, planes: list[np.ndarray], merged: np.ndarray | None = None):
         self.pairs, self.n_docs, self.planes = pairs, n_docs, planes
+        self.merged = np.unique(np.concatenate([*planes, pairs[:0]])) if merged is None else merged
 
     @classmethod
     def build(cls, pair: np.ndarray, doc: np.ndarray, times: np.ndarray, n_docs: int) -> Postings:
@@ -196,16 +197,13 @@ class Postings:
         first = np.flatnonzero(np.diff(code, prepend=-1))
         many = np.add.reduceat(times, first) if len(first) else times
         code = code[first]
-        return cls(pairs, n_docs, [code[(many >> bit & 1) > 0] for bit in range(int(many.max()).bit_length() if len(many) else 0)])
+        return cls(pairs, n_docs, [code[(many >> bit & 1) > 0] for bit in range(int(many.max()).bit_length() if len(many) else 0)], code)
 
     def popcounts(self) -> tuple[np.ndarray, np.ndarray]:
         """Documents of every pair (bits of its OR-merged planes), and links (bits of planes times powers of two)."""
         at = np.arange(len(self.pairs) + 1) * self.n_docs
         count = lambda codes: np.diff(np.searchsorted(codes, at))
-        merged = self.planes[0] if self.planes else np.zeros(0, np.int64)
-        for plane in self.planes[1:]:
-            merged = np.union1d(merged, plane)
-        return count(merged), sum((count(plane) << bit for bit, plane in enumerate(self.planes)), np.zeros(len(self.pairs), np.int64))
+        return count(self.merged), sum((count(plane) << bit for bit, plane in enumerate(self.planes)), np.zeros(len(self.pairs), np.int64))
 
     def dealt(self, value: np.ndarray) -> np.ndarray:
         """For every document, the sum of its pairs' values, each as often as it is linked there."""
@@ -220,11 +218,11 @@ _DIGESTS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "gro
 _LONGS = pa.list_(pa.int64())
 _BLOCK = pa.schema(
     [("block", pa.int64()), *[(c, _LONGS) for c in _DIGESTS[:5]], ("groups_sha256", pa.list_(pa.string())), ("groups", pa.list_(pa.string())),
-     ("n_docs", pa.int64()), ("pairs", pa.binary()), ("planes", pa.list_(pa.binary()))]
+     ("n_docs", pa.int64()), ("pairs", pa.binary()), ("documents", pa.binary()), ("links", pa.binary()), ("planes", pa.list_(pa.binary()))]
 )
 _BLOCK_SQL = (
     "block bigint, doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, "
-    "groups_sha256 array<string>, groups array<string>, n_docs bigint, pairs binary, planes array<binary>"
+    "groups_sha256 array<string>, groups array<string>, n_docs bigint, pairs binary, documents binary, links binary, planes array<binary>"
 )
 
 
@@ -249,11 +247,12 @@ def align_chunk(part: pa.RecordBatch, a: ByteLevel, b: Pieces, keep_groups: bool
     size = np.diff(held.link_at)[which]
     link = np.repeat(held.link_at[:-1][which] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum()) if len(size) else size
     postings = Postings.build(held.pair[link], np.repeat(doc, size), np.repeat(times, size), n)
+    documents, links = postings.popcounts()
     return {
         "block": part.column("uid")[0].as_py(), "doc_id": part.column("doc_id").to_pylist(),
         **{name: total.tolist() for name, total in zip(_DIGESTS[1:5], totals)},
         "groups_sha256": [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups], "groups": groups if keep_groups else None,
-        "n_docs": n, "pairs": squeeze(postings.pairs), "planes": [squeeze(p) for p in postings.planes],
+        "n_docs": n, "pairs": squeeze(postings.pairs), "documents": documents.astype("<i8").tobytes(), "links": links.astype("<i8").tobytes(), "planes": [squeeze(p) for p in postings.planes],
     }
 
 
@@ -265,16 +264,16 @@ def _indexed(batches: Iterator[pa.RecordBatch], files: Broadcast, keep_groups: b
 
 
 def _postings(row: dict[str, object]) -> Postings:
-    return Postings(unsqueeze(row["pairs"]), row["n_docs"], [unsqueeze(p) for p in row["planes"]])
+    # The sums of a document need no merged bitmap.
+    return Postings(unsqueeze(row["pairs"]), row["n_docs"], [unsqueeze(p) for p in row["planes"]], np.zeros(0, np.int64))
 
 
 def _popcounts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            postings = _postings(row)
-            documents, links = postings.popcounts()
+            pairs, documents, links = unsqueeze(row["pairs"]), *(np.frombuffer(row[c], "<i8") for c in ("documents", "links"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(documents), row["block"])), *map(pa.array, (postings.pairs, documents, links))], names=["block", "pair", "documents", "links"]
+                [pa.array(np.full(len(pairs), row["block"])), *map(pa.array, (pairs, documents, links))], names=["block", "pair", "documents", "links"]
             )
 
 
@@ -302,7 +301,7 @@ class Alignment:
         files = spark.sparkContext.broadcast(read)  # two vocabulary files, a few megabytes whatever the corpus
         own = keyed(texts(docs)).select("uid", "doc_id", "text")
         self.blocks = materialize(own.mapInArrow(lambda it: _indexed(it, files, keep_groups), _BLOCK_SQL))
-        held = self.blocks.select("block", "n_docs", "pairs", "planes")
+        held = self.blocks.select("block", "pairs", "documents", "links")
         self.held = held.mapInArrow(_popcounts, "block bigint, pair bigint, documents bigint, links bigint")
         self.counts = materialize(self.held.groupBy("pair").agg(F.sum("documents").alias("documents"), F.sum("links").alias("links")))
 
@@ -317,7 +316,8 @@ class Alignment:
         scores = materialize(self.pairs().select("pair", "documents", "best"))
         asked = self.held.select("block", "pair").join(scores, "pair")
         schema = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string, groups string"
-        return self.blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_scored, schema)
+        blocks = self.blocks.drop("documents", "links")
+        return blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_scored, schema)
 
 
 def align(docs: DataFrame, folder: str = TOKENIZERS, keep_groups: bool = False) -> Alignment:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,12 +29,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the edges (a, b); root is the least node of its component."""
+    """Stored (node, root) for every node of the edges (a, b); root is the least node of its component.
+
+    Each round's edges are deleted once the next ones are stored.
+    """
     pairs = edges.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(pairs.distinct())
     state = None
     for _ in range(rounds):
-        pairs = materialize(_star(_star(pairs, large=True), large=False))
+        before, pairs = pairs, materialize(_star(_star(pairs, large=True), large=False))
+        discard(before)
         # Stars stay as they are when no node is both a centre and a leaf and all leaves have one centre.
         now = pairs.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.countDistinct("b")).first()
         if state is not None and tuple(now) == state and now[0] == now[2]:
@@ -42,6 +46,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         state = tuple(now)
     else:
         raise RuntimeError(f"components not settled after {rounds} rounds")
-    return pairs.select(F.col("b").alias("node"), F.col("a").alias("root")).union(
-        pairs.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
-    )
+    own = pairs.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
+    roots = materialize(pairs.select(F.col("b").alias("node"), F.col("a").alias("root")).union(own))
+    discard(pairs)
+    return roots

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .filters import build_filter, passes
-from .store import EMPTY_SHA256, keyed, materialize, merged_length, text_key, texts
+from .store import EMPTY_SHA256, keyed, materialize, merged_length, text_key, texts, whole
 from .words import PLAIN, Words, chunks, cut, fits, grams, minima, signed
 
 WINDOW = 10
@@ -156,7 +156,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any shared window, all columns and repeated rows kept."""
     found, spans = shared_spans(docs, items, window)
-    hit = found.join(spans.select("uid").distinct(), "uid").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    own = docs.withColumn("_text_hash", text_key(F.col("text").cast("string")))
-    same = own["doc_id"].cast("bigint").eqNullSafe(F.col("_id")) & (own["_text_hash"] == F.col("_hash"))
-    return own.join(hit, same, "left_anti").drop("_text_hash")
+    hit = found.join(spans.select("uid").distinct(), "uid").select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
+    own = whole(docs).select("doc_id", text_key(F.col("text")).alias("text_hash"), "row")
+    same = own["doc_id"].eqNullSafe(F.col("hit_id")) & (own["text_hash"] == F.col("hit_hash"))
+    return own.join(hit, same, "left_anti").select("row.*")

@@ -35,3 +35,17 @@ def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     log2_bits = len(bits).bit_length() - 1 + 3
     at = h >> np.uint64(64 - log2_bits)
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def count_table(df: DataFrame, key: str, log2_slots: int = 20) -> np.ndarray:
+    """Rows by the first bits of a hashed long column, ``2 ** log2_slots`` counts however many keys there are."""
+    slot = F.shiftrightunsigned(F.col(key), 64 - log2_slots)
+    counted = df.groupBy(slot.alias("slot")).agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << log2_slots, np.int64)
+    out[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    return out
+
+
+def counts_of(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The count that stands for each unsigned 64-bit key."""
+    return table[h >> np.uint64(64 - (len(table).bit_length() - 1))]

@@ -13,7 +13,7 @@ The pairs form a reduction tree. Documents of similar size are dealt by hash int
 (a source that holds most rows has more blocks); each block settles all but one document, the residual. Residuals
 form the blocks of the next level, until a source has one. A level shrinks the rows BLOCK times, and no block
 grows with the data. Random numbers are hashes of id, text, level and seed, so reruns agree under any
-partitioning.
+partitioning. Rows that repeat id, text and source are numbered first and dealt by their number, too.
 
 A null source is a source of its own, last in order. Null and empty texts have size 0 and are never taken. Repeated
 rows take part one by one. An empty table, or one without words, gives no rows or zero targets.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from cohortwright.operators.distributed import number_rows, running_totals
 
 from .quality import words_of
-from .store import materialize
+from .store import materialize, numbered_copies, text_key, whole
 
 WEIGHTS, SHARE, STOP = (5, 2, 1), 1.5, 2
 BLOCK = 512
@@ -104,7 +104,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
         F.col("source").cast("string").alias("source"), F.size(words_of(text)).cast("bigint").alias("size"),
     )
-    rows = materialize(rows)
+    rows = materialize(numbered_copies(materialize(rows), "row", ["doc_id", "text_hash", "source"], "copy"))
     source_rows = materialize(targets(rows, weights, share, stop).withColumn("source_hash", F.xxhash64("source", F.col("source").isNull())))
     # One row for each source: adaptive execution broadcasts it when it is small, and splits hot sources otherwise.
     own = source_rows.alias("s")
@@ -114,7 +114,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     joined = joined.withColumns({"base": base, "p": F.greatest(F.lit(0.0), ratio - base)})
     joined = materialize(joined)
     open_ = joined.filter((F.col("p") > 1e-12) & (F.col("size") > 0)).select(
-        "source_hash", F.col("size").cast("double").alias("size"), "p", "row", F.xxhash64("doc_id", "text_hash").alias("order")
+        "source_hash", F.col("size").cast("double").alias("size"), "p", "row", F.xxhash64("doc_id", "text_hash", "copy").alias("order")
     )
     settled, level = [], 0
     while True:
@@ -152,10 +152,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
 
 def take(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, all columns kept."""
-    chosen = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "copies")
+    chosen = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("taken_id"), F.col("text_hash").alias("taken_hash"), "copies")
     # Repeated rows (id and text) are exchangeable: their copies add up and are shared out again.
-    chosen = chosen.groupBy("_id", "_hash").agg(F.sum("copies").alias("_copies"))
-    own = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).dropDuplicates(["doc_id", "_text_hash"])
-    match = own["doc_id"].cast("bigint").eqNullSafe(F.col("_id")) & (own["_text_hash"] == F.col("_hash"))
-    repeated = own.join(chosen, match).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = chosen.groupBy("taken_id", "taken_hash").agg(F.sum("copies").alias("copies"))
+    own = whole(docs).select("doc_id", text_key(F.col("text")).alias("text_hash"), "row").dropDuplicates(["doc_id", "text_hash"])
+    match = own["doc_id"].eqNullSafe(F.col("taken_id")) & (own["text_hash"] == F.col("taken_hash"))
+    repeated = own.join(chosen, match).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.select("row.*")

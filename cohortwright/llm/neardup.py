@@ -3,34 +3,41 @@
 A document's set holds the hashes of its distinct k-word shingles (fewer words: the whole sequence as one;
 no words: empty and linked with nothing). Documents with equal sets are one class from the start, so exact
 copies never meet in pairs. Each class takes BANDS x ROWS minima of multiply-add hashes; two sets with
-similarity 0.8 miss each other in all bands with probability (1 - 0.8^5)^45 < 2e-8.
+similarity 0.8 miss each other in all bands with probability (1 - 0.8^5)^45 < 2e-8; lower similarities are refused.
 
 1. In each band bucket every class is paired with the least one (a star, as many pairs as members). Pairs
    whose sizes or signatures exclude the similarity (five standard deviations) go; the rest is confirmed on
    the full sets of both texts. Components come from alternating large-star and small-star.
-2. Buckets that still hold several components compare the signatures of members of different components,
-   in blocks of at most BLOCK x BLOCK inside tasks. In ROUNDS rounds each class tries its closest partner, which
-   joins large groups with few pairs; the last round compares the full sets, folded to 32 bits, of every pair left
-   within reach of the threshold inside the tasks, and confirms those about or above it. So no link is lost for having met only beside the bucket's least member.
-
-Null and empty texts: set size 0, own component. Equal and repeated rows: one class. A null ``doc_id`` can't
-name a component; it takes the least id of its component, or null. Empty tables give no rows.
+2. In ROUNDS rounds each bucket that still holds several components takes two pivots, drawn anew: members outside
+   its largest component are tested against one of that, its members against one of another. A round has as many
+   pairs as members.
+3. Members of buckets that stay mixed keep the rarest of their shingles, as many as sets need to share one if they
+   have the similarity (prefix filter). A member none of whose rarest shingles a member of another component
+   has among its own can have no link left and goes. What remains of a bucket compares the members outside
+   its largest component with all others, in blocks of BLOCK inside tasks, by signatures and by full sets folded
+   to 32 bits; pairs within reach of the threshold are confirmed. So no link is lost for having met only beside a pivot, and rows
+   grow with the texts, not with the square of a group.
+
+Stored tables are deleted once nothing reads them. Null and empty texts: set size 0, own component. Equal and repeated
+rows: one class. A null ``doc_id`` can't name a component; it takes the least id of its component, or null. Empty tables
+give no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .filters import build_filter, passes
-from .store import keyed, materialize, text_key, texts
+from .filters import build_filter, count_table, counts_of, passes
+from .store import discard, keyed, materialize, text_key, texts, whole
 from .words import SPACED, Words, chunks, cut, grams, mix, signed
 
 ROWS, BANDS, BLOCK = 5, 45, 512
@@ -132,13 +139,33 @@ def _passing(batches: Iterator[pa.RecordBatch], key: str, bits: np.ndarray) -> I
         yield batch.filter(pa.array(passes(bits, h)))
 
 
-def _folded(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _held(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch):
             x, at = sets(cut(part.column("text"), SPACED, lower=True), k)
-            x = (x >> np.uint64(32)).astype("<u4")  # still sorted
-            folded = pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("uid"), folded], names=["uid", "folded"])
+            held = pa.array([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("root"), held], names=["uid", "root", "held"])
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h, n = np.unique(np.frombuffer(b"".join(batch.column("held").to_pylist()), np.uint64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n)], names=["h", "n"])
+
+
+def _rarest(batches: Iterator[pa.RecordBatch], counts: Broadcast, percent: int) -> Iterator[pa.RecordBatch]:
+    """The shingles that come first by count and hash: any two sets with the similarity share one of theirs."""
+    for batch in batches:
+        out = []
+        for held in batch.column("held").to_pylist():
+            h = np.frombuffer(held, np.uint64)
+            out.append(signed(h[np.lexsort((h, counts_of(counts.value, h)))[: len(h) + (-percent * len(h)) // 100 + 1]]))
+        for start in range(0, len(out), 256):
+            mine = out[start : start + 256]
+            places = np.repeat(np.arange(start, start + len(mine)), [len(m) for m in mine])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("uid").take(pa.array(places)), batch.column("root").take(pa.array(places)), pa.array(np.concatenate(mine))], names=["uid", "root", "h"]
+            )
 
 
 def _similar(one: np.ndarray, others: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -150,38 +177,33 @@ def _similar(one: np.ndarray, others: list[np.ndarray], threshold: float) -> np.
     return shared >= (threshold - 0.01) * (size + len(one) - shared)
 
 
-def _across(table: pa.Table, threshold: float, best: bool) -> pa.Table:
-    """Pairs of different components in one block pair of a bucket whose signatures are close enough.
+def _across(table: pa.Table, threshold: float) -> pa.Table:
+    """Pairs that first meet in this bucket, of a block of members outside its largest component and a block of all.
 
-    ``best``: only the closest such partner of each member. Otherwise all pairs that first meet in this bucket
-    and whose folded sets have about the similarity.
+    Pairs are of different components, with signatures close enough and about the similarity on folded sets.
     """
     least, table = least_agreement(threshold), table.combine_chunks()
     mins = _bytes(table.column("mins"))
-    root, uid = table.column("root").to_numpy(), table.column("uid").to_numpy()
-    side, size = table.column("block").to_numpy(), table.column("n_shingles").to_numpy()
-    i, j, key = (table.column(c)[0].as_py() for c in ("i", "j", "key"))
-    left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-    if not best:
-        bands = np.array(table.column("bands").to_pylist(), np.int64)
-        mine = int((bands[0] == key).argmax())
-        folded = [np.frombuffer(x, "<u4") for x in table.column("folded").to_pylist()]
-    found: list[list[np.ndarray]] = [[], [], []]
+    root, uid, size = (table.column(c).to_numpy() for c in ("root", "uid", "n_shingles"))
+    asks, minor = (table.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "minor"))
+    bands = np.array(table.column("bands").to_pylist(), np.int64)
+    mine = int((bands[0] == table.column("key")[0].as_py()).argmax())
+    folded = [(np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32) for x in table.column("held").to_pylist()]  # still sorted
+    left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+    found: list[list[np.ndarray]] = [[], []]
     for p in left:
-        to = right[(root[right] != root[p]) & (best or i != j or uid[right] > uid[p])]
+        # Two members that both ask meet once.
+        to = right[(root[right] != root[p]) & (~minor[right] | (uid[right] > uid[p]))]
         to = to[np.minimum(size[to], size[p]) >= threshold * np.maximum(size[to], size[p]) - 1e-9]
-        equal = (mins[to] == mins[p]).sum(axis=1)
-        near = np.flatnonzero(equal >= least)
-        if best and len(near):
-            near = near[[equal[near].argmax()]]
-        elif len(near):
-            near = near[~(bands[to[near], :mine] == bands[p, :mine]).any(axis=1)]
-            if len(near):
-                near = near[_similar(folded[p], [folded[q] for q in to[near]], threshold)]
-        for out, values in zip(found, (np.full(len(near), uid[p]), uid[to[near]], equal[near])):
-            out.append(values)
-    a, b, equal = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in found)
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "of": a, "equal": equal})
+        near = to[(mins[to] == mins[p]).sum(axis=1) >= least]
+        if len(near):
+            near = near[~(bands[near, :mine] == bands[p, :mine]).any(axis=1)]
+        if len(near):
+            near = near[_similar(folded[p], [folded[q] for q in near], threshold)]
+        found[0].append(np.full(len(near), uid[p]))
+        found[1].append(uid[near])
+    a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in found)
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
 class _Graph:
@@ -209,72 +231,110 @@ class _Graph:
         return sized.select("a", "b", "mins_a", "mins_b").mapInArrow(lambda it: _likely(it, threshold), "a bigint, b bigint")
 
     def text_of(self, nodes: DataFrame) -> DataFrame:
-        """(uid, text) of the distinct classes ``uid``."""
+        """Stored (uid, text) of the distinct classes ``uid``."""
         wanted = materialize(self.classes.join(nodes, "uid").select("uid", "of.doc_id", "of.text_hash"))
         bits = build_filter(wanted.withColumn("h", F.xxhash64("text_hash")), "h", self.log2_bits)
         held = self.docs.withColumn("h", F.xxhash64("text_hash"))
         held = held.mapInArrow(lambda it: _passing(it, "h", bits), held.schema).drop("h").alias("d")
         match = F.col("w.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("w.text_hash") == F.col("d.text_hash"))
         # Repeated rows give the same text, so any of them serves.
-        return wanted.alias("w").join(held, match).select("uid", "text").dropDuplicates(["uid"])
+        found = materialize(wanted.alias("w").join(held, match).select("uid", "text").dropDuplicates(["uid"]))
+        discard(wanted)
+        return found
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Stored pairs (a, b) whose full sets have the similarity."""
-        text = materialize(self.text_of(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()))
+        text = self.text_of(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct())
         a, b = (text.select(F.col("uid").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
         k, percent = self.k, self.percent
-        return materialize(pairs.join(a, "a").join(b, "b").mapInArrow(lambda it: _confirmed(it, k, percent), "a bigint, b bigint"))
+        linked = materialize(pairs.join(a, "a").join(b, "b").mapInArrow(lambda it: _confirmed(it, k, percent), "a bigint, b bigint"))
+        discard(text)
+        return linked
 
     def roots(self) -> DataFrame:
-        """(node, root) of all classes that are linked with another."""
+        """Stored (node, root) of all classes that are linked with another."""
         bucket = self.classes.select("uid", F.explode("bands").alias("key"))
         shared = bucket.groupBy("key").agg(F.min("uid").alias("least"), F.count("*").alias("n")).filter("n > 1")
         members = materialize(bucket.join(shared, "key"))
         stars = members.filter("uid != least").select(F.col("least").alias("a"), F.col("uid").alias("b")).distinct()
-        likely = materialize(self.near(stars))
-        first = self.confirmed(likely)
-        members, links, tested = members.filter("n > 2").select("uid", "key"), first, likely
-        roots = components(links)
-        for last in (False,) * ROUNDS + (True,):
-            across = self.across(members, roots, best=not last)
-            across = materialize(across.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-            if not across.isEmpty():
-                links, tested = links.union(self.confirmed(across)), tested.union(across)
-                roots = components(links)
+        tested = [materialize(self.near(stars))]
+        links = [self.confirmed(tested[0])]
+        members, all_members = materialize(members.filter("n > 2").select("uid", "key")), members
+        discard(all_members)
+        roots = components(links[0])
+        for n in range(ROUNDS + 1):
+            placed = self.mixed(members, roots)
+            across = self.pivots(placed, n) if n < ROUNDS else self.across(placed)
+            for earlier in tested:
+                across = across.join(earlier, ["a", "b"], "left_anti")
+            across = materialize(self.near(across) if n < ROUNDS else across)
+            new = None if across.isEmpty() else self.confirmed(across)
+            discard(members, *([] if n < ROUNDS else [placed]))
+            members = placed  # buckets of one component stay so
+            tested.append(across)
+            if new is not None and not new.isEmpty():
+                links.append(new)
+                before, roots = roots, components(functools.reduce(DataFrame.union, links))
+                discard(before)
+        discard(*tested, *links)
         return roots
 
-    def across(self, members: DataFrame, roots: DataFrame, best: bool) -> DataFrame:
-        """Likely pairs between the components that a bucket holds; ``best``: the closest one of each class only."""
-        placed = members.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-        placed = materialize(placed)
-        mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).filter("r0 < r1")
-        rest = placed.join(mixed.select("key", "m"), "key")
-        threshold, k = self.threshold, self.k
-        facts = self.classes.select("uid", "n_shingles", "mins", *([] if best else ["bands"]))
-        if not best:
-            rest = materialize(rest)
-            folded = self.text_of(rest.select("uid").distinct()).mapInArrow(lambda it: _folded(it, k), "uid bigint, folded binary")
-            facts = facts.join(folded, "uid")
-        rest = rest.join(facts, "uid")
-        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        rest = (
-            rest.withColumn("block", F.pmod(F.xxhash64("uid"), blocks).cast("int"))
-            .withColumn("to", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            .withColumns({"i": F.least("block", "to"), "j": F.greatest("block", "to")})
-        )
-        pairs = rest.groupBy("key", "i", "j").applyInArrow(lambda t: _across(t, threshold, best), "a bigint, b bigint, of bigint, equal bigint")
-        if best:
-            pairs = pairs.groupBy("of").agg(F.max_by(F.struct("a", "b"), F.struct("equal", "a", "b")).alias("p")).select("p.*")
-        return pairs
+    def mixed(self, members: DataFrame, roots: DataFrame) -> DataFrame:
+        """Stored (uid, key, root) of the members of buckets that hold several components."""
+        placed = members.select("uid", "key").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+        return materialize(placed.join(placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1"), "key").select("uid", "key", "root"))
+
+    def pivots(self, placed: DataFrame, n: int) -> DataFrame:
+        """One pair (a, b) at most for each member of a bucket, with a member of another component drawn for round ``n``."""
+        drawn = F.xxhash64("uid", F.lit(n))
+        parts = placed.groupBy("key", "root").agg(F.count("*").alias("m"), F.min_by("uid", drawn).alias("pivot"))
+        other = F.struct(F.xxhash64("root", F.lit(n)).alias("h"), "root", "pivot")
+        parts = parts.groupBy("key").agg(F.max(F.struct("m", "root", "pivot")).alias("main"), F.min(other).alias("one"), F.max(other).alias("two"))
+        second = F.when(F.col("one.root") != F.col("main.root"), F.col("one.pivot")).otherwise(F.col("two.pivot"))
+        parts = parts.select("key", F.col("main.root").alias("main"), F.col("main.pivot").alias("first"), second.alias("second"))
+        to = F.when(F.col("root") == F.col("main"), F.col("second")).otherwise(F.col("first"))
+        return placed.join(parts, "key").select(F.least("uid", to).alias("a"), F.greatest("uid", to).alias("b")).distinct()
+
+    def across(self, placed: DataFrame) -> DataFrame:
+        """Likely pairs (a, b) between the components that a bucket still holds, all of them."""
+        k, percent, threshold = self.k, self.percent, self.threshold
+        roots = placed.select("uid", "root").distinct()
+        text = self.text_of(roots.select("uid"))
+        held = materialize(text.join(roots, "uid").mapInArrow(lambda it: _held(it, k), "uid bigint, root bigint, held binary"))
+        discard(text)
+        counts = count_table(held.select("held").mapInArrow(_shingles, "h bigint, n bigint"), "h")
+        counts = placed.sparkSession.sparkContext.broadcast(counts)  # 2^20 numbers
+        rarest = held.mapInArrow(lambda it: _rarest(it, counts, percent), "uid bigint, root bigint, h bigint")
+        meet = rarest.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("h")
+        live = materialize(rarest.join(meet, "h").select("uid").distinct())
+        rest = self.mixed(placed.join(live, "uid"), held.select(F.col("uid").alias("node"), "root"))
+        parts = rest.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("m"))
+        rest = rest.join(parts, "key").withColumn("minor", F.col("root") != F.col("main.root"))
+        blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+        of_all, of_minors = blocks(F.col("m")), blocks(F.col("m") - F.col("main.m"))
+        turn = lambda n: F.pmod(F.xxhash64("uid"), n).cast("int")
+        # Members that ask go to every block of all, and all members to every block of those that ask.
+        ask = rest.filter("minor").select("*", turn(of_minors).alias("i"), F.explode(F.sequence(F.lit(0), of_all - 1)).alias("j"), F.lit(True).alias("asks"))
+        rest = ask.union(rest.select("*", F.explode(F.sequence(F.lit(0), of_minors - 1)).alias("i"), turn(of_all).alias("j"), F.lit(False).alias("asks")))
+        facts = self.classes.select("uid", "n_shingles", "mins", "bands").join(held.select("uid", "held"), "uid")
+        rest = rest.select("uid", "key", "root", "minor", "i", "j", "asks").join(facts, "uid")
+        return rest.groupBy("key", "i", "j").applyInArrow(lambda t: _across(t, threshold), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, log2_bits: int = 24) -> DataFrame:
-    """Per document row: uid, doc_id, text_hash, n_shingles, component_id, first (the one row of its component to keep)."""
+    """Per document row: uid, doc_id, text_hash, n_shingles, component_id, first (the one row of its component to keep).
+
+    ``percent``: the least similarity, 80 to 100; the bands are made for 80.
+    """
+    if not 80 <= percent <= 100:
+        raise ValueError("bands find pairs of a similarity of 80 % or more")
     graph = _Graph(docs, k, percent, log2_bits)
-    placed = graph.classes.select("uid", "digest").join(graph.roots().withColumnRenamed("node", "uid"), "uid", "left")
+    roots = graph.roots()
+    placed = graph.classes.select("uid", "digest").join(roots.withColumnRenamed("node", "uid"), "uid", "left")
     placed = placed.select("digest", F.coalesce("root", "uid").alias("root"))
     rows = graph.rows.select("uid", "doc_id", "text_hash", "n_shingles", "digest").join(placed, "digest", "left")
     rows = materialize(rows.withColumn("root", F.coalesce("root", "uid")).drop("digest"))
+    discard(graph.rows, graph.classes, roots)
     best = rows.groupBy("root").agg(
         F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("best")
     )
@@ -284,8 +344,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, log2_bits: i
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with one row of each near-duplicate component left, all columns kept."""
-    kept = near_duplicates(docs, k, percent).filter("first").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    own = docs.withColumn("_text_hash", text_key(F.col("text").cast("string")))
-    same = own["doc_id"].cast("bigint").eqNullSafe(F.col("_id")) & (own["_text_hash"] == F.col("_hash"))
-    return own.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    """The documents with one row of each near-duplicate component left, all columns kept, whatever their names."""
+    kept = near_duplicates(docs, k, percent).filter("first").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    own = whole(docs).select("doc_id", text_key(F.col("text")).alias("text_hash"), "row")
+    same = own["doc_id"].eqNullSafe(F.col("kept_id")) & (own["text_hash"] == F.col("kept_hash"))
+    return own.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("row.*")

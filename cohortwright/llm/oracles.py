@@ -40,14 +40,22 @@ _MEASURES = {
     "symbol_ratio": _share("n_symbols", "n_words"), "alphabetic_share": _share("n_alphabetic", "n_words"), "dup_line_share": _share("n_dup_lines", "n_lines"),
     "bullet_line_share": _share("n_bullets", "n_lines"), "ellipsis_line_share": _share("n_ellipses", "n_lines"),
 }
-_LIMITS = " AND ".join(f"{_MEASURES[r.measure]} {sign} {limit}" for r in RULES for sign, limit in ((">=", r.least), ("<=", r.most)) if limit is not None)
+
+
+def _elsewhere(langs: tuple[str, ...] | None) -> str:
+    return "" if langs is None else f"NOT coalesce(lower(lang) IN ({', '.join(repr(x) for x in langs)}), FALSE) OR "
+
+
+_LIMITS = " AND ".join(
+    f"({_elsewhere(r.langs)}{_MEASURES[r.measure]} {sign} {limit})" for r in RULES for sign, limit in ((">=", r.least), ("<=", r.most)) if limit is not None
+)
 
 QUALITY = rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w,
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 g AS (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM (SELECT doc_id, s, w[s] AS a, w[s + 1] AS b, w[s + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS s FROM d))),
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([s, s + 1, s + 2]) AS p FROM g WHERE n > 1) GROUP BY 1),
-c AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) AS n_lines,
+c AS (SELECT doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) AS n_lines,
   len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
   len(list_filter(w, lambda x: lower(x) IN ({", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS)))}))) AS stop_words,
   len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_alphabetic,

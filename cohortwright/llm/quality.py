@@ -5,7 +5,9 @@ least and greatest value. A document fails by each rule whose measure leaves its
 listed. The measures of a row need that row only, so nothing is shuffled and no key can be hot.
 
 Null and empty texts have no words and no lines, all counts are 0, and they fail on ``n_words``. Repeated rows are
-judged alike, one by one. Columns of the input stay as they are beside the struct ``quality``.
+judged alike, one by one. Columns of the input stay as they are beside the struct ``quality``. Stop words are asked of
+texts whose ``lang`` the list covers; without that column, or where it is null, that rule doesn't hold. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ STOP_WORDS = tuple(
     el los las y una con por para es no se lo su del al más como o sus le ha pero son
     """.split()
 )
+STOP_LANGS = ("en", "fr", "de", "es")
 
 
 @dataclass(frozen=True)
@@ -35,14 +38,15 @@ class Rule:
     measure: str
     least: float | None = None
     most: float | None = None
+    langs: tuple[str, ...] | None = None  # the rule holds for texts of these languages only
 
 
 RULES = (
-    Rule("n_words", least=50, most=1_000_000),
+    Rule("n_words", least=50),
     Rule("repeat_share", most=0.5),
     Rule("mean_word_chars", least=2, most=14),
     Rule("symbol_ratio", most=0.1),
-    Rule("stop_words", least=2),
+    Rule("stop_words", least=2, langs=STOP_LANGS),
     Rule("alphabetic_share", least=0.6),
     Rule("dup_line_share", most=0.5),
     Rule("bullet_line_share", most=0.9),
@@ -90,8 +94,9 @@ def assess(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The documents with a struct ``quality`` (replacing a column so named): counts, ratios, ``base_failed``, ``failed`` (names of rules) and ``kept``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    lang = F.lower(F.col("lang").cast("string")) if "lang" in docs.columns else F.lit(None).cast("string")
     parts = F.struct(text.alias("text"), words_of(text).alias("words"), lines.alias("lines"))
-    quality = bound(parts, lambda x: bound(_counts(x["text"], x["words"], x["lines"]), lambda c: _verdict(c, rules)))
+    quality = bound(parts, lambda x: bound(_counts(x["text"], x["words"], x["lines"]), lambda c: _verdict(c, rules, lang)))
     return docs.withColumn("quality", quality)
 
 
@@ -110,7 +115,7 @@ def _counts(text: Column, words: Column, lines: Column) -> Column:
     )
 
 
-def _verdict(c: Column, rules: Sequence[Rule]) -> Column:
+def _verdict(c: Column, rules: Sequence[Rule], lang: Column) -> Column:
     measures = {
         "n_words": c["n_words"],
         "repeat_share": _share(c["n_repeat_words"], c["n_words"]),
@@ -129,6 +134,8 @@ def _verdict(c: Column, rules: Sequence[Rule]) -> Column:
             out = out | (m < rule.least)
         if rule.most is not None:
             out = out | (m > rule.most)
+        if rule.langs is not None:
+            out = out & F.coalesce(lang.isin(*rule.langs), F.lit(False))
         broken.append(F.when(out, F.lit(rule.measure)))
     base = (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
     failed = F.array_distinct(F.filter(F.array(*broken), lambda x: x.isNotNull()))

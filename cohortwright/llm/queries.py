@@ -38,7 +38,7 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their counts and the verdict of the quality rules."""
-    out = quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return out.select("doc_id", *[F.col("quality")[n].alias(n) for n in names])
 

@@ -3,9 +3,10 @@
 Adding one shard moves only the rows that go into it, 1/(n + 1) of them. ``slot`` numbers the rows of a shard
 from 0 without gaps, in the order of a second hash: rows are dealt to ranges of that hash, ranges are counted (a
 combined aggregate), and a window numbers within one range only. The number of ranges follows the row count, so
-a range stays near RANGE_ROWS rows; rows that repeat an id share a hash and are dealt by their text, then by a salt.
+a range stays near RANGE_ROWS rows. The hash is of id, text and a number among exact repeats, so slots don't follow the
+files and no row can fill a range with its copies.
 
-A null id is one key of its own; its rows are spread over ranges by text. Null texts have no bytes: size 1, CRC 0.
+A null id is one key of its own; its rows are spread over ranges by text and number. Null texts have no bytes: size 1, CRC 0.
 Repeated rows get slots of their own. An empty table gives no rows.
 """
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialize, text_key, texts
+from .store import materialize, numbered_copies, text_key, texts
 from .words import mix
 
 RANGE_ROWS = 20_000
@@ -49,14 +50,15 @@ def _placed(own: DataFrame, shards: int) -> DataFrame:
     given = own.schema
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given)
     placed = own.mapInArrow(lambda it: _assigned(it, shards), f"{kept}, shard int, grown_shard int")
-    placed = materialize(placed.withColumns({"__order": F.xxhash64("doc_id", "text_hash"), "__uid": F.monotonically_increasing_id()}))
+    placed = materialize(placed.withColumn("__uid", F.monotonically_increasing_id()))
     ranges = max(1, placed.count() // (shards * RANGE_ROWS))
-    # Ranges are classes of the hash; exact repeats of a row are dealt on by their own number.
-    placed = placed.withColumn("__part", F.pmod(F.xxhash64("__order", F.pmod("__uid", F.lit(64))), F.lit(ranges)).cast("int"))
+    placed = numbered_copies(placed, "__uid", ["doc_id", "text_hash"], "__copy").withColumn("__order", F.xxhash64("doc_id", "text_hash", "__copy"))
+    # Ranges are equal parts of the hash's order.
+    placed = materialize(placed.withColumn("__part", F.floor((F.shiftrightunsigned("__order", 33) * F.lit(ranges)) / F.lit(float(1 << 31))).cast("int")))
     counts = placed.groupBy("shard", "__part").agg(F.count("*").alias("__n"))
     earlier = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("shard", "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    here = Window.partitionBy("shard", "__part").orderBy("__order", "__uid")
+    here = Window.partitionBy("shard", "__part").orderBy(F.shiftrightunsigned("__order", 33), "__order", "doc_id", "text_hash", "__copy")
     slot = (F.col("__before") + F.row_number().over(here) - 1).cast("bigint")
     return placed.join(before, ["shard", "__part"]).select(*given.names, "shard", slot.alias("slot"), "grown_shard")
 

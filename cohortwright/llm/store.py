@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortwright.operators.distributed import materialize
+from cohortwright.operators.distributed import discard, materialize, number_rows
 
-__all__ = ["keyed", "materialize", "merged_length", "texts"]
+__all__ = ["discard", "keyed", "materialize", "merged_length", "texts"]
 
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
@@ -26,6 +26,25 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("uid", F.monotonically_increasing_id())
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and all columns as one struct ``row``, so that no column's name can clash."""
+    return texts(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def numbered_copies(rows: DataFrame, row: str, keys: list[str], name: str) -> DataFrame:
+    """Stored ``rows`` with a number from 0 on among rows of equal keys; ``row`` is any unique column.
+
+    Which copy gets which number is open, so only the keys and the numbers decide what is made of them.
+    """
+    key = F.xxhash64(*[F.col(k) for k in keys], *[F.col(k).isNull() for k in keys])
+    keyed_ = rows.withColumn("__key", key)
+    repeated = keyed_.groupBy("__key").agg(F.count("*").alias("__n")).filter("__n > 1").select("__key")
+    copies = number_rows(keyed_.join(repeated, "__key", "left_semi"), ["__key"], [row], name)
+    copies = copies.withColumn(name, (F.col(name) - 1).cast("bigint"))
+    single = keyed_.join(repeated, "__key", "left_anti").withColumn(name, F.lit(0).cast("bigint"))
+    return single.unionByName(copies.select(*single.columns)).drop("__key")
+
+
 def merged_length(spans: DataFrame, by: str, name: str) -> DataFrame:
     """Positions in the union of a document's intervals (``first`` to ``last``, exclusive)."""
     before = Window.partitionBy(by).orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)

@@ -207,3 +207,88 @@ def components(docs, k, percent=80):
         if d["doc_id"] is not None:
             least[root(i)].append(d["doc_id"])
     return [(d["doc_id"], len(s), min(least[root(i)], default=None)) for i, (d, s) in enumerate(zip(docs, sets))]
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked(docs, items, k=10):
+    """(item_id, rank, doc_id, score) of every item, scored one document at a time."""
+    held = [(d["doc_id"], c) for d in docs if (c := Counter(TERM.findall(lower(d["text"]))))]
+    n_docs, n_terms = len(held), sum(sum(c.values()) for _, c in held)
+    df = Counter(t for _, c in held for t in c)
+    out = []
+    for item in items:
+        scores = []
+        for doc_id, c in held:
+            m = 100 - 90 + (90 * sum(c.values()) * n_docs) // n_terms
+            s = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((1_000_000_000 * c[t]) // (1000 * c[t] + 8 * m))
+                for t in set(TERM.findall(lower(item["text"]))) if t in c
+            )
+            if s > 0:
+                scores.append((-s, doc_id is None, doc_id))
+        out += [(item["item_id"], rank, doc_id, -s) for rank, (s, _, doc_id) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:k], 1)]
+    return out
+
+
+def tree_match(a, b):
+    """Simple tree matching of nested (label, children), by its recurrence."""
+    if a[0] != b[0]:
+        return 0
+    m = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for i, x in enumerate(a[1]):
+        for j, y in enumerate(b[1]):
+            m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + tree_match(x, y))
+    return m[-1][-1] + 1
+
+
+def aligned(docs, encode_a, bytes_a, encode_b, bytes_b):
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), whole texts at once, link by link."""
+    held = []
+    for d in docs:
+        text = d["text"] or ""
+        a, b, want = encode_a(" " + text), encode_b(text), (" " + text).encode()
+        links, groups = Counter(), []
+        if text and b"".join(map(bytes_a, a)) == want == b"".join(map(bytes_b, b)):
+            left, right = _places(a, bytes_a), _places(b, bytes_b)
+            j = 0
+            for x, at, n in left:
+                while right[j][1] + right[j][2] <= at:
+                    j += 1
+                k = j
+                while k < len(right) and right[k][1] < at + n:
+                    links[x, right[k][0]] += 1
+                    k += 1
+            ends = {at + n for _, at, n in left} & {at + n for _, at, n in right}
+            for side, name in ((left, 0), (right, 1)):
+                cut, now = [], []
+                for x, at, n in side:
+                    now.append(str(x))
+                    if at + n in ends:
+                        cut.append(",".join(now))
+                        now = []
+                groups.append(cut)
+            groups = [f"{x}|{y}" for x, y in zip(*groups)]
+            held.append((d["doc_id"], len(a), len(b), groups, links))
+        else:
+            held.append((d["doc_id"], 0, 0, [], links))
+    count = Counter(p for *_, links in held for p in links)
+    most = {}
+    for (x, _), n in count.items():
+        most[x] = max(n, most.get(x, 0))
+    return [
+        (
+            doc_id, n_a, n_b, len(groups), sum(links.values()), sum(n for p, n in links.items() if count[p] == most[p[0]]), sum(n * count[p] for p, n in links.items()),
+            hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else "",
+        )
+        for doc_id, n_a, n_b, groups, links in held
+    ]
+
+
+def _places(ids, of):
+    out, at = [], 0
+    for i in ids:
+        out.append((i, at, len(of(i))))
+        at += len(of(i))
+    return out
