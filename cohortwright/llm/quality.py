@@ -148,5 +148,5 @@ def _verdict(c: Column, rules: Sequence[Rule], lang: Column) -> Column:
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The documents that no rule rejects, with their own columns only (a column ``quality`` of the input stays)."""
-    columns = docs.columns
-    return assess(docs.select(F.struct(*[F.col(f"`{x}`") for x in columns]).alias("row"), "text"), rules).filter("quality.kept").select("row.*")
+    own = F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row")
+    return assess(docs.select(own, "text", *(["lang"] if "lang" in docs.columns else [])), rules).filter("quality.kept").select("row.*")
