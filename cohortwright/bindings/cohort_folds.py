@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cohortwright.operators import cohort, folds
@@ -103,25 +104,33 @@ SELECT (SELECT count(*) FROM samples) AS all_samples,
   count(*) FILTER (WHERE r = 1 AND disease_label = 0) AS normal_count,
   count(DISTINCT patient_id) AS unique_patient_count,
   (SELECT count(*) FROM (SELECT patient_id FROM samples WHERE disease_label IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS duplicate_patient_count,
-  count(*) FILTER (WHERE r > 1 AND disease_label = 1) AS duplicate_tumor,
-  count(*) FILTER (WHERE r = 1 AND env_sex = 'male') AS male,
-  count(*) FILTER (WHERE r = 1 AND env_stage IS NULL) AS stage_missing,
-  count(*) FILTER (WHERE r = 1 AND row_id % 5 = 0 AND disease_label = 1) AS fold_1_label_1
+  (SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM (SELECT 'duplicate_' || disease_label_name || '_sample_within_patient' AS k, count(*) AS n FROM ({BEST}) WHERE r > 1 GROUP BY 1)) AS reasons,
+  (SELECT string_agg(c || '=' || n, ',' ORDER BY c) FROM (SELECT 'env_stage' AS c, count(env_stage) AS n FROM samples UNION ALL SELECT 'sex_raw', count(env_sex) FROM samples)) AS fields,
+  (SELECT string_agg(f || '=' || zero || '/' || one, ',' ORDER BY f) FROM (SELECT row_id % 5 + 1 AS f, count(*) FILTER (WHERE disease_label = 0) AS zero, count(*) FILTER (WHERE disease_label = 1) AS one FROM ({BEST}) WHERE r = 1 GROUP BY 1)) AS folds
 FROM ({BEST})"""))
 def k10(spark, sf):
     everything = view(spark, sf, "samples")
     kept, rest = cohort.pick_representative(_candidates(spark, sf))
     placed = kept.withColumn("outer_fold", F.col("row_id") % 5 + 1)
     row = cohort.cohort_summary(kept, rest, {"metadata": everything}, placed, everything.withColumn("sex_raw", F.col("env_sex")), _candidates(spark, sf))
-    sex = F.from_json(F.col("environment_category_counts")["env_sex"], "map<string,bigint>")
-    stage = F.from_json(F.col("environment_category_counts")["env_stage"], "map<string,bigint>")
+
+    def listed(c: str, value) -> Column:
+        return F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), value(e["value"])))), ",")
+
     return row.select(
         F.col("matched_sample_counts.metadata").alias("all_samples"), "tumor_count", "normal_count", "unique_patient_count", "duplicate_patient_count",
-        F.col("excluded_sample_counts_by_reason")["duplicate_tumor_sample_within_patient"].alias("duplicate_tumor"),
-        sex["male"].alias("male"), stage["missing"].alias("stage_missing"), F.col("fold_distribution")["1"]["label_1"].alias("fold_1_label_1"),
+        listed("excluded_sample_counts_by_reason", lambda n: n.cast("string")).alias("reasons"),
+        listed("available_confounder_counts", lambda n: n.cast("string")).alias("fields"),
+        listed("fold_distribution", lambda c: F.concat_ws("/", c["label_0"].cast("string"), c["label_1"].cast("string"))).alias("folds"),
     )
 
 
+@book.add("k10_category_counts", sql(f"SELECT 'env_sex' AS \"column\", env_sex AS level, count(*) AS n FROM ({BEST}) WHERE r = 1 GROUP BY 2 UNION ALL SELECT 'env_stage', env_stage, count(*) FROM ({BEST}) WHERE r = 1 GROUP BY 2"))
+def k10_levels(spark, sf):
+    """Levels of the cohort's environments, in full whatever their number."""
+    return cohort.category_counts(cohort.pick_representative(_candidates(spark, sf))[0])
+
+
 @book.add("k11_histogram", sql("""
 SELECT b AS bin, lo + b * w AS bin_start, lo + (b + 1) * w AS bin_end, count(o_totalprice) AS n
 FROM (SELECT min(o_totalprice) AS lo, (max(o_totalprice) - min(o_totalprice)) / 10 AS w FROM orders)

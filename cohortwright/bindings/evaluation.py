@@ -73,22 +73,18 @@ def e5(spark, sf):
     return m.brier(view(spark, sf, "pred"), RUN)
 
 
-CURVE = "SELECT model_name, y_prob, CAST(sum(sum(y_true)) OVER w AS DOUBLE) AS tp, CAST(sum(count(*) - sum(y_true)) OVER w AS DOUBLE) AS fp, sum(sum(y_true)) OVER (PARTITION BY model_name) AS p, sum(count(*) - sum(y_true)) OVER (PARTITION BY model_name) AS n FROM pred WHERE seed = 1 GROUP BY 1, 2 WINDOW w AS (PARTITION BY model_name ORDER BY y_prob DESC)"
-MODELS = "SELECT DISTINCT model_name FROM pred"
+CURVE = "SELECT model_name, seed, y_prob, CAST(sum(sum(y_true)) OVER w AS DOUBLE) AS tp, CAST(sum(count(*) - sum(y_true)) OVER w AS DOUBLE) AS fp, sum(sum(y_true)) OVER (PARTITION BY model_name, seed) AS p, sum(count(*) - sum(y_true)) OVER (PARTITION BY model_name, seed) AS n FROM pred GROUP BY 1, 2, 3 WINDOW w AS (PARTITION BY model_name, seed ORDER BY y_prob DESC)"
+MODELS = "SELECT DISTINCT model_name, seed FROM pred"
 
 
-def _seed1(spark, sf):
-    return view(spark, sf, "pred").filter("seed = 1")
-
-
-@book.add("e6_roc_points", sql(f"SELECT model_name, y_prob AS threshold, fp / n AS fpr, tp / p AS tpr FROM ({CURVE}) UNION ALL SELECT model_name, NULL, 0, 0 FROM ({MODELS})", "threshold fpr tpr"))
+@book.add("e6_roc_points", sql(f"SELECT model_name, seed, y_prob AS threshold, fp / n AS fpr, tp / p AS tpr FROM ({CURVE}) UNION ALL SELECT model_name, seed, NULL, 0, 0 FROM ({MODELS})", "threshold fpr tpr", "seed"))
 def e6(spark, sf):
-    return m.roc_points(_seed1(spark, sf), ["model_name"])
+    return m.roc_points(view(spark, sf, "pred"), RUN)
 
 
-@book.add("e7_pr_points", sql(f"SELECT model_name, y_prob AS threshold, tp / (tp + fp) AS precision, tp / p AS recall FROM ({CURVE}) UNION ALL SELECT model_name, NULL, 1, 0 FROM ({MODELS})", "threshold precision recall"))
+@book.add("e7_pr_points", sql(f"SELECT model_name, seed, y_prob AS threshold, tp / (tp + fp) AS precision, tp / p AS recall FROM ({CURVE}) UNION ALL SELECT model_name, seed, NULL, 1, 0 FROM ({MODELS})", "threshold precision recall", "seed"))
 def e7(spark, sf):
-    return m.pr_points(_seed1(spark, sf), ["model_name"])
+    return m.pr_points(view(spark, sf, "pred"), RUN)
 
 
 def calibration_sql(by: str, bins: int, adapt: bool) -> str:
@@ -169,6 +165,13 @@ def e12(spark, sf):
     return m.subgroup_metrics(view(spark, sf, "pred"), DIMS)
 
 
+@book.add("e12_subgroup_alternatives", sql(SUB_SQL.replace("'env_sex' AS", "'sex' AS").replace("'env_stage' AS", "'stage' AS").replace("'env_smoking' AS", "'smoking' AS").replace("'env_hour' AS", "'hour' AS").replace("'env_country' AS", "'country_or_region' AS"), D, "seed"))
+def e12_alternatives(spark, sf):
+    """Subgroups by the first of several column names that the table has; a subgroup without any is left out."""
+    dims = dict(m.SUBGROUPS) | {"hour": ("hour_raw", "env_hour"), "country_or_region": ("country", "env_country", "env_sex")}
+    return m.subgroup_metrics(view(spark, sf, "pred"), dims)
+
+
 ENV_KEYS = "seed, outer_fold, environment_column, environment_level"
 ENV_OK = "n_samples >= 5 AND n_pos > 0 AND n_neg > 0"
 ENV_SQL = masked(metrics_sql(levels_sql("seed, outer_fold", "Unknown", "environment_column", "environment_level"), ENV_KEYS), ENV_KEYS, ENV_OK, f"CASE WHEN {ENV_OK} THEN 'evaluated' ELSE 'skipped_small' END")
@@ -248,8 +251,8 @@ def e19_weights(spark, sf):
 
 @book.add("e19_weight_histogram", sql("""
 SELECT b AS bin, lo + b * w AS bin_start, lo + (b + 1) * w AS bin_end, count(v) AS n
-FROM (SELECT min(l_extendedprice) AS lo, (max(l_extendedprice) - min(l_extendedprice)) / 30 AS w FROM lineitem)
+FROM (SELECT min(gate_weight) AS lo, (max(gate_weight) - min(gate_weight)) / 30 AS w FROM run_weights)
 CROSS JOIN (SELECT unnest(generate_series(0, 29)) AS b)
-LEFT JOIN (SELECT l_extendedprice AS v FROM lineitem) ON least(floor((v - lo) / w), 29) = b GROUP BY b, lo, w""", "bin_start bin_end", "bin"))
+LEFT JOIN (SELECT gate_weight AS v FROM run_weights) ON least(floor((v - lo) / w), 29) = b GROUP BY b, lo, w""", "bin_start bin_end", "bin"))
 def e19_histogram(spark, sf):
-    return histogram(view(spark, sf, "lineitem"), "l_extendedprice", 30)
+    return histogram(view(spark, sf, "run_weights"), "gate_weight", 30)

@@ -178,18 +178,16 @@ def r13_median(spark, sf):
     return r.class_reference(emb, reference="median")
 
 
-CANDIDATES = ("e0", "e1", "e7")
 PERTURBED = f"""SELECT sample_id, disease_label, seed, outer_fold, gene, 1 / (1 + exp(-z)) AS original_prob, 1 / (1 + exp(-(z + d))) AS perturbed_prob, d AS logit_shift,
   1 / (1 + exp(-(z + d))) - 1 / (1 + exp(-z)) AS delta_prob
 FROM (SELECT s.*, weight * (CASE WHEN disease_label = 1 THEN reference_0 ELSE reference_1 END - x) AS d
   FROM (SELECT *, sum(weight * x) OVER (PARTITION BY sample_id, seed) AS z FROM ({SCORED})) s
-  JOIN ({REFS}) c ON s.outer_fold = c.outer_fold AND s.gene = c.gene WHERE s.gene IN {CANDIDATES})"""
+  JOIN ({REFS}) c ON s.outer_fold = c.outer_fold AND s.gene = c.gene)"""
 
 
 def _perturbed(spark, sf) -> DataFrame:
     emb = view(spark, sf, "emb")
-    refs = r.class_reference(emb.filter(F.col("gene").isin(*CANDIDATES)), by=["outer_fold", "gene"])
-    return r.perturb(emb, slot_weights(spark, sf), refs)
+    return r.perturb(emb, slot_weights(spark, sf), r.class_reference(emb, by=["outer_fold", "gene"]))
 
 
 @book.add("r14_perturb", sql(PERTURBED, "original_prob perturbed_prob logit_shift delta_prob", "disease_label seed outer_fold"))
@@ -219,33 +217,26 @@ def r16(spark, sf):
 
 # ---- fusion and ranking ------------------------------------------------------------------------
 
-# Composite inputs are rounded to six decimals on both sides, so that ranks do not hang on the last bit.
 PARTS = ("attribution_score", "gate_score", "stability_score", "invariance_score", "perturbation_score")
-
-
-def _six(name: str, expression: str) -> str:
-    return f"floor(coalesce({expression}, 0) * 1e6 + 0.4987) / 1e6 AS {name}"
-
-
-FUSED = f"""SELECT coalesce(a.gene, g.gene, s.gene) AS gene, {_six('attribution_score', 'a.attribution_score')}, {_six('gate_score', 'g.mean_abs_gate_weight')},
-  {_six('stability_score', 's.stability_score_raw')}, {_six('invariance_score', 'i.invariance_score')}, {_six('perturbation_score', 'p.perturbation_score')}, floor(p.directional_consistency * 1e6 + 0.4987) / 1e6 AS directional_consistency
+FUSED = f"""SELECT coalesce(a.gene, g.gene, s.gene) AS gene, coalesce(a.attribution_score, 0) AS attribution_score, coalesce(g.mean_abs_gate_weight, 0) AS gate_score,
+  coalesce(s.stability_score_raw, 0) AS stability_score, coalesce(i.invariance_score, 0) AS invariance_score, coalesce(p.perturbation_score, 0) AS perturbation_score, p.directional_consistency
 FROM ({ATTR_GENE}) a FULL JOIN ({GATE}) g ON a.gene = g.gene FULL JOIN ({STABILITY}) s ON coalesce(a.gene, g.gene) = s.gene
 LEFT JOIN (SELECT gene, avg(invariance_score) AS invariance_score FROM ({INVARIANCE}) GROUP BY 1) i ON coalesce(a.gene, g.gene, s.gene) = i.gene
 LEFT JOIN ({PERT_GENE}) p ON coalesce(a.gene, g.gene, s.gene) = p.gene"""
 
 
 def fused(spark, sf, scores: DataFrame | None = None) -> DataFrame:
-    scores = _run_scores(spark, sf) if scores is None else scores
-    attr = r.attribution_by_gene(r.attribution_by_run(view(spark, sf, "attr")))[1]
-    gates = r.aggregate_weights(view(spark, sf, "run_weights"))[1].withColumnRenamed("mean_abs_gate_weight", "gate_score")
-    joined = fuse_evidence(
-        attr.select("gene", "attribution_score"), gates.select("gene", "gate_score"),
+    # Run scores, invariance and the table of attributions by run share one aggregate of the attributions.
+    per_run = materialize(r.attribution_by_run(view(spark, sf, "attr")))
+    gate_run, gate_gene = r.aggregate_weights(view(spark, sf, "run_weights"))
+    scores = materialize(r.run_scores(per_run, gate_run)) if scores is None else scores
+    return fuse_evidence(
+        r.attribution_by_gene(per_run)[1].select("gene", "attribution_score"),
+        gate_gene.select("gene", F.col("mean_abs_gate_weight").alias("gate_score")),
         r.stability(scores).select("gene", F.col("stability_score_raw").alias("stability_score")),
         r.invariance_by_gene(r.invariance(_effects(spark, sf))).select("gene", "invariance_score"),
         _pert_gene(spark, sf).select("gene", "perturbation_score", "directional_consistency"),
     )
-    rounded = {c: F.floor(F.col(c) * 1e6 + 0.4987) / F.lit(1e6) for c in (*PARTS, "directional_consistency")}
-    return joined.withColumns(rounded)
 
 
 def _book_fused(spark, sf) -> DataFrame:
@@ -286,33 +277,57 @@ def r20(spark, sf):
     return _ranked(spark, sf).select("gene", "composite_score", "final_rank", "notes")
 
 
-N_BOOT = 20
-RUNS = f"SELECT seed, outer_fold, row_number() OVER (ORDER BY seed, outer_fold) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT seed, outer_fold FROM scores)"
-BOOT = f"""{STEPS}, scores AS ({RUN_SCORES}), runs AS ({RUNS}),
-draws AS (SELECT it, {Duck.h("'42:' || it || ':' || d")} % n AS i FROM (SELECT DISTINCT n FROM runs), unnest(generate_series(0, {N_BOOT - 1})) AS a(it), unnest(generate_series(0, n - 1)) AS b(d)),
+N_BOOT = 100
+RUNS = "SELECT seed, outer_fold, row_number() OVER (ORDER BY seed, outer_fold) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT seed, outer_fold FROM scores)"
+DRAWS = f"SELECT it, {Duck.h("'42:' || it || ':' || d")} % n AS i FROM (SELECT DISTINCT n FROM runs), unnest(generate_series(0, {N_BOOT - 1})) AS a(it), unnest(generate_series(0, n - 1)) AS b(d)"
+
+
+def _boot_sql(parts: str, scaled: bool) -> str:
+    stability = "0.7::DOUBLE * stability_score + 0.3::DOUBLE * coalesce(s, 0)"
+    drawn = f"SELECT n.gene, g.it AS iteration, {', '.join(stability + ' AS ' + c if c == 'stability_score' else c for c in PARTS)} FROM {parts} n CROSS JOIN (SELECT unnest(generate_series(0, {N_BOOT - 1})) AS it) g LEFT JOIN resampled s ON n.gene = s.gene AND g.it = s.it"
+    if scaled:
+        span = lambda c, f: f"{f}({c}) OVER (PARTITION BY iteration)"
+        drawn = f"SELECT gene, iteration, {', '.join(f'CASE WHEN {span(c, "max")} > {span(c, "min")} THEN ({c} - {span(c, "min")}) / ({span(c, "max")} - {span(c, "min")}) ELSE {c} END AS {c}' for c in PARTS)} FROM ({drawn})"
+    return f"""{STEPS}, scores AS ({RUN_SCORES}), runs AS ({RUNS}), draws AS ({DRAWS}),
 resampled AS (SELECT it, gene, avg(run_predictive_score) AS s FROM draws JOIN runs ON draws.i = runs.i JOIN scores ON runs.seed = scores.seed AND runs.outer_fold = scores.outer_fold GROUP BY 1, 2),
-boot AS (SELECT n.gene, g.it AS iteration, 0.30::DOUBLE * attribution_score + 0.20::DOUBLE * gate_score + 0.20::DOUBLE * (0.7::DOUBLE * stability_score + 0.3::DOUBLE * coalesce(s, 0)) + 0.15::DOUBLE * invariance_score + 0.15::DOUBLE * perturbation_score AS composite_bootstrap
-  FROM normalized n CROSS JOIN (SELECT unnest(generate_series(0, {N_BOOT - 1})) AS it) g LEFT JOIN resampled s ON n.gene = s.gene AND g.it = s.it)"""
+boot AS (SELECT gene, iteration, 0.30::DOUBLE * attribution_score + 0.20::DOUBLE * gate_score + 0.20::DOUBLE * stability_score + 0.15::DOUBLE * invariance_score + 0.15::DOUBLE * perturbation_score AS composite_bootstrap FROM ({drawn}))"""
 
 
-def _boot(spark, sf, draw=r.bootstrap_scores) -> DataFrame:
+BOOT, BOOT_SCALED = _boot_sql("normalized", False), _boot_sql("fused", True)
+RANK_BOOT = "row_number() OVER (PARTITION BY iteration ORDER BY composite_bootstrap DESC, gene) AS rank_bootstrap"
+CI = "gene, avg(composite_bootstrap) AS bootstrap_mean, quantile_cont(composite_bootstrap, 0.025) AS bootstrap_ci_lower, quantile_cont(composite_bootstrap, 0.975) AS bootstrap_ci_upper"
+
+
+def _arrays(spark, sf, scaled: bool = False) -> DataFrame:
+    """100 iterations, on parts scaled once, or on raw parts scaled anew in each iteration."""
     scores = materialize(_run_scores(spark, sf))
-    return draw(_composed(spark, sf, scores), scores, N_BOOT)
+    parts = materialize(fused(spark, sf, scores))
+    return r.bootstrap_arrays(parts if scaled else r.normalize_scores(parts), scores, N_BOOT, normalize=scaled)
 
 
-@book.add("r21_draw_table", sql(f"WITH scores AS (SELECT DISTINCT seed, outer_fold FROM run_weights), runs AS ({RUNS}) SELECT it AS iteration, seed, outer_fold, count(*) AS draws FROM (SELECT it, {Duck.h("'42:' || it || ':' || d")} % n AS i FROM (SELECT DISTINCT n FROM runs), unnest(generate_series(0, {N_BOOT - 1})) AS a(it), unnest(generate_series(0, n - 1)) AS b(d)) p JOIN runs ON p.i = runs.i GROUP BY 1, 2, 3", ints="seed outer_fold"))
+@book.add("r21_draw_table", sql(f"WITH scores AS (SELECT DISTINCT seed, outer_fold FROM run_weights), runs AS ({RUNS}) SELECT it AS iteration, seed, outer_fold, count(*) AS draws FROM ({DRAWS}) p JOIN runs ON p.i = runs.i GROUP BY 1, 2, 3", ints="seed outer_fold"))
 def r21_draws(spark, sf):
     return r.draw_table(view(spark, sf, "run_weights"), N_BOOT, 42)
 
 
-@book.add("r21_bootstrap", sql(f"{BOOT} SELECT gene, iteration, composite_bootstrap FROM boot", "composite_bootstrap"))
+@book.add("r21_bootstrap", sql(f"{BOOT} SELECT gene, iteration, composite_bootstrap, {RANK_BOOT} FROM boot", "composite_bootstrap"))
 def r21(spark, sf):
-    return _boot(spark, sf, r.bootstrap).select("gene", "iteration", "composite_bootstrap")
+    return r.rank_iterations(_arrays(spark, sf))
+
 
+@book.add("r21_bootstrap_scaled", sql(f"{BOOT_SCALED} SELECT gene, iteration, composite_bootstrap, {RANK_BOOT} FROM boot", "composite_bootstrap"))
+def r21_scaled(spark, sf):
+    return r.rank_iterations(_arrays(spark, sf, scaled=True))
 
-@book.add("r22_bootstrap_ci", sql(f"{BOOT} SELECT gene, avg(composite_bootstrap) AS bootstrap_mean, quantile_cont(composite_bootstrap, 0.025) AS bootstrap_ci_lower, quantile_cont(composite_bootstrap, 0.975) AS bootstrap_ci_upper FROM boot GROUP BY 1", "bootstrap_mean bootstrap_ci_lower bootstrap_ci_upper"))
+
+@book.add("r22_bootstrap_ci", sql(f"{BOOT} SELECT {CI} FROM boot GROUP BY 1", "bootstrap_mean bootstrap_ci_lower bootstrap_ci_upper"))
 def r22(spark, sf):
-    return r.bootstrap_ci(_boot(spark, sf))
+    return r.bootstrap_ci(_arrays(spark, sf))
+
+
+@book.add("r22_bootstrap_ci_scaled", sql(f"{BOOT_SCALED} SELECT {CI} FROM boot GROUP BY 1", "bootstrap_mean bootstrap_ci_lower bootstrap_ci_upper"))
+def r22_scaled(spark, sf):
+    return r.bootstrap_ci(_arrays(spark, sf, scaled=True))
 
 
 @book.add("r23_set_summary", sql(f"{STEPS} SELECT pathway, count(*) AS pathway_gene_count, count(*) FILTER (WHERE final_rank <= 25) AS top25_hits, count(*) FILTER (WHERE final_rank <= 100) AS top100_hits, avg(composite_score) AS mean_composite, avg(attribution_score) AS mean_attribution_score, avg(perturbation_score) AS mean_perturbation_score FROM sets JOIN ranked ON sets.gene = ranked.gene GROUP BY 1", "mean_composite mean_attribution_score mean_perturbation_score"))

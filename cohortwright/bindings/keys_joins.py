@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortwright.plans import files
 from cohortwright.functions.identifiers import key_variants, normalize_id, type_code
 from cohortwright.operators import joins, keys
 from cohortwright.operators.distributed import scratch_root
@@ -52,6 +54,30 @@ def s3_text(spark, sf):
     return matrix.read_wide_matrix(spark, path)
 
 
+def _twice(df: DataFrame, later: DataFrame, path: str) -> str:
+    """CSV folders of which the second repeats every row with other values."""
+    for name, part in (("1", df), ("2", later)):
+        part.write.csv(f"{path}/{name}", header=True)
+    return f"{path}/*"
+
+
+@book.add("s3_raw_matrix", sql("SELECT sample_id, gene, value FROM (UNPIVOT (SELECT * FROM wide) ON COLUMNS(* EXCLUDE (sample_id)) INTO NAME gene VALUE value)", "value"))
+def s3_raw(spark, sf):
+    """A raw matrix with every line twice; the first one counts."""
+    wide = view(spark, sf, "wide")
+    later = wide.select("sample_id", *[(F.col(c) + 1).alias(c) for c in wide.columns[1:]])
+    return files.read_matrix(spark, _twice(wide, later, _path(spark)))
+
+
+@book.add("s2_raw_clinical", sql("SELECT barcode, race, days_to_death, CAST(h AS DOUBLE) AS h FROM meta", "days_to_death h"))
+def s2_raw(spark, sf):
+    """A raw clinical table with every row twice: key found, numbers typed, the first row of a key kept."""
+    meta = view(spark, sf, "meta").select("race", "barcode", "days_to_death", "h")
+    path = _twice(meta, meta.withColumns({"race": F.lit("later"), "h": F.col("h") + 1}), _path(spark))
+    table, key, _ = files.read_clinical(spark, path)
+    return table.select(F.col(key).alias("barcode"), "race", "days_to_death", "h")
+
+
 @book.add("s4_gene_sets", sql("SELECT DISTINCT pathway, gene FROM sets"))
 def s4(spark, sf):
     # One line per set, written as GMT text; a set holds at most 400 parts by construction.
@@ -88,11 +114,11 @@ def s8(spark, sf):
     return tables.require_columns(view(spark, sf, "orders"), ["o_orderkey", "o_custkey"], "orders").select("o_orderkey", "o_custkey")
 
 
-@book.add("s9_numeric_columns", sql("SELECT c_custkey, age FROM (SELECT c_custkey, CASE WHEN age <> 'bad' THEN CAST(age AS DOUBLE) END AS age FROM meta)", "age"))
+@book.add("s9_numeric_columns", sql("SELECT c_custkey, CASE WHEN age <> 'bad' THEN CAST(age AS DOUBLE) END AS age, days_to_death, CAST(h AS DOUBLE) AS h FROM meta", "age days_to_death h"))
 def s9(spark, sf):
     df = view(spark, sf, "meta").withColumn("age", F.nullif("age", F.lit("bad")))
     numeric, _ = tables.numeric_columns(df, "c_custkey", coerce=True)
-    return df.select("c_custkey", *[F.col(c).cast("double").alias(c) for c in numeric if c == "age"])
+    return df.select("c_custkey", *[F.col(c).cast("double").alias(c) for c in numeric])
 
 
 @book.add("s10_project_canonical", sql("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(NULL AS DOUBLE) AS days_to_death, o_totalprice FROM orders", "o_totalprice"))

@@ -149,6 +149,33 @@ def c14(spark, sf):
     return metadata.one_hot(view(spark, sf, "meta").select("c_custkey", "days_to_death", "race"), ["days_to_death", "race"])
 
 
+# A level of its own for every customer, and two columns with a few levels and missing cells.
+SPARSE = ["barcode", "country", "race"]
+SLOTS = f"""SELECT "column", level, row_number() OVER (ORDER BY "column", level) - 1 AS slot
+FROM (SELECT DISTINCT "column", level FROM (UNPIVOT (SELECT c_custkey, {', '.join(SPARSE)} FROM meta) ON {', '.join(SPARSE)} INTO NAME "column" VALUE level))"""
+
+
+@book.add("c14_level_slots", sql(SLOTS))
+def c14_slots(spark, sf):
+    return metadata.level_slots(view(spark, sf, "meta"), SPARSE)
+
+
+@book.add("c14_indicators", sql(f"""SELECT c_custkey, s."column", s.level, slot
+FROM (UNPIVOT (SELECT c_custkey, {', '.join(SPARSE)} FROM meta) ON {', '.join(SPARSE)} INTO NAME "column" VALUE level) m JOIN ({SLOTS}) s ON m."column" = s."column" AND m.level = s.level"""))
+def c14_long(spark, sf):
+    meta = view(spark, sf, "meta")
+    return metadata.indicators(meta, metadata.level_slots(meta, SPARSE), SPARSE, "c_custkey")
+
+
+@book.add("c14_sparse_one_hot", sql(f"""SELECT m.c_custkey, m.days_to_death, coalesce(levels, '') AS levels FROM meta m LEFT JOIN (
+SELECT c_custkey, string_agg(CAST(slot AS VARCHAR), ',' ORDER BY slot) AS levels
+FROM (UNPIVOT (SELECT c_custkey, {', '.join(SPARSE)} FROM meta) ON {', '.join(SPARSE)} INTO NAME "column" VALUE level) m JOIN ({SLOTS}) s ON m."column" = s."column" AND m.level = s.level GROUP BY 1) l ON m.c_custkey = l.c_custkey""", "days_to_death"))
+def c14_sparse(spark, sf):
+    meta = view(spark, sf, "meta").select("c_custkey", "days_to_death", *SPARSE)
+    out = metadata.sparse_one_hot(meta, metadata.level_slots(meta, SPARSE), SPARSE, "c_custkey")
+    return out.withColumn("levels", F.array_join(F.col("levels").cast("array<string>"), ","))
+
+
 @book.add("c15_note", sql("SELECT l_orderkey, l_partkey, l_suppkey, CASE WHEN l_discount * 10 >= 0.7 THEN 'Stable computationally prioritized driver-associated gene with consistent counterfactual effect.' ELSE 'Computationally prioritized candidate driver gene; interpret with observational caution.' END AS note FROM lineitem"))
 def c15(spark, sf):
     return view(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", metadata.note(F.col("l_discount") * 10).alias("note"))
@@ -304,6 +331,6 @@ def p15(spark, sf):
     return profile.run_summary(view(spark, sf, "samples"), {"label_column": "disease_label", "expression_rows": F.count("*"), "labelled_rows": F.count("disease_label")})
 
 
-@book.add("p16_labelled_set", sql("SELECT w.sample_id, w.e0, g.disease_label FROM wide w JOIN grp g ON w.sample_id = g.sample_id", "e0", "disease_label"))
+@book.add("p16_labelled_set", sql("SELECT w.*, g.disease_label FROM wide w JOIN grp g ON w.sample_id = g.sample_id", " ".join(f"e{i}" for i in range(64)), "disease_label"))
 def p16(spark, sf):
-    return prepare.labelled_set(view(spark, sf, "wide").select("sample_id", "e0"), view(spark, sf, "grp").select("sample_id", "disease_label"))
+    return prepare.labelled_set(view(spark, sf, "wide"), view(spark, sf, "grp").select("sample_id", "disease_label"))

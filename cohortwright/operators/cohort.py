@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from cohortwright.functions.arithmetic import as_column
 from cohortwright.functions.hashing import stable_hash
 
-from .distributed import materialize, number_by_hash
+from .distributed import materialize, bottom_by_hash
 from .metadata import COMPLETENESS_FIELDS
 
-NESTED_LEVELS = 1000
 ENVIRONMENTS = ("env_sex", "env_smoking", "env_histology", "env_stage", "env_country_or_region")
 
 
@@ -101,10 +100,8 @@ def cohort_summary(
 ) -> DataFrame:
     """The nested one-row summary of a cohort build.
 
-    ``matched`` names the counts of matched samples. The maps are keyed by reasons, fields, folds and
-    levels. Free-text environments can have any number of levels: ``environment_levels`` counts them
-    for every column, and the nested counts list the columns with at most ``NESTED_LEVELS`` of them
-    (``category_counts`` is the full table).
+    ``matched`` names the counts of matched samples. The maps are keyed by reasons, fields and folds. Environments
+    can have any number of levels, so their counts are a long table of their own (``category_counts``).
     """
 
     def entries(df: DataFrame, key: str, value: Column | str) -> Column:
@@ -117,11 +114,6 @@ def cohort_summary(
         F.count_distinct("patient_id").alias("unique_patient_count"),
     )
     reasons = excluded_by_reason(excluded).agg(entries(excluded_by_reason(excluded), "exclusion_reason", "n").alias("m"))
-    by_level = category_counts(cohort)
-    sizes = by_level.groupBy("column").agg(F.count("*").alias("levels"))
-    short = by_level.join(sizes.filter(F.col("levels") <= NESTED_LEVELS), "column", "left_semi")
-    levels = short.groupBy("column").agg(entries(short, "level", "n").alias("m"))
-    environments = levels.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("column", F.to_json("m").alias("j"))))).alias("m"))
     per_fold = fold_distribution(folds).withColumn("c", F.struct("label_0", "label_1"))
     fields = available_counts(everything)
     return counts.select(
@@ -132,8 +124,6 @@ def cohort_summary(
         duplicate_patients(candidates).select("duplicate_patient_count").scalar().alias("duplicate_patient_count"),
         reasons.scalar().alias("excluded_sample_counts_by_reason"),
         fields.agg(entries(fields, "field", "available")).scalar().alias("available_confounder_counts"),
-        environments.scalar().alias("environment_category_counts"),
-        sizes.agg(entries(sizes, "column", "levels")).scalar().alias("environment_levels"),
         per_fold.agg(entries(per_fold, "outer_fold", "c")).scalar().alias("fold_distribution"),
     )
 
@@ -160,7 +150,9 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
 def capped_sample(
     df: DataFrame, label: str, cap: int, seed: int | str | Column, key: str = "sample_id", by: Sequence[str] = ()
 ) -> DataFrame:
-    """Up to ``cap`` rows per class (and per ``by`` group), without replacement, in seeded hash order."""
+    """Up to ``cap`` rows per class (and per ``by`` group), without replacement, the first in seeded hash order.
+
+    No class is sorted: counted hash prefixes cut it (``bottom_by_hash``).
+    """
     hashed = df.withColumn("_h", stable_hash(seed, key))
-    placed = number_by_hash(hashed, [*by, label], "_h", [key], "_place")
-    return placed.filter(F.col("_place") <= cap).drop("_h", "_place")
+    return bottom_by_hash(hashed, [*by, label], "_h", [key], cap).drop("_h")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortwright.functions.arithmetic import as_column
 
+from .distributed import lookup_join, materialize
 from .keys import assert_unique
 
 # The tiers of a barcode match and the id names that allow the patient tier.
@@ -25,22 +26,40 @@ def tiers_for(id_col: str) -> tuple[tuple[str, str], ...]:
     return TIERS if id_col in PATIENT_ID_NAMES else TIERS[:2]
 
 
+def tier_facts(left: DataFrame, right: DataFrame, tiers: Sequence[tuple[str, str]] = TIERS) -> DataFrame:
+    """Per tier (its place in ``tiers``): left rows with a partner, and the most rows of one key on either side."""
+
+    def keyed(df: DataFrame, left_: int, right_: int) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(i).alias("tier"), F.col(key).cast("string").alias("key")) for i, (_, key) in enumerate(tiers)])
+        rows = df.select(F.explode(pairs).alias("t")).select("t.*").filter(F.col("key").isNotNull())
+        return rows.withColumns({"n_left": F.lit(left_), "n_right": F.lit(right_)})
+
+    per_key = keyed(left, 1, 0).union(keyed(right, 0, 1)).groupBy("tier", "key").agg(F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"))
+    return per_key.groupBy("tier").agg(
+        F.sum(F.when(F.col("n_right") > 0, F.col("n_left")).otherwise(0)).alias("matches"),
+        F.max("n_left").alias("most_left"), F.max("n_right").alias("most_right"),
+    )
+
+
 def tiered_join(
     left: DataFrame, right: DataFrame, tiers: Sequence[tuple[str, str]] = TIERS, one_to_one: bool = True
 ) -> DataFrame:
     """Inner join on the first tier with any match; one tier serves the whole table.
 
     The result carries ``merge_strategy`` and ``match_count`` (left rows with a partner). Right
-    columns that also exist on the left get the suffix ``_metadata``.
+    columns that also exist on the left get the suffix ``_metadata``. One aggregate over the keys of all tiers and
+    both sides gives every tier's matches and repeats, so each side is read once before the join itself.
     """
-    for strategy, key in tiers:
-        keyed_left, keyed_right = left.filter(F.col(key).isNotNull()), right.filter(F.col(key).isNotNull())
-        matches = keyed_left.join(keyed_right.select(key), key, "left_semi").count()
+    facts = {r["tier"]: r for r in tier_facts(left, right, tiers).collect()}  # one row per tier
+    for i, (strategy, key) in enumerate(tiers):
+        matches = facts[i]["matches"] if i in facts else 0
         if not matches:
             continue
+        keyed_left, keyed_right = left.filter(F.col(key).isNotNull()), right.filter(F.col(key).isNotNull())
         if one_to_one:
-            assert_unique(keyed_left, key, "left table")
-            assert_unique(keyed_right, key, "right table")
+            for side, df in (("left", keyed_left), ("right", keyed_right)):
+                if facts[i][f"most_{side}"] > 1:
+                    assert_unique(df, key, f"{side} table")  # names the keys
         renamed = keyed_right.select(
             *[F.col(c).alias(f"{c}_metadata" if c in left.columns and c != key else c) for c in right.columns]
         )
@@ -78,12 +97,15 @@ def align_matrix(
 ) -> DataFrame:
     """Matrix rows of exactly the cohort's samples; a cohort sample without rows is an error.
 
-    With ``order`` (the source row position) repeated samples keep their first row.
+    With ``order`` (the source row position) repeated samples keep their first row. The matrix is shuffled once, for
+    that; the check reads its combined sample ids, and the cohort is a lookup table whose size decides the join.
     """
-    missing = [r[0] for r in cohort.select(key).join(long.select(key), key, "left_anti").limit(10).collect()]
+    wanted = materialize(cohort.select(key).distinct())
+    present = long.select(key).distinct()
+    missing = [r[0] for r in wanted.join(present, key, "left_anti").limit(10).collect()]
     if missing:
         raise ValueError(f"Matrix lacks cohort samples: {missing}")
-    aligned = restrict(long, cohort, key)
+    aligned = lookup_join(long, wanted, key, "left_semi", stored=True)
     if order is None:
         return aligned
     return aligned.groupBy(key, "gene").agg(F.min_by("value", as_column(order)).alias("value"))

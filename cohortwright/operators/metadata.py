@@ -226,6 +226,45 @@ def one_hot(
     return df.select(*keep, *flags)
 
 
+def text_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    """Those of ``cols`` that hold levels, not numbers."""
+    return [c for c in cols if dict(df.dtypes)[c] in ("string", "boolean")]
+
+
+def level_slots(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Level dictionary ``(column, level, slot)`` of text columns: slots from 0, in the order of column and level.
+
+    Any number of levels: they are distinct rows, numbered by ranges, and never come to the driver or into a schema.
+    """
+    numbered = number_rows(_levels_of(df, cols).drop("_row").distinct(), [], ["column", "level"], "slot")
+    return numbered.select("column", "level", (F.col("slot") - 1).alias("slot"))
+
+
+def _levels_of(df: DataFrame, cols: Sequence[str], key: Column | None = None) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("level")) for c in cols])
+    rows = df.select((F.lit(None) if key is None else key).alias("_row"), F.explode(pairs).alias("p"))
+    return rows.select("_row", "p.*").filter(F.col("level").isNotNull())
+
+
+def indicators(df: DataFrame, slots: DataFrame, cols: Sequence[str], key: str) -> DataFrame:
+    """Long one-hot rows ``(<key>, column, level, slot)``: one per row of ``df`` and text column with a known level.
+
+    The dictionary is looked up by its measured size, so a small one is broadcast and a large one is joined.
+    """
+    found = lookup_join(_levels_of(df, cols, F.col(key)), slots, ["column", "level"], "inner")
+    return found.select(F.col("_row").alias(key), "column", "level", "slot")
+
+
+def sparse_one_hot(df: DataFrame, slots: DataFrame, cols: Sequence[str], key: str, name: str = "levels") -> DataFrame:
+    """``df`` with a sparse indicator ``name`` (sorted slots that are 1) instead of the text columns of ``cols``.
+
+    ``key`` identifies a row. Missing and unknown levels add no slot; the schema doesn't grow with the levels.
+    """
+    ones = indicators(df, slots, cols, key).groupBy(key).agg(F.sort_array(F.collect_list("slot")).alias(name))
+    rest = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in cols])
+    return rest.join(ones, key, "left").withColumn(name, F.coalesce(name, F.array().cast("array<bigint>")))
+
+
 # The two notes on a ranked entity and the consistency that separates them.
 CONSISTENT = 0.7
 NOTE_STABLE = "Stable computationally prioritized driver-associated gene with consistent counterfactual effect."

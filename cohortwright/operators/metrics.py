@@ -7,7 +7,7 @@ score ranges, so one group may hold any share of the rows. Group columns may be
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,10 +15,19 @@ from pyspark.sql import functions as F
 
 from cohortwright.functions.arithmetic import ratio
 
-from .distributed import interpolated, lookup_join, materialize, running_totals
+from .distributed import lookup_join, materialize, running_totals
+from .selection import Quantile, order_statistics
 
 METRICS = ("auroc", "auprc", "balanced_accuracy", "mcc", "f1", "sensitivity", "specificity", "brier_score")
 COUNTS = ("tn", "fp", "fn", "tp")
+# The column names that may hold a subgroup, best first.
+SUBGROUPS = {
+    "sex": ("env_sex", "sex_raw", "sex"),
+    "smoking": ("env_smoking", "smoking_raw", "smoking_status"),
+    "histology": ("env_histology", "histology_clean", "histology_raw", "histology"),
+    "stage": ("env_stage", "stage_raw", "stage"),
+    "country_or_region": ("env_country_or_region", "country_raw", "country_or_region"),
+}
 
 
 def score_table(df: DataFrame, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
@@ -149,20 +158,15 @@ def quantile_edges(df: DataFrame, by: Sequence[str], bins: int, adapt: bool) ->
     """Bin edges per group: ``bins + 1`` linear quantiles of the score, as an array.
 
     ``adapt`` uses ``min(bins, distinct scores)`` bins and drops repeated edges. The quantiles are
-    read off running counts of the distinct scores.
+    selected among the distinct scores and their counts.
     """
-    counts = df.groupBy(*by, "y_prob").agg(F.count("*").alias("n"), F.lit(1).cast("bigint").alias("one"))
-    ordered = running_totals(
-        counts, by, ["y_prob"], {"upto": F.col("n"), "distinct": F.col("one")}, totals=True
-    )
-    used = F.least(F.lit(bins).cast("bigint"), F.col("distinct_total")) if adapt else F.lit(bins).cast("bigint")
-    edges = []
-    for i in range(bins + 1):
-        # Beyond the group's own number of bins the last edge repeats and is dropped below.
-        q = F.least(F.lit(float(i)) / used, F.lit(1.0))
-        edges.append(interpolated("y_prob", F.col("upto"), F.col("n"), F.col("upto_total"), q))
-    array = F.array(*edges)
-    return ordered.groupBy(*by).agg((F.array_distinct(array) if adapt else array).alias("edges"))
+    counts = df.groupBy(*by, "y_prob").agg(F.count("*").alias("n"))
+    used = F.least(F.lit(bins).cast("bigint"), F.col("_rows")) if adapt else F.lit(bins).cast("bigint")
+    # Beyond the group's own number of bins the last edge repeats and is dropped below.
+    wanted = {f"e{i}": Quantile(F.least(F.lit(float(i)) / used, F.lit(1.0))) for i in range(bins + 1)}
+    array = F.array(*wanted)
+    edges = order_statistics(counts, by, "y_prob", wanted, {"n": F.col("n")})
+    return edges.select(*by, (F.array_distinct(array) if adapt else array).alias("edges"))
 
 
 def calibration(df: DataFrame, by: Sequence[str] = (), bins: int = 10, adapt: bool = True) -> DataFrame:
@@ -233,12 +237,24 @@ def _only_if(rows: DataFrame, usable: Column) -> DataFrame:
     return rows.withColumns({m: F.when(usable, F.col(m)) for m in (*METRICS, *COUNTS)})
 
 
+def first_columns(df: DataFrame, dims: Sequence[str] | Mapping[str, Sequence[str]]) -> dict[str, str]:
+    """For each dimension the first of its column names that ``df`` has; dimensions without any are left out."""
+    options = dims if isinstance(dims, Mapping) else {d: (d,) for d in dims}
+    return {d: next(c for c in names if c in df.columns) for d, names in options.items() if set(names) & set(df.columns)}
+
+
 def subgroup_metrics(
-    df: DataFrame, dims: Sequence[str], by: Sequence[str] = ("model_name", "seed"),
+    df: DataFrame, dims: Sequence[str] | Mapping[str, Sequence[str]] = SUBGROUPS, by: Sequence[str] = ("model_name", "seed"),
     min_samples: int = 10, min_class: int = 3,
 ) -> DataFrame:
-    """Metrics per subgroup level, a missing level as ``unknown``; small levels get a status only."""
-    long = by_level(df, by, dims, "subgroup_name", "subgroup_value", "unknown")
+    """Metrics per subgroup level, a missing level as ``unknown``; small levels get a status only.
+
+    ``dims``: column names, or for each subgroup its possible column names, of which the first present one is taken.
+    """
+    columns = first_columns(df, dims)
+    own = df.select(*by, "y_prob", "y_true", *[F.col(c).alias(f"_{d}") for d, c in columns.items()])
+    long = by_level(own, by, [f"_{d}" for d in columns], "subgroup_name", "subgroup_value", "unknown")
+    long = long.withColumn("subgroup_name", F.expr("substr(subgroup_name, 2)"))
     rows = level_metrics(long, [*by, "subgroup_name", "subgroup_value"])
     small = (F.col("n_samples") < min_samples) | (F.least("n_pos", "n_neg") < F.greatest(F.lit(1), F.lit(min_class)))
     rows = _only_if(rows.withColumn("status", F.when(small, "too_small").otherwise("ok")), F.col("status") == "ok")

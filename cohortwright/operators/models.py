@@ -12,7 +12,9 @@ import json
 import uuid
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -22,13 +24,15 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .distributed import exact_quantiles, lookup_join, materialize, scratch_root
+from .distributed import lookup_join, materialize, scratch_root
 from .folds import inner_folds
 from .metrics import auroc
-from .prepare import apply_prep, fit_prep, fold_ids, select_features
+from .prepare import fit_prep, fold_ids, select_features, training_medians
+from .selection import exact_quantiles
 
 # The candidate grids of each model family.
 GRIDS: dict[str, dict[str, list]] = {
@@ -88,12 +92,17 @@ def model(name: str, params: Mapping, n: float, n_features: int, seed: int = 42,
     raise ValueError(f"Unknown model '{name}'")
 
 
-def assemble(long: DataFrame, genes: Sequence[str], keep: Sequence[str] = ("sample_id",)) -> DataFrame:
-    """Feature vectors of the selected genes, in their given order; a sample has at most one row per gene."""
+def assemble_raw(long: DataFrame, genes: Sequence[str], keep: Sequence[str] = ("sample_id",), name: str = "values") -> DataFrame:
+    """Values of the selected genes as one array per sample, in their given order, missing ones null."""
     slots = long.sparkSession.createDataFrame([(g, i) for i, g in enumerate(genes)], "gene string, _slot int")
     # The list of selected genes sits on the driver and is capped by the selection, so it may be broadcast.
     rows = long.join(F.broadcast(slots), "gene").groupBy(*keep).agg(F.sort_array(F.collect_list(F.struct("_slot", "value"))).alias("_cells"))
-    return rows.withColumn("features", array_to_vector(F.transform("_cells", lambda c: c["value"]))).drop("_cells")
+    return rows.withColumn(name, F.transform("_cells", lambda c: c["value"])).drop("_cells")
+
+
+def assemble(long: DataFrame, genes: Sequence[str], keep: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """Feature vectors of the selected genes, in their given order; a sample has at most one row per gene."""
+    return assemble_raw(long, genes, keep, "_values").withColumn("features", array_to_vector("_values")).drop("_values")
 
 
 def balance_weights(df: DataFrame, label: str = "label") -> DataFrame:
@@ -133,43 +142,72 @@ def choose(scored: DataFrame, grid: Sequence[dict]) -> tuple[int, DataFrame]:
     return best - 1, log
 
 
+def _param_map(base: Estimator, wanted: Estimator) -> dict:
+    """What ``wanted`` sets, as parameters of ``base``."""
+    return {base.getParam(p.name): v for p, v in wanted.extractParamMap().items() if wanted.isSet(p)}
+
+
 def grid_search(
     inner_sets: Mapping[int, tuple[DataFrame, DataFrame]], train: DataFrame, name: str,
     grid: Mapping[str, Sequence] | Sequence[dict] | None = None, seed: int = 42, label: str = "label",
 ) -> tuple[Model, dict, DataFrame]:
     """Search over inner folds, then refit on ``train``; returns model, parameters and search log.
 
-    ``inner_sets`` gives the prepared (train, validation) rows of each inner fold. All tables hold
-    ``features`` and the label, the training ones also ``weight``.
+    ``inner_sets`` gives the prepared (train, validation) rows of each inner fold, views of one shared table
+    (see ``inner_sets`` and ``strict_sets``). All tables hold ``features`` and the label, the training ones
+    also ``weight``. The candidates of a fold are fitted by ``fitMultiple``, a few at a time, and all of them score
+    the fold's validation rows in one pass.
     """
     spark = train.sparkSession
     grid = as_candidates(name, grid)
     width = len(train.first()["features"])
-    sets = {f: (fit.persist(), valid) for f, (fit, valid) in inner_sets.items()}
-    sizes = {f: fit.count() for f, (fit, _) in sets.items()}
     path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+    for fold, (fit, valid) in inner_sets.items():
+        size = fit.count()
+        base = model(name, {k: v for k, v in grid[0].items() if k != "class_weight"}, size, width, seed, label)
+        maps = [_param_map(base, model(name, params, size, width, seed, label)) for params in grid]
+        fits = base.fitMultiple(fit, maps)
+        with ThreadPoolExecutor(DRIVER_THREADS) as pool:
+            fitted = dict(pool.map(lambda _: next(fits), grid))
+        scored, columns = valid.select(F.col(label).cast("int").alias("y_true"), "features"), []
+        for i in range(len(grid)):
+            one = fitted[i]
+            one.setProbabilityCol(f"p{i}").setRawPredictionCol(f"r{i}").setPredictionCol(f"y{i}")
+            scored = one.transform(scored).drop(f"r{i}", f"y{i}")
+            columns.append(F.struct(F.lit(i + 1).alias("candidate_index"), vector_to_array(f"p{i}")[1].alias("y_prob")))
+        rows = scored.select("y_true", F.explode(F.array(*columns)).alias("c")).select("y_true", "c.*")
+        # A folder per fold: concurrent searches must not commit into the same one.
+        rows.withColumn("inner_fold", F.lit(fold)).write.parquet(f"{path}/fold_{fold}")
+    best, log = choose(spark.read.parquet(f"{path}/fold_*"), grid)
+    return model(name, grid[best], train.count(), width, seed, label).fit(train), grid[best], log
 
-    def one(job: tuple[int, int]) -> None:
-        index, fold = job
-        fit, valid = sets[fold]
-        fitted = model(name, grid[index], sizes[fold], width, seed, label).fit(fit)
-        tags = {"candidate_index": F.lit(index + 1), "inner_fold": F.lit(fold)}
-        # A folder per fit: concurrent jobs must not commit into the same one.
-        scores_of(fitted, valid, [], label).withColumns(tags).write.parquet(f"{path}/fit_{index}_{fold}")
 
-    with ThreadPoolExecutor(DRIVER_THREADS) as pool:
-        list(pool.map(one, [(i, f) for i in range(len(grid)) for f in sets]))
-    for fit, _ in sets.values():
-        fit.unpersist()
-    best, log = choose(spark.read.parquet(f"{path}/fit_*"), grid)
-    return model(name, grid[best], train.count(), width, seed, label).fit(train), grid[best], log
+def inner_weights(df: DataFrame, inner: str = "inner_fold", label: str = "label") -> dict[int, Column]:
+    """For every inner fold, the balanced weights of the other folds' rows, from one count by fold and label."""
+    counts = [tuple(r) for r in df.groupBy(inner, label).count().collect()]
+    out = {}
+    for fold in sorted({f for f, _, _ in counts if f is not None}):
+        sizes: dict[float, int] = {}
+        for f, value, n in counts:
+            if f is not None and f != fold:
+                sizes[value] = sizes.get(value, 0) + n
+        n = sum(sizes.values())
+        out[fold] = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, n / (len(sizes) * v))])[F.col(label)]
+    return out
 
 
-def inner_sets(df: DataFrame, inner: str = "inner_fold") -> dict[int, tuple[DataFrame, DataFrame]]:
-    """(train, validation) rows of each inner fold of rows prepared once."""
-    return {
-        f: (balance_weights(df.filter(F.col(inner) != f)), df.filter(F.col(inner) == f)) for f in fold_ids(df, inner)
-    }
+def inner_sets(
+    df: DataFrame, inner: str = "inner_fold", features: Mapping[int, Column] | None = None, label: str = "label"
+) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """(train, validation) rows of each inner fold, all views of ``df``, which the caller stores or caches once.
+
+    ``features``: for each held-out inner fold how its vectors come from a row; as they are by default.
+    """
+    out = {}
+    for fold, weight in inner_weights(df, inner, label).items():
+        rows = df if features is None else df.withColumn("features", features[fold])
+        out[fold] = (rows.filter(F.col(inner) != fold).withColumn("weight", weight), rows.filter(F.col(inner) == fold))
+    return out
 
 
 def feature_weights(fitted: Model, genes: Sequence[str], spark) -> DataFrame:
@@ -255,21 +293,25 @@ def oof_predict(
     def one_fold(fold: int) -> bool:
         mine = chosen.filter(F.col("outer_fold") == fold)
         genes = [r["gene"] for r in mine.orderBy("rank").select("gene").collect()]
-        fold_stats = stats.filter(F.col("outer_fold") == fold).drop("outer_fold").join(
-            mine.select("gene"), "gene", "left_semi"
-        )
-        vectors = assemble(apply_prep(rows, fold_stats, ["gene"]), genes, keys)
-        vectors = materialize(vectors.withColumn("label", F.col("disease_label").cast("double")))
+        # At most ``most`` selected genes, whose statistics are literals; every fit reads the same stored vectors.
+        fitted_on = {
+            r["gene"]: r for r in stats.filter(F.col("outer_fold") == fold).join(mine.select("gene"), "gene", "left_semi").collect()
+        }
+        prep = Prep(*[np.array([_number(fitted_on[g][c]) for g in genes]) for c in ("median", "mean_imputed", "std_imputed")])
+        values = materialize(assemble_raw(rows, genes, keys).withColumn("label", F.col("disease_label").cast("double")))
+        vectors = values.withColumn("features", prep.features("values"))
         train, test = vectors.filter(F.col("outer_fold") != fold), vectors.filter(F.col("outer_fold") == fold)
         weighted = balance_weights(train)
         linear = False
         for seed in seeds:
             others = cohort.filter(F.col("outer_fold") != fold)
             inner = materialize(inner_folds(others, [fold], inner_k, seed).select("patient_id", "inner_fold"))
+            shared = vectors.filter(F.col("outer_fold") != fold).join(inner, "patient_id").persist()
+            features = None
             if inner_strict:
-                sets = strict_sets(rows.filter(F.col("outer_fold") != fold), inner, genes, keys)
-            else:
-                sets = inner_sets(train.join(inner, "patient_id"))
+                others_rows = rows.filter(F.col("outer_fold") != fold).join(inner, "patient_id")
+                features = {f: p.features("values") for f, p in inner_preps(shared, others_rows, genes).items()}
+            sets = inner_sets(shared, features=features)
             for name, grid in models.items():
                 fitted, params, log = grid_search(sets, weighted, name, grid, seed)
                 tags = {"seed": F.lit(seed), "model_name": F.lit(name)}
@@ -287,6 +329,7 @@ def oof_predict(
                     keep(history(fitted, spark).withColumns(tags), "history", fold, seed, name)
                 if save_to:
                     save_model(fitted, f"{save_to}/{name}_seed_{seed}_outer_fold_{fold}")
+            shared.unpersist()
         return linear
 
     # Folds are independent: running a few at once keeps the cluster busy between small fitting jobs.
@@ -299,20 +342,73 @@ def oof_predict(
     return tables
 
 
-def strict_sets(
-    rows: DataFrame, inner: DataFrame, genes: Sequence[str], keys: Sequence[str]
-) -> dict[int, tuple[DataFrame, DataFrame]]:
-    """(train, validation) rows of each inner fold, imputed and scaled without that fold's rows."""
-    wanted = rows.sparkSession.createDataFrame([(g,) for g in genes], "gene string")
-    placed = rows.join(wanted, "gene", "left_semi").join(inner, "patient_id")
-    placed = materialize(placed)
-    held = fold_ids(placed, "inner_fold")
-    stats = fit_prep(placed, held, "inner_fold").withColumnRenamed("outer_fold", "held_inner")
-    copies = placed.withColumn("held_inner", F.explode(F.array(*[F.lit(f) for f in held])))
-    vectors = assemble(apply_prep(copies, stats, ["gene", "held_inner"]), genes, [*keys, "inner_fold", "held_inner"])
-    vectors = materialize(vectors.withColumn("label", F.col("disease_label").cast("double")))
+def _number(value: float | None) -> float:
+    return np.nan if value is None else float(value)
+
+
+def _literal(values: np.ndarray) -> Column:
+    """A literal array of doubles; NaN stays NaN."""
+    return F.split(F.lit(",".join(repr(float(v)).replace("nan", "NaN") for v in values)), ",").cast("array<double>")
+
+
+@dataclass(frozen=True)
+class Prep:
+    """Fill, shift and width of each selected gene."""
+
+    median: np.ndarray
+    mean: np.ndarray
+    std: np.ndarray
+
+    def features(self, values: str) -> Column:
+        """The vector of an array of values: missing ones filled, then standardized (a constant gene is only shifted)."""
+        width = np.where((self.std > 0), self.std, 1.0)
+        fill, shift, scale = (_literal(x) for x in (self.median, self.mean, width))
+        return array_to_vector(F.transform(values, lambda x, i: (F.coalesce(x, F.get(fill, i)) - F.get(shift, i)) / F.get(scale, i)))
+
+
+def inner_preps(shared: DataFrame, long: DataFrame, genes: Sequence[str]) -> dict[int, Prep]:
+    """Preparation for every held-out inner fold, from the rows of the other inner folds.
+
+    Counts, sums and squares of each fold come from one vector aggregate over the stored arrays; a training part is the total
+    minus its fold, so no row is copied per fold. Values are first shifted by the overall mean, which keeps the
+    squares exact enough. Medians are needed only for genes with missing values, and selected from ``long`` for those.
+    """
+    observed = lambda f: F.transform("values", f)
+    whole = shared.select(_vector_sums(observed(lambda x: F.coalesce(x, F.lit(0.0)))).alias("s"), _vector_sums(observed(_is_there)).alias("n")).first()
+    n_all = whole["n"]["sum"].toArray()
+    center = np.divide(whole["s"]["sum"].toArray(), n_all, out=np.zeros(len(genes)), where=n_all > 0)
+    middle = _literal(center)
+    off = F.transform("values", lambda x, i: F.coalesce(x - F.get(middle, i), F.lit(0.0)))
+    rows = shared.groupBy("inner_fold").agg(
+        F.count("*").alias("rows"), _vector_sums(off).alias("d"), _vector_sums(F.transform(off, lambda x: x * x)).alias("q"), _vector_sums(observed(_is_there)).alias("n")
+    ).collect()  # one row per inner fold, of as many numbers as genes are selected
+    parts = {r["inner_fold"]: (r["rows"], *[r[c]["sum"].toArray() for c in ("n", "d", "q")]) for r in rows}
+    held = sorted(parts)
+    total = [sum(parts[f][i] for f in held) for i in range(4)]
+    medians = {f: np.full(len(genes), np.nan) for f in held}
+    lacking = [g for g, n in zip(genes, total[1]) if n < total[0]]
+    if lacking:
+        slot = {g: i for i, g in enumerate(genes)}
+        wanted = long.sparkSession.createDataFrame([(g,) for g in lacking], "gene string")
+        found = training_medians(long.join(F.broadcast(wanted), "gene", "left_semi"), held, "inner_fold")
+        for r in found.collect():  # at most as many as genes are selected, for each inner fold
+            medians[r["outer_fold"]][slot[r["gene"]]] = _number(r["median"])
     out = {}
     for f in held:
-        part = vectors.filter(F.col("held_inner") == f)
-        out[f] = (balance_weights(part.filter(F.col("inner_fold") != f)), part.filter(F.col("inner_fold") == f))
+        n_rows, n, d, q = (t - p for t, p in zip(total, parts[f]))
+        missing = n_rows - n
+        fill = np.where(missing > 0, np.nan_to_num(medians[f] - center), 0.0)
+        mean = (d + missing * fill) / n_rows
+        spread = np.maximum((q + missing * fill**2) / n_rows - mean**2, 0.0)
+        # A constant gene has no spread but for rounding.
+        std = np.where(spread > 1e-13 * np.maximum(center**2, np.maximum(q / np.maximum(n, 1), 1e-300)), np.sqrt(spread), 0.0)
+        out[f] = Prep(np.where(np.isnan(medians[f]), center, medians[f]), mean + center, std)
     return out
+
+
+def _is_there(x: Column) -> Column:
+    return F.when(x.isNull(), 0.0).otherwise(1.0)
+
+
+def _vector_sums(values: Column) -> Column:
+    return Summarizer.metrics("sum").summary(array_to_vector(values))

@@ -15,16 +15,13 @@ from pyspark.sql import functions as F
 from cohortwright.functions.hashing import stable_hash
 
 from .distributed import (
-    exact_quantiles,
-    interpolated,
     lookup_join,
     materialize,
     number_by_hash,
     number_rows,
-    running_totals,
     value_counts,
 )
-from .joins import join_1to1
+from .selection import Quantile, exact_quantiles, order_statistics
 
 # Share of extreme genes that marks an outlier, and the log-scale range test.
 OUTLIER_SHARE = 0.01
@@ -242,23 +239,9 @@ def training_stats(
 
 
 def training_medians(long: DataFrame, folds: Sequence[int], fold: str = "outer_fold") -> DataFrame:
-    """Exact training median per gene and held-out fold, for all folds in one ordered pass."""
-    own = {f"n_{f}": F.when(F.col(fold) == f, 1).otherwise(0) for f in folds}
-    counts = value_counts(long, ["gene"], "value", own)
-    sums = {"upto": F.col("n")} | {f"upto_{f}": F.col(f"n_{f}") for f in folds}
-    ordered = running_totals(counts, ["gene"], ["value"], sums, totals=True)
-    medians = ordered.groupBy("gene").agg(
-        *[
-            interpolated(
-                "value",
-                F.col("upto") - F.col(f"upto_{f}"),
-                F.col("n") - F.col(f"n_{f}"),
-                F.col("upto_total") - F.col(f"upto_{f}_total"),
-                0.5,
-            ).alias(str(f))
-            for f in folds
-        ]
-    )
+    """Exact training median per gene and held-out fold: ranks among all rows minus the fold's own."""
+    counts = {"n": F.lit(1)} | {f"n_{f}": F.when(F.col(fold) == f, 1).otherwise(0) for f in folds}
+    medians = order_statistics(long, ["gene"], "value", {str(f): Quantile(0.5, "n", minus=f"n_{f}") for f in folds}, counts)
     return medians.unpivot(["gene"], [f"`{f}`" for f in folds], "_fold", "median").select(
         "gene", F.col("_fold").cast("int").alias("outer_fold"), "median"
     )

@@ -6,10 +6,13 @@ number of entities and samples is not bounded.
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,17 +20,16 @@ from cohortwright.functions.arithmetic import ratio, sigmoid
 from cohortwright.functions.hashing import stable_hash
 
 from .distributed import (
-    exact_quantiles,
-    interpolated,
     lookup_join,
     materialize,
     number_rows,
-    running_totals,
-    value_counts,
+    tie_ranks,
 )
 from .metadata import note
+from .selection import Quantile, exact_quantiles, order_statistics
 
 RUN = ("seed", "outer_fold")
+MOST_RUNS = 1_000
 COMPONENTS = ("attribution_score", "gate_score", "stability_score", "invariance_score", "perturbation_score")
 # Default weights of the composite score and of the two parts of a run score.
 WEIGHTS = {
@@ -116,7 +118,7 @@ def attribution_by_gene(per_run: DataFrame) -> tuple[DataFrame, DataFrame]:
 def run_scores(attribution_run: DataFrame, gate_run: DataFrame) -> DataFrame:
     """Score of every gene in every run, with its average-tie rank there (1 is best).
 
-    Genes with equal scores are combined before ranking, so a run where most genes score 0 is cheap.
+    Equal scores spread over ranges (``tie_ranks``), so a run where most genes score 0 has no hot key.
     """
     attr = attribution_run.groupBy(*RUN, "gene").agg(F.avg("mean_abs_attribution").alias("mean_abs_attribution"))
     merged = gate_run.join(attr, [*RUN, "gene"], "full").fillna(0.0, ["mean_abs_attribution", "abs_gate_weight"])
@@ -124,13 +126,7 @@ def run_scores(attribution_run: DataFrame, gate_run: DataFrame) -> DataFrame:
         "run_predictive_score",
         RUN_ATTRIBUTION * F.col("mean_abs_attribution") + RUN_GATE * F.col("abs_gate_weight"),
     )
-    scored = materialize(scored)
-    ties = scored.groupBy(*RUN, "run_predictive_score").agg(F.count("*").alias("n"))
-    ranked = running_totals(ties, RUN, [F.col("run_predictive_score").desc()], {"upto": F.col("n")})
-    ranks = ranked.select(
-        *RUN, "run_predictive_score", (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0).alias("rank_within_run")
-    )
-    return scored.join(ranks, [*RUN, "run_predictive_score"])
+    return tie_ranks(scored, RUN, "run_predictive_score", ["gene"], "rank_within_run")
 
 
 def topk_frequency(scores: DataFrame, k: int) -> DataFrame:
@@ -231,20 +227,13 @@ def class_reference(
     """Reference value of each class per gene: quantile ``q`` for class 0 and ``1 - q`` for class 1.
 
     ``median`` uses the class medians. A class without values takes the overall median. All three
-    order statistics come from one ordered pass over the distinct values.
+    order statistics are selected in the same passes.
     """
     own = {f"n_{c}": F.when(F.col(label) == c, 1).otherwise(0) for c in (0, 1)}
-    counts = value_counts(long, by, "value", own)
-    sums = {"upto": F.col("n"), "upto_0": F.col("n_0"), "upto_1": F.col("n_1")}
-    ordered = running_totals(counts, by, ["value"], sums, totals=True)
-    probs = {"0": 0.5 if reference == "median" else q, "1": 0.5 if reference == "median" else 1.0 - q}
-    refs = ordered.groupBy(*by).agg(
-        interpolated("value", F.col("upto"), F.col("n"), F.col("upto_total"), 0.5).alias("_all"),
-        *[
-            interpolated("value", F.col(f"upto_{c}"), F.col(f"n_{c}"), F.col(f"upto_{c}_total"), p).alias(f"_c{c}")
-            for c, p in probs.items()
-        ],
-    )
+    own = {"n": F.lit(1)} | own
+    median = reference == "median"
+    wanted = {"_all": Quantile(0.5), "_c0": Quantile(0.5 if median else q, "n_0"), "_c1": Quantile(0.5 if median else 1.0 - q, "n_1")}
+    refs = order_statistics(long, by, "value", wanted, own)
     return refs.select(
         *by, F.coalesce("_c0", "_all").alias("reference_0"), F.coalesce("_c1", "_all").alias("reference_1")
     )
@@ -256,9 +245,9 @@ def perturb(
 ) -> DataFrame:
     """Counterfactual swap for linear scorers: class 1 takes the class-0 reference and the reverse.
 
-    ``long`` is ``(sample_id, outer_fold, <label>, gene, value)``; ``refs`` holds the pre-selected
-    genes per fold (a few hundred at most, see ``preselect``). A sample's logit and the terms of its
-    candidate genes come from one grouping, so the sample's genes are shuffled once.
+    ``long`` is ``(sample_id, outer_fold, <label>, gene, value)``; ``refs`` holds the candidate genes per fold, all
+    genes or those of ``preselect``. A sample's logit and the terms of its candidates come from one grouping, so the
+    sample's genes are shuffled once; the terms are one array per sample and run, at most as long as the matrix has genes.
     """
     # Missing references mark genes that are scored but not perturbed.
     table = weights.select(*RUN, "gene", "weight").join(refs, ["outer_fold", "gene"], "left")
@@ -286,39 +275,55 @@ def _with_probabilities(rows: DataFrame) -> DataFrame:
     return rows.withColumn("delta_prob", F.col("perturbed_prob") - F.col("original_prob")).drop("_z")
 
 
+def features_used(model: Model) -> set[int] | None:
+    """Slots whose value can change a model's score: those that trees split on or coefficients weigh; None if all may."""
+    if hasattr(model, "toDebugString"):
+        return {int(i) for i in re.findall(r"\bfeature (\d+)\b", model.toDebugString)}
+    if hasattr(model, "coefficientMatrix"):
+        return {int(i) for i in abs(model.coefficientMatrix.toArray()).sum(axis=0).nonzero()[0]}
+    return None
+
+
 def perturb_with_model(
-    vectors: DataFrame, model: Model, genes: Sequence[str], candidates: DataFrame, label: str = "disease_label"
+    vectors: DataFrame, model: Model, genes: Sequence[str], candidates: DataFrame, label: str = "disease_label", block: int = 16
 ) -> DataFrame:
     """The same swap for any classifier: one array slot is replaced and the model scores the row again.
 
     ``vectors`` is ``(sample_id, <label>, features)`` with ``genes`` naming the slots; ``candidates``
-    is ``(gene, reference_0, reference_1)``, bounded by the pre-selection.
+    is ``(gene, reference_0, reference_1)`` with one row per gene at most. A candidate that the model doesn't use
+    (``features_used``) changes nothing: its rows have the original score and delta 0, and no model runs for it.
+    The others are rescored in blocks of ``block``: one pass over the vectors scores a block's candidates side
+    by side, so rows and arrays aren't copied per candidate; only results become one row per candidate.
     """
     slot = {g: i for i, g in enumerate(genes)}
-    picks = candidates.filter(F.col("gene").isin(*genes)).select("gene", "reference_0", "reference_1").collect()
-    if not picks:
-        raise ValueError("No candidate gene is a feature of the model")
-    options = F.array(
-        *[
-            F.struct(
-                F.lit(r[0]).alias("gene"), F.lit(slot[r[0]]).alias("slot"), F.lit(r[1]).alias("r0"),
-                F.lit(r[2]).alias("r1"),
-            )
-            for r in picks
-        ]
+    # The model's genes are on the driver already, and no candidate is listed twice.
+    picks = candidates.filter(F.col("gene").isin(*genes)).select("gene", "reference_0", "reference_1").limit(len(genes) + 1).collect()
+    if not picks or len({r["gene"] for r in picks}) < len(picks):
+        raise ValueError("Candidates must be features of the model, one row each")
+    used = features_used(model)
+    still = [r["gene"] for r in picks if used is not None and slot[r["gene"]] not in used]
+    moving = sorted((r for r in picks if r["gene"] not in set(still)), key=lambda r: slot[r["gene"]])
+    plain = model.transform(vectors).select(
+        "sample_id", label, vector_to_array("features").alias("_x"), vector_to_array("probability")[1].alias("original_prob")
     )
-    base = model.transform(vectors).select(
-        "sample_id", label, vector_to_array("features").alias("_x"),
-        vector_to_array("probability")[1].alias("original_prob"),
-    )
-    swapped = base.withColumn("_o", F.explode(options))
-    ref = F.when(F.col(label) == 1, F.col("_o.r0")).otherwise(F.col("_o.r1"))
-    moved = F.transform("_x", lambda v, i: F.when(i == F.col("_o.slot"), ref).otherwise(v))
-    again = model.transform(swapped.withColumn("features", array_to_vector(moved)))
-    return again.select(
-        "sample_id", label, F.col("_o.gene").alias("gene"), "original_prob",
-        vector_to_array("probability")[1].alias("perturbed_prob"),
-    ).withColumn("delta_prob", F.col("perturbed_prob") - F.col("original_prob"))
+
+    def rescored(rows: DataFrame, part: Sequence) -> DataFrame:
+        results = []
+        for i, r in enumerate(part):
+            reference = F.when(F.col(label) == 1, F.lit(r["reference_0"])).otherwise(F.lit(r["reference_1"]))
+            swapped = F.transform("_x", lambda v, j, at=slot[r["gene"]], ref=reference: F.when(j == at, ref).otherwise(v))
+            one = model.copy().setFeaturesCol(f"_f{i}").setProbabilityCol(f"_p{i}").setRawPredictionCol(f"_r{i}").setPredictionCol(f"_y{i}")
+            rows = one.transform(rows.withColumn(f"_f{i}", array_to_vector(swapped))).drop(f"_f{i}", f"_r{i}", f"_y{i}")
+            results.append(F.struct(F.lit(r["gene"]).alias("gene"), vector_to_array(f"_p{i}")[1].alias("perturbed_prob")))
+        return rows.select("sample_id", label, "original_prob", F.explode(F.array(*results)).alias("_o")).select(
+            "sample_id", label, "_o.gene", "original_prob", "_o.perturbed_prob"
+        )
+
+    parts = [rescored(plain, moving[i : i + block]) for i in range(0, len(moving), block)]
+    if still:
+        unmoved = plain.select("sample_id", label, F.explode(F.array(*[F.lit(g) for g in still])).alias("gene"), "original_prob")
+        parts.append(unmoved.withColumn("perturbed_prob", F.col("original_prob")))
+    return functools.reduce(DataFrame.union, parts).withColumn("delta_prob", F.col("perturbed_prob") - F.col("original_prob"))
 
 
 def perturb_by_run(pert: DataFrame, label: str = "disease_label") -> DataFrame:
@@ -380,75 +385,117 @@ def rank_entities(df: DataFrame, score: str = "composite_score", name: str = "fi
     return ranked.withColumn("notes", note() if "directional_consistency" in df.columns else note(F.lit(0.0)))
 
 
+def _numbered_runs(runs: DataFrame) -> DataFrame:
+    """Stored (seed, outer_fold, _i): the runs in order, numbered from 0. Runs are fitted models; a large number is an error."""
+    numbered = materialize(number_rows(runs.select(*RUN).distinct(), [], list(RUN), "_i").withColumn("_i", F.col("_i") - 1))
+    if numbered.count() > MOST_RUNS:
+        raise ValueError(f"More than {MOST_RUNS} runs to draw from")
+    return numbered
+
+
+def _draw_counts(numbered: DataFrame, n: int, seed: int) -> DataFrame:
+    """(iteration, _i, draws): how often an iteration draws a run."""
+    size = numbered.count()
+    slots = numbered.sparkSession.range(n * size).select(
+        F.floor(F.col("id") / F.lit(max(size, 1))).alias("iteration"), (F.col("id") % F.lit(max(size, 1))).alias("draw")
+    )
+    picked = slots.withColumn("_i", stable_hash(seed, "iteration", "draw") % F.lit(max(size, 1)))
+    return picked.groupBy("iteration", "_i").agg(F.count("*").alias("draws"))
+
+
 def draw_table(runs: DataFrame, n: int, seed: int) -> DataFrame:
     """Bootstrap draws of runs: ``(iteration, seed, outer_fold, draws)``.
 
     Each of ``n`` iterations draws as many runs as exist, with replacement, by hash; runs drawn
     several times are counted, so the table has at most ``n`` rows per run.
     """
-    numbered = materialize(number_rows(runs.select(*RUN).distinct(), [], list(RUN), "_i").withColumn("_i", F.col("_i") - 1))
+    numbered = _numbered_runs(runs)
+    return _draw_counts(numbered, n, seed).join(numbered, "_i").select("iteration", *RUN, "draws")
+
+
+def _resampled(scores: DataFrame, n: int, seed: int) -> DataFrame:
+    """(gene, _resampled): the mean run score of a gene in every iteration, over the drawn runs that score it.
+
+    A gene's run scores are one short array, the draws one literal table of ``n`` x runs counts; each row works its
+    iterations out by itself, so nothing is copied per iteration and there is one shuffle, by gene.
+    """
+    numbered = _numbered_runs(scores)
     size = numbered.count()
-    slots = runs.sparkSession.range(n * size).select(
-        F.floor(F.col("id") / size).alias("iteration"), (F.col("id") % size).alias("draw")
-    )
-    picked = slots.withColumn("_i", stable_hash(seed, "iteration", "draw") % size)
-    counts = picked.groupBy("iteration", "_i").agg(F.count("*").alias("draws"))
-    return counts.join(numbered, "_i").select("iteration", *RUN, "draws")
+    table = [0] * (n * size)
+    for row in _draw_counts(numbered, n, seed).collect():  # at most n x MOST_RUNS counts
+        table[row["iteration"] * size + row["_i"]] = row["draws"]
+    draws = F.split(F.lit(" ".join(map(str, table))), " ").cast("array<int>")
+    own = lookup_join(scores.select(*RUN, "gene", "run_predictive_score"), numbered, list(RUN), "inner", stored=True)
+    own = own.groupBy("gene").agg(F.sort_array(F.collect_list(F.struct("_i", F.col("run_predictive_score").alias("s")))).alias("_own"))
+
+    def mean(iteration: Column) -> Column:
+        drawn = lambda x: F.get(draws, (iteration * size + x["_i"]).cast("int"))
+        total = F.aggregate("_own", F.lit(0.0), lambda a, x: a + drawn(x) * x["s"])
+        return F.try_divide(total, F.aggregate("_own", F.lit(0), lambda a, x: a + drawn(x)))
 
+    return own.select("gene", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), mean).alias("_resampled"))
 
-def bootstrap_scores(
+
+def bootstrap_arrays(
     df: DataFrame, scores: DataFrame, n: int = 100, seed: int = 42, weights: Mapping[str, float] = WEIGHTS,
     normalize: bool = False,
 ) -> DataFrame:
-    """Composite score of every gene under resampled runs.
+    """(gene, composites): the composite score of every gene in each of ``n`` iterations of resampled runs.
 
-    A gene's stability part becomes ``0.7 * own + 0.3 * mean resampled run score``. Scores are
-    combined per (iteration, gene) before the shuffle; with ``normalize`` the parts are min-max
-    scaled within each iteration.
+    A gene's stability part becomes ``0.7 * own + 0.3 * mean resampled run score``. With ``normalize``
+    the parts are min-max scaled anew within each iteration: the limits of all iterations come from one vector
+    aggregate, those of parts that iterations leave alone from one row.
     """
-    draws = draw_table(scores, n, seed)
-    sampled = lookup_join(scores.select(*RUN, "gene", "run_predictive_score"), draws, list(RUN), "inner")
-    means = sampled.groupBy("iteration", "gene").agg(
-        (F.sum(F.col("run_predictive_score") * F.col("draws")) / F.sum("draws")).alias("_resampled")
-    )
-    iterations = F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")
-    joined = df.select("gene", *COMPONENTS).withColumn("iteration", F.explode(iterations)).join(
-        means, ["iteration", "gene"], "left"
-    )
-    own = 0.7 * F.coalesce("stability_score", F.lit(0.0)) + 0.3 * F.coalesce("_resampled", F.lit(0.0))
-    joined = joined.withColumn("stability_score", own)
-    if normalize:
-        joined = _normalize_within(joined, "iteration")
-    return composite(joined, weights, "composite_bootstrap").select("gene", "iteration", "composite_bootstrap")
+    own = 0.7 * F.coalesce("stability_score", F.lit(0.0))
+    drawn = F.coalesce("_resampled", F.array_repeat(F.lit(None).cast("double"), n))
+    parts = df.select("gene", *COMPONENTS).join(_resampled(scores, n, seed), "gene", "left")
+    parts = parts.withColumn("_stability", F.transform(drawn, lambda s: own + 0.3 * F.coalesce(s, F.lit(0.0))))
+    fixed = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in COMPONENTS}
+    stability = F.col("_stability")
+    if normalize and not (parts := materialize(parts)).isEmpty():
+        limits = parts.select(Summarizer.metrics("min", "max").summary(array_to_vector("_stability")).alias("l")).first()["l"]
+        low, high = (F.array(*[F.lit(float(v)) for v in x]) for x in (limits["min"], limits["max"]))
+        ranges = _ranges(df, COMPONENTS)
+        scaled = lambda v, lo, hi: F.when(hi > lo, (v - lo) / F.nullif(hi - lo, F.lit(0.0))).otherwise(v)
+        fixed = {c: scaled(v, ranges.getField(f"{c}_min"), ranges.getField(f"{c}_max")) for c, v in fixed.items()}
+        stability = F.transform("_stability", lambda v, i: scaled(v, F.get(low, i), F.get(high, i)))
+
+    def total(s: Column) -> Column:
+        return sum((F.lit(w) * (s if c == "stability_score" else fixed[c]) for c, w in weights.items()), F.lit(0.0))
+
+    return parts.select("gene", F.transform(stability, total).alias("composites"))
+
+
+def bootstrap_rows(arrays: DataFrame) -> DataFrame:
+    """``bootstrap_arrays`` as rows ``(gene, iteration, composite_bootstrap)``."""
+    rows = arrays.select("gene", F.posexplode("composites").alias("iteration", "composite_bootstrap"))
+    return rows.withColumn("iteration", F.col("iteration").cast("bigint"))
 
 
 def bootstrap(df: DataFrame, scores: DataFrame, n: int = 100, seed: int = 42, **options) -> DataFrame:
-    """``bootstrap_scores`` with the rank of every gene within its iteration."""
-    rescored = bootstrap_scores(df, scores, n, seed, **options)
-    return number_rows(rescored, ["iteration"], [F.desc("composite_bootstrap"), "gene"], "rank_bootstrap")
+    """Composite score and rank of every gene in each iteration; rows by iteration are made last, for the ranks."""
+    return rank_iterations(bootstrap_arrays(df, scores, n, seed, **options))
 
 
-def _normalize_within(df: DataFrame, by: str) -> DataFrame:
-    filled = df.fillna(0.0, list(COMPONENTS))
-    stats = filled.groupBy(by).agg(
-        *[f(c).alias(f"_{c}_{n}") for c in COMPONENTS for f, n in ((F.min, "min"), (F.max, "max"))]
-    )
-    joined = lookup_join(filled, stats, by)
+def rank_iterations(arrays: DataFrame) -> DataFrame:
+    """``bootstrap_rows`` with the rank of every gene within its iteration."""
+    return number_rows(bootstrap_rows(arrays), ["iteration"], [F.desc("composite_bootstrap"), "gene"], "rank_bootstrap")
 
-    def scaled(c: str) -> Column:
-        width = F.col(f"_{c}_max") - F.col(f"_{c}_min")
-        return F.coalesce((F.col(c) - F.col(f"_{c}_min")) / F.nullif(width, F.lit(0.0)), F.col(c))
 
-    return joined.withColumns({c: scaled(c) for c in COMPONENTS})
+def bootstrap_ci(arrays: DataFrame) -> DataFrame:
+    """Mean and 95% interval per gene of ``bootstrap_arrays``, each worked out inside its row."""
+    n = F.size("_sorted")
 
+    def quantile(q: float) -> Column:
+        position = (n - 1) * F.lit(q)
+        low, high = (F.get("_sorted", f(position).cast("int")) for f in (F.floor, F.ceil))
+        return low + (high - low) * (position - F.floor(position))
 
-def bootstrap_ci(boot: DataFrame) -> DataFrame:
-    """Mean and 95% interval per gene; a group holds one row per iteration."""
-    v = "composite_bootstrap"
-    return boot.groupBy("gene").agg(
-        F.avg(v).alias("bootstrap_mean"),
-        F.percentile(v, 0.025).alias("bootstrap_ci_lower"),
-        F.percentile(v, 0.975).alias("bootstrap_ci_upper"),
+    return arrays.withColumn("_sorted", F.sort_array("composites")).select(
+        "gene",
+        (F.aggregate("composites", F.lit(0.0), lambda a, x: a + x) / n).alias("bootstrap_mean"),
+        quantile(0.025).alias("bootstrap_ci_lower"),
+        quantile(0.975).alias("bootstrap_ci_upper"),
     )
 
 

@@ -15,29 +15,40 @@ from cohortwright.sources.tables import project_canonical
 _TEXT, _DOUBLE, _FLAG, _INT = T.StringType(), T.DoubleType(), T.BooleanType(), T.IntegerType()
 
 # Columns of the cohort tables, in order.
-COHORT_SCHEMA = T.StructType(
-    [
-        T.StructField(name, kind)
-        for kind, names in (
-            (_TEXT, ("original_id", "sample_id", "patient_id", "sample_type_code", "sample_type_label")),
-            (_INT, ("disease_label",)),
-            (_TEXT, (
-                "disease_label_name", "histology_raw", "histology_clean", "sex_raw", "env_sex", "smoking_raw",
-                "env_smoking", "stage_raw", "env_stage", "country_raw", "env_country_or_region", "race_raw",
-            )),
-            (_DOUBLE, ("age_at_diagnosis", "pack_years_raw")),
-            (_TEXT, ("alcohol_history_raw", "survival_status_raw")),
-            (_DOUBLE, (
-                "days_to_death", "days_to_last_follow_up", "metadata_completeness_score",
-                "confounder_missing_fraction",
-            )),
-            (_FLAG, ("confounder_missing_excess", "sample_type_conflict", "representative_selected")),
-            (_TEXT, ("exclusion_reason",)),
-            (_INT, ("outer_fold",)),
-        )
-        for name in names
-    ]
-)
+COHORT_COLUMNS = [
+    ("original_id", _TEXT),
+    ("sample_id", _TEXT),
+    ("patient_id", _TEXT),
+    ("sample_type_code", _TEXT),
+    ("sample_type_label", _TEXT),
+    ("disease_label", _INT),
+    ("disease_label_name", _TEXT),
+    ("histology_raw", _TEXT),
+    ("histology_clean", _TEXT),
+    ("sex_raw", _TEXT),
+    ("env_sex", _TEXT),
+    ("smoking_raw", _TEXT),
+    ("env_smoking", _TEXT),
+    ("stage_raw", _TEXT),
+    ("env_stage", _TEXT),
+    ("country_raw", _TEXT),
+    ("env_country_or_region", _TEXT),
+    ("race_raw", _TEXT),
+    ("age_at_diagnosis", _DOUBLE),
+    ("pack_years_raw", _DOUBLE),
+    ("alcohol_history_raw", _TEXT),
+    ("survival_status_raw", _TEXT),
+    ("days_to_death", _DOUBLE),
+    ("days_to_last_follow_up", _DOUBLE),
+    ("metadata_completeness_score", _DOUBLE),
+    ("confounder_missing_fraction", _DOUBLE),
+    ("confounder_missing_excess", _FLAG),
+    ("sample_type_conflict", _FLAG),
+    ("representative_selected", _FLAG),
+    ("exclusion_reason", _TEXT),
+    ("outer_fold", _INT),
+]
+COHORT_SCHEMA = T.StructType([T.StructField(name, kind) for name, kind in COHORT_COLUMNS])
 
 
 def build_cohort(

@@ -63,7 +63,7 @@ def evaluate_baselines(
     matrix: DataFrame,
     grids: Mapping[str, Mapping | Sequence[dict] | None] | None = None,
     seeds: Sequence[int] = (42, 52, 62, 72, 82),
-    dims: Sequence[str] = ENVIRONMENTS,
+    dims: Sequence[str] | Mapping[str, Sequence[str]] = metrics.SUBGROUPS,
     bins: int = 10,
     save_to: str | None = None,
     **search,
@@ -74,8 +74,8 @@ def evaluate_baselines(
     out = models.oof_predict(long, aligned, grids, seeds, save_to=save_to, **search)
     scored = out["predictions"]
     per_fold = materialize(metrics.binary_metrics(scored, RUN).join(fold_facts(aligned, out["log"]), RUN))
-    have = [d for d in dims if d in aligned.columns]
-    placed = joins.enrich(scored, aligned.select("sample_id", *have), "sample_id")
+    have = metrics.first_columns(aligned, dims)
+    placed = joins.enrich(scored, aligned.select("sample_id", *dict.fromkeys(have.values())), "sample_id")
     summary = materialize(metrics.summarize_models(per_fold, scored))
     winners = materialize(metrics.pick_winners(summary))
     best = scored.filter(F.col("model_name") == winners.select("best_baseline").scalar())
@@ -92,7 +92,7 @@ def evaluate_baselines(
         "pr": metrics.pr_points(scored, ["model_name"]),
     }
     if have:
-        tables["subgroups"] = metrics.subgroup_metrics(placed, have)
+        tables["subgroups"] = metrics.subgroup_metrics(placed, {d: (c,) for d, c in have.items()})
     return tables
 
 

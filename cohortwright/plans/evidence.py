@@ -29,13 +29,13 @@ def rank_evidence(
     min_rows: int = 10,
     n_boot: int = 100,
     seed: int = 42,
-    normalize: bool = True,
+    normalize: bool = False,
 ) -> dict[str, DataFrame]:
     """Ranked genes from per-run weights, the cohort with folds, and the long matrix.
 
     ``gates`` is ``(seed, outer_fold, gene, gate_weight, abs_gate_weight, selected_flag[,
     intercept])``. With ``prep`` (training statistics per fold and gene) values are imputed and
-    scaled as the models saw them.
+    scaled as the models saw them. ``normalize`` min-max scales the score parts, and again within each bootstrap iteration.
     """
     samples = cohort.select("sample_id", "disease_label", "outer_fold")
     long = matrix.select("sample_id", "gene", "value").join(samples, "sample_id")
@@ -81,7 +81,7 @@ def rank_evidence(
     if not have:
         fused = fused.withColumn("invariance_score", F.lit(0.0))
     fused = materialize(r.normalize_scores(fused) if normalize else fused)
-    boot = materialize(r.bootstrap(fused, scores, n_boot, seed, weights=weights)) if n_boot else None
+    boot = materialize(r.bootstrap_arrays(fused, scores, n_boot, seed, weights, normalize)) if n_boot else None
     scored = r.composite(fused, weights)
     if boot is not None:
         scored = lookup_join(scored, r.bootstrap_ci(boot), "gene")
@@ -102,7 +102,7 @@ def rank_evidence(
     if have:
         tables |= {"environment_effects": effects, "invariance": invariant}
     if boot is not None:
-        tables["bootstrap"] = boot
+        tables["bootstrap"] = r.rank_iterations(boot)
     if sets is not None:
         tables["set_summary"] = r.set_summary(ranked, sets)
     return tables

@@ -65,7 +65,10 @@ def preprocess(
     drop = {"merge_strategy", "match_count", *keys.HARMONIZED.values(), *(f"{k}_metadata" for k in keys.HARMONIZED.values()), id_col}
     rows = merged.join(kept, "sample_id", "left_semi").drop(*(drop - {"sample_id"}))
     features = [c for c in rows.columns if c not in ("sample_id", target)]
-    encoded = metadata.one_hot(rows, features) if features else rows
+    levels = metadata.text_columns(rows, features)
+    slots = materialize(metadata.level_slots(rows, levels)) if levels else None
+    # One sparse column, whatever the number of levels; the dictionary is a table of its own.
+    encoded = metadata.sparse_one_hot(rows, slots, levels, "sample_id") if levels else rows
     split = materialize(prepare.stratified_split(encoded, target, test_fraction, seed))
     missing = profile.missing_total({"counts": counts_imputed, "metadata": cleaned, "normalized": processed, "merged": matrix})
     summary = profile.run_summary(
@@ -81,7 +84,7 @@ def preprocess(
             "merge_strategy": strategy["merge_strategy"],
             "merged_rows": F.count("*"),
             "gene_feature_count": in_cohort.select("gene").distinct().count(),
-            "encoded_metadata_feature_count": len(encoded.columns) - 2,
+            "encoded_metadata_feature_count": len(features) - len(levels) + (slots.count() if levels else 0),
             "outliers_removed": outliers.filter("is_outlier").count(),
             "train_rows": F.count_if(F.col("split") == "train"),
             "test_rows": F.count_if(F.col("split") == "test"),
@@ -93,6 +96,7 @@ def preprocess(
         "expression_processed": processed,
         "matrix": matrix,
         "samples": split,
+        **({"metadata_levels": slots} if levels else {}),
         "missing_summary": missing,
         "missing_by_column": by_column,
         "imputation_log": log,

@@ -77,11 +77,24 @@ def read_table(
     return raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def read_labelled(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    """CSV with positional column names and the header labels kept apart, so labels may repeat."""
+def read_labelled(spark: SparkSession, path: str, position: str | None = None) -> tuple[DataFrame, list[str]]:
+    """CSV with positional column names and the header labels kept apart, so labels may repeat.
+
+    ``position`` adds a last column that orders rows as they lie in the files.
+    """
     labels = next(csv.reader([spark.read.text(path).first()[0]]))
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(labels))])
-    return blank_missing(spark.read.csv(path, header=True, schema=schema)), [name.strip() for name in labels]
+    raw = spark.read.csv(path, header=True, schema=schema)
+    if position:
+        raw = raw.select("*", file_position().alias(position))
+    return blank_missing(raw), [name.strip() for name in labels]
+
+
+def file_position() -> Column:
+    """Orders rows of a file scan by file, block and place in the block."""
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nth")
+    )
 
 
 def read_optional(spark: SparkSession, path: str | None, schema: T.StructType, fmt: str | None = None) -> DataFrame:

@@ -1,7 +1,10 @@
+from collections import defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
-from cohortwright.operators import cohort, folds
+from cohortwright.functions.hashing import stable_hash
+from cohortwright.operators import cohort, distributed, folds
 
 
 @pytest.fixture(scope="module")
@@ -83,6 +86,22 @@ def test_capped_sample(groups):
     assert sorted(got.collect()) == sorted(cohort.capped_sample(groups.coalesce(1), "disease_label", 7, 1).collect())
 
 
+@pytest.mark.parametrize("most", [100_000, 40, 1])
+def test_first_by_hash_of_any_class_size(spark, most):
+    """Classes below, at and far above the cap, repeated keys, a missing class, and cut prefixes too crowded to order."""
+    rows = [(None if i % 50 == 0 else ["big", "big", "big", "mid"][i % 4], f"k{i}") for i in range(3000)] + [("tiny", "k"), ("tiny", "l")]
+    rows += [("same", "key")] * 30
+    df = spark.createDataFrame(rows, "c string, id string").repartition(5).withColumn("h", stable_hash(3, "id"))
+    df = df.withColumn("n", F.monotonically_increasing_id())
+    for k in (1, 2, 25, 700):
+        got = distributed.bottom_by_hash(df, ["c"], "h", ["id", "n"], k, most).collect()
+        want = defaultdict(list)
+        for r in df.collect():
+            want[r.c].append((r.h, r.id, r.n))
+        want = {(c, *x) for c, v in want.items() for x in sorted(v)[:k]}
+        assert len(got) == len(want) and {(r.c, r.h, r.id, r.n) for r in got} == want
+
+
 def test_representatives_of_shared_sample_ids(spark):
     """Aliquots share a sample id; still one row is chosen per patient and class, and the same one each time."""
     rows = [("p1", "tumor", "s1", "s1-01", 0.5), ("p1", "tumor", "s1", "s1-02", 0.5), ("p1", "tumor", "s2", "s2-01", 0.2), ("p1", "normal", "s3", "s3-01", 0.1), ("p2", "tumor", "s4", None, None), ("p2", "tumor", "s4", None, None)]

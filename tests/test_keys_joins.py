@@ -78,6 +78,29 @@ def test_codes(spark):
     assert got == {"a": 0, "z": -1, None: -1, "b": 1}
 
 
+def test_sparse_levels(spark):
+    """A hundred thousand levels: a table of slots and one sparse column, whatever the number of levels."""
+    df = spark.range(100_000).select("id", F.concat(F.lit("v"), F.col("id").cast("string")).alias("a"), F.when(F.col("id") % 3 > 0, F.col("id") % 5).cast("string").alias("b"), F.lit(1.5).alias("n"))
+    slots = metadata.level_slots(df, ["a", "b"]).cache()
+    assert slots.count() == 100_005 and {r.slot for r in slots.filter("column = 'b'").collect()} == set(range(100_000, 100_005))
+    out = metadata.sparse_one_hot(df, slots, ["a", "b"], "id")
+    assert out.columns == ["id", "n", "levels"]
+    assert out.filter(F.size("levels") != F.when(F.col("id") % 3 > 0, 2).otherwise(1)).count() == 0
+    names = {r.slot: r.level for r in slots.filter("slot >= 100000 OR level = 'v77'").collect()}
+    assert [names[s] for s in out.filter("id = 77").first()["levels"]] == ["v77", "2"]
+    unseen = spark.createDataFrame([(1, "new", None)], "id bigint, a string, b string")
+    assert metadata.sparse_one_hot(unseen, slots, ["a", "b"], "id").first()["levels"] == []
+
+
+def test_tier_facts(spark):
+    left = spark.createDataFrame([("a", "x"), ("a", "y"), (None, "z"), ("b", None)], "k1 string, k2 string")
+    right = spark.createDataFrame([("c", "x"), ("c", "z"), ("c", "z")], "k1 string, k2 string")
+    got = {r.tier: (r.matches, r.most_left, r.most_right) for r in joins.tier_facts(left, right, [("one", "k1"), ("two", "k2")]).collect()}
+    assert got == {0: (0, 2, 3), 1: (2, 1, 2)}
+    joined = joins.tiered_join(left, right, [("one", "k1"), ("two", "k2")], one_to_one=False)
+    assert joined.count() == 3 and joined.first()["match_count"] == 2
+
+
 def test_one_hot_passes_numbers_and_zeroes_missing(spark):
     df = spark.createDataFrame([(1, "x", 2.0), (2, None, None)], "id int, c string, n double")
     rows = {r["id"]: r for r in metadata.one_hot(df, ["c", "n"], {"c": ["x", "y"]}).collect()}

@@ -6,6 +6,7 @@ from cohortwright.plans import write_outputs
 from cohortwright.plans.cohort import COHORT_SCHEMA, build_cohort
 from cohortwright.plans.evaluate import evaluate_baselines, evaluate_sparse
 from cohortwright.plans.evidence import rank_evidence
+from cohortwright.plans.files import build_cohort_files, preprocess_files
 from cohortwright.plans.preprocess import preprocess
 
 
@@ -77,6 +78,43 @@ def test_preprocess(study, tmp_path):
     assert (tmp_path / "out" / "summary").exists()
 
 
+@pytest.fixture(scope="module")
+def raw(study, tmp_path_factory):
+    """The study as files: genes by sample, a repeated row, a repeated clinical column, an unnamed index column."""
+    where = tmp_path_factory.mktemp("raw")
+    long, metadata = study
+    wide = long.toPandas().pivot(index="gene", columns="sample_id", values="value")
+    again = wide.loc[["g0"]] + 100
+    wide = wide.reset_index()
+    text = wide.to_csv(index=False) + again.reset_index().to_csv(index=False, header=False)
+    (where / "matrix.csv").write_text(text)
+    table = metadata.toPandas()
+    table.insert(0, "Unnamed: 0", table.pop("barcode"))
+    lines = table.assign(gender=table.gender.where(table.index % 2 == 0), other=table.gender).to_csv(index=False).splitlines()
+    lines[0] = lines[0].replace("other", "gender")
+    (where / "clinical.csv").write_text("\n".join([*lines, lines[1].replace("40.0", "99.0")]) + "\n")
+    return str(where / "matrix.csv"), str(where / "clinical.csv")
+
+
+def test_cohort_from_raw_files(spark, raw, cohort):
+    matrix, clinical = raw
+    out = build_cohort_files(spark, matrix, matrix, clinical, k=3)
+    columns = ["sample_id", "patient_id", "disease_label", "env_sex", "env_stage", "age_at_diagnosis", "outer_fold"]
+    assert sorted(map(tuple, out["cohort"].select(columns).collect()), key=str) == sorted(map(tuple, cohort["cohort"].select(columns).collect()), key=str)
+    values = lambda t: {(r.sample_id, r.gene): r.value for r in t.collect()}
+    assert values(out["normalized"]) == pytest.approx(values(cohort["normalized"]))
+    assert [tuple(r) for r in out["merged_columns"].collect()] == [("gender", 1, 0)]
+
+
+def test_preprocess_from_raw_files(spark, raw, study):
+    matrix, clinical = raw
+    options = {"label": "gender", "top_percent": 50, "outlier_z": 6.0, "missing_threshold": 0.9}
+    got, want = preprocess_files(spark, matrix, matrix, clinical, **options), preprocess(study[0], study[0], study[1], **options)
+    facts = [{r["metric"]: r["value"] for r in t["summary"].collect()} for t in (got, want)]
+    assert facts[0] == facts[1]
+    assert got["metadata_levels"].count() == want["metadata_levels"].count() > 4
+
+
 def test_evaluation_and_ranking(spark, cohort):
     grid = {"LR_L1": [{"C": 1.0, "class_weight": None}]}
     search = {"inner_k": 2, "top": 8, "least": 2, "most": 8}

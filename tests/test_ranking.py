@@ -5,6 +5,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from cohortwright.operators import distributed as d
 from cohortwright.operators import models as m
 from cohortwright.operators import ranking as r
 
@@ -35,6 +36,28 @@ def test_rank_within_run_averages_ties(spark, runs):
     assert both["rank_within_run"].max() > 20
 
 
+@pytest.mark.parametrize("partitions", ["2", "9"])
+def test_ties_across_ranges(spark, partitions):
+    """One run of which nine tenths score zero, in more ranges than one; a null group and a tie at every range's end."""
+    rng = np.random.default_rng(7)
+    frame = pd.DataFrame({"run": ["hot"] * 2000 + ["b"] * 60 + [None] * 7, "gene": [f"g{i}" for i in range(2067)]})
+    frame["score"] = np.where(rng.random(2067) < 0.9, 0.0, rng.integers(0, 6, 2067) / 4)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = d.tie_ranks(spark.createDataFrame(frame.astype({"run": object})), ["run"], "score", ["gene"], "place")
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        got = out.toPandas()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert not [line for line in plan.splitlines() if "Join" in line and "score" in line]
+    frame["want"] = frame.groupby("run", dropna=False)["score"].rank(ascending=False)
+    both = got.merge(frame, on="gene")
+    assert len(both) == 2067 and (both["place"] == both["want"]).all()
+
+
 def test_stability_by_hand(spark):
     rows = [(1, f, g, float(rank), score) for f in (1, 2) for g, rank, score in (("a", 1 + f, 0.5 * f), ("b", 50, 0.2), ("z", 200, 0.0))]
     rows.append((1, 1, "once", 30.0, 0.4))
@@ -81,6 +104,7 @@ def test_linear_perturbation_equals_rescoring_with_the_model(spark, fitted):
     refs = r.class_reference(long, by=["outer_fold", "gene"])
     w = m.feature_weights(model, GENES, spark).select(F.lit(1).alias("seed"), F.lit(1).alias("outer_fold"), "gene", F.col("gate_weight").alias("weight"))
     icpt = spark.createDataFrame([(1, 1, float(model.intercept))], "seed int, outer_fold int, intercept double")
+    assert r.features_used(model) == {i for i, c in enumerate(model.coefficients.toArray()) if c}
     linear = r.perturb(long, w, refs.filter("gene <> 'g2'"), icpt).toPandas().set_index(["sample_id", "gene"])
     general = r.perturb_with_model(df, model, GENES, refs).toPandas().set_index(["sample_id", "gene"])
     assert len(linear) == 160 and len(general) == 240
@@ -91,6 +115,39 @@ def test_linear_perturbation_equals_rescoring_with_the_model(spark, fitted):
     assert summary["g0"]["mean_delta_prob_tumor"] < 0 < summary["g0"]["mean_delta_prob_normal"]
 
 
+@pytest.mark.parametrize("block", [3, 16])
+def test_rescoring_all_genes(spark, block):
+    """Sixty-four genes: equal to the closed form for a linear model; unused slots of trees don't move, used ones are rescored."""
+    rng = np.random.default_rng(11)
+    x, genes = rng.normal(size=(60, 64)), [f"g{i}" for i in range(64)]
+    y = (x[:, 3] + 0.5 * x[:, 9] > 0).astype(int)
+    rows = [(f"s{i}", 1, int(y[i]), [float(v) for v in x[i]]) for i in range(60)]
+    df = spark.createDataFrame(rows, "sample_id string, outer_fold int, disease_label int, x array<double>")
+    df = df.withColumn("features", array_to_vector("x")).withColumn("label", F.col("disease_label").cast("double")).cache()
+    long = df.select("sample_id", "outer_fold", "disease_label", F.posexplode("x").alias("i", "value")).withColumn("gene", F.concat(F.lit("g"), F.col("i").cast("string")))
+    refs = r.class_reference(long, by=["outer_fold", "gene"])
+    model = LogisticRegression(regParam=0.02, elasticNetParam=1.0, standardization=False).fit(df)
+    w = m.feature_weights(model, genes, spark).select(F.lit(1).alias("seed"), F.lit(1).alias("outer_fold"), "gene", F.col("gate_weight").alias("weight"))
+    icpt = spark.createDataFrame([(1, 1, float(model.intercept))], "seed int, outer_fold int, intercept double")
+    linear = r.perturb(long.drop("i"), w, refs, icpt).toPandas().set_index(["sample_id", "gene"]).sort_index()
+    general = r.perturb_with_model(df, model, genes, refs.drop("outer_fold"), block=block).toPandas().set_index(["sample_id", "gene"]).sort_index()
+    assert len(general) == 60 * 64 and np.allclose(general["delta_prob"], linear["delta_prob"], atol=1e-9)
+    trees = m.model("GBT", {"learning_rate": 0.1, "max_depth": 2, "n_estimators": 4, "subsample": 1.0}, 60, 64).fit(df)
+    used = r.features_used(trees)
+    moved = r.perturb_with_model(df, trees, genes, refs.drop("outer_fold"), block=block).toPandas()
+    assert {3} <= used < set(range(64)) and len(moved) == 60 * 64
+    assert (moved[~moved.gene.isin([f"g{i}" for i in used])].delta_prob == 0).all()
+    reference = refs.filter("gene = 'g3'").first()
+    swapped = x.copy()
+    swapped[:, 3] = np.where(y == 1, reference["reference_0"], reference["reference_1"])
+    again = spark.createDataFrame([(f"s{i}", [float(v) for v in swapped[i]]) for i in range(60)], "sample_id string, x array<double>").withColumn("features", array_to_vector("x"))
+    want = {q["sample_id"]: q["p"] for q in trees.transform(again).select("sample_id", vector_to_array("probability")[1].alias("p")).collect()}
+    got = moved[moved.gene == "g3"].set_index("sample_id").perturbed_prob
+    assert all(got[s] == pytest.approx(p) for s, p in want.items())
+    with pytest.raises(ValueError, match="one row each"):
+        r.perturb_with_model(df, trees, genes, refs.union(refs).drop("outer_fold"))
+
+
 def test_class_reference_falls_back_to_the_overall_median(spark):
     df = spark.createDataFrame([("g", 1, float(v)) for v in range(11)], "gene string, disease_label int, value double")
     assert tuple(r.class_reference(df).first()) == ("g", 5.0, 9.0)
@@ -137,10 +194,44 @@ def test_bootstrap(spark, runs):
     for it, part in draws.toPandas().groupby("iteration"):
         mean = sum(per_run[s, f] * n for s, f, n in part[["seed", "outer_fold", "draws"]].itertuples(index=False)) / 2
         assert top[it] == pytest.approx(0.5 * 0.8 + 0.2 * (0.35 + 0.3 * mean))
-    ci = r.bootstrap_ci(spark.createDataFrame(boot)).filter("gene = 'g00'").first()
-    assert ci["bootstrap_ci_lower"] == pytest.approx(np.quantile(top, 0.025))
-    scaled = r.bootstrap(parts, scores, 2, 1, normalize=True)
-    assert scaled.count() == 80
+    ci = r.bootstrap_ci(r.bootstrap_arrays(parts, scores, 6, 1)).filter("gene = 'g00'").first()
+    assert ci["bootstrap_mean"] == pytest.approx(top.mean())
+    for end, q in (("lower", 0.025), ("upper", 0.975)):
+        assert ci[f"bootstrap_ci_{end}"] == pytest.approx(np.quantile(top, q))
+
+
+def test_bootstrap_scales_each_iteration(spark, runs):
+    """Parts differ, one is constant, and one gene has no run: scaled within every iteration by hand."""
+    _, df = runs
+    attr = spark.createDataFrame([], "seed int, outer_fold int, gene string, mean_abs_attribution double")
+    scores = r.run_scores(attr, df).cache()
+    rng = np.random.default_rng(5)
+    frame = scores.select("gene").distinct().toPandas().sort_values("gene", ignore_index=True)
+    frame = pd.concat([frame, pd.DataFrame({"gene": ["unscored"]})], ignore_index=True)
+    for c in r.COMPONENTS:
+        frame[c] = rng.random(len(frame)) if c != "invariance_score" else 0.25
+    draws = r.draw_table(scores, 8, 3).toPandas()
+    got = r.bootstrap(spark.createDataFrame(frame), scores, 8, 3, normalize=True).toPandas()
+    mine = scores.toPandas()
+    for it in range(8):
+        drawn = mine.merge(draws[draws.iteration == it], on=["seed", "outer_fold"])
+        means = drawn.groupby("gene").apply(lambda p: np.average(p.run_predictive_score, weights=p.draws), include_groups=False)
+        parts = frame.set_index("gene")
+        parts["stability_score"] = 0.7 * parts.stability_score + 0.3 * means.reindex(parts.index).fillna(0)
+        width = parts.max() - parts.min()
+        scaled = ((parts - parts.min()) / width).where(width > 0, parts)
+        total = sum(w * scaled[c] for c, w in r.WEIGHTS.items())
+        one = got[got.iteration == it].set_index("gene")
+        assert np.allclose(one.composite_bootstrap.reindex(total.index), total, atol=1e-12)
+        assert one.sort_values("rank_bootstrap").index[0] == total.idxmax()
+
+
+def test_bootstrap_makes_no_rows_by_iteration(spark, runs):
+    _, df = runs
+    scores = r.run_scores(spark.createDataFrame([], "seed int, outer_fold int, gene string, mean_abs_attribution double"), df)
+    parts = scores.select("gene").distinct().withColumns({c: F.lit(0.5) for c in r.COMPONENTS})
+    plan = r.bootstrap_ci(r.bootstrap_arrays(parts, scores, 50, 1))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "iteration" not in plan
 
 
 def test_set_summary_drops_sets_without_overlap(spark):

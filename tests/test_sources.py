@@ -60,6 +60,17 @@ def test_wide_files_with_their_own_headers(spark, tmp_path):
         matrix.read_wide_matrix(spark, str(tmp_path / "c.csv")).collect()
 
 
+def test_wide_files_keep_repeated_header_lines_as_data(spark, tmp_path):
+    for i in range(12):
+        (tmp_path / f"{i}.csv").write_text(f"barcode,g1,g{i + 2}\ns{i},1,2\nbarcode,g1,g{i + 2}\n")
+    out = matrix.read_wide_matrix(spark, str(tmp_path))
+    rows = out.collect()
+    assert len(rows) == 48 and sum(r["sample_id"] == "barcode" and r["value"] is None for r in rows) == 24
+    assert {(r["gene"], r["value"]) for r in rows if r["sample_id"] == "s7"} == {("g1", 1.0), ("g9", 2.0)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_gene_sets(spark, tmp_path):
     (tmp_path / "a.gmt").write_text("S1\tdesc\tA\tB\tA\t\nshort\tx\nS2\td\tC\n")
     got = {tuple(r) for r in gene_sets.read_gene_sets(spark, str(tmp_path / "a.gmt")).collect()}
