@@ -105,7 +105,7 @@ SELECT (SELECT count(*) FROM samples) AS all_samples,
   count(DISTINCT patient_id) AS unique_patient_count,
   (SELECT count(*) FROM (SELECT patient_id FROM samples WHERE disease_label IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS duplicate_patient_count,
   (SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM (SELECT 'duplicate_' || disease_label_name || '_sample_within_patient' AS k, count(*) AS n FROM ({BEST}) WHERE r > 1 GROUP BY 1)) AS reasons,
-  (SELECT string_agg(c || '=' || n, ',' ORDER BY c) FROM (SELECT 'env_stage' AS c, count(env_stage) AS n FROM samples UNION ALL SELECT 'sex_raw', count(env_sex) FROM samples)) AS fields,
+  (SELECT string_agg(c || '=' || n, ',' ORDER BY c) FROM (SELECT 'sex_raw' AS c, count(env_sex) AS n FROM samples)) AS fields,
   (SELECT string_agg(f || '=' || zero || '/' || one, ',' ORDER BY f) FROM (SELECT row_id % 5 + 1 AS f, count(*) FILTER (WHERE disease_label = 0) AS zero, count(*) FILTER (WHERE disease_label = 1) AS one FROM ({BEST}) WHERE r = 1 GROUP BY 1)) AS folds
 FROM ({BEST})"""))
 def k10(spark, sf):

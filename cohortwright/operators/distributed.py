@@ -254,13 +254,13 @@ def bottom_by_hash(
             "_upto", F.sum("_n").over(Window.partitionBy("_group").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         )
         found = running.filter((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_n") < F.col("_need"))).select(
-            "_group", F.shiftleft("_prefix", shift).alias("_new"), (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_left"), F.col("_n").alias("_held")
+            "_group", F.shiftleft("_prefix", shift).alias("_new"), (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_left"), F.col("_n").alias("_in_cut")
         )
         # A group with fewer rows than wanted is in as a whole: nothing of it is contested any more.
-        before, cut = cut, materialize(cut.join(found, "_group", "left").select(
+        before, cut = cut, materialize(cut.drop("_held").join(found, "_group", "left").select(
             "_group", F.coalesce("_new", "_high").alias("_low"),
             F.when(F.col("_new").isNull(), F.col("_high")).otherwise(F.col("_new") + (1 << shift)).alias("_high"),
-            F.coalesce("_left", F.lit(0)).alias("_need"), F.coalesce("_held", F.lit(0)).alias("_held"),
+            F.coalesce("_left", F.lit(0)).alias("_need"), F.coalesce("_in_cut", F.lit(0)).alias("_held"),
         ))
         discard(before)
         crowded = not cut.filter(F.col("_held") > most).isEmpty()

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from cohortwright.functions.arithmetic import ratio, sigmoid
@@ -307,13 +307,15 @@ def perturb_with_model(
         "sample_id", label, vector_to_array("features").alias("_x"), vector_to_array("probability")[1].alias("original_prob")
     )
 
-    def rescored(rows: DataFrame, part: Sequence) -> DataFrame:
+    def swapped(r: Row) -> Column:
+        reference = F.when(F.col(label) == 1, F.lit(r["reference_0"])).otherwise(F.lit(r["reference_1"]))
+        return array_to_vector(F.transform("_x", lambda v, j: F.when(j == slot[r["gene"]], reference).otherwise(v)))
+
+    def rescored(rows: DataFrame, part: Sequence[Row]) -> DataFrame:
         results = []
         for i, r in enumerate(part):
-            reference = F.when(F.col(label) == 1, F.lit(r["reference_0"])).otherwise(F.lit(r["reference_1"]))
-            swapped = F.transform("_x", lambda v, j, at=slot[r["gene"]], ref=reference: F.when(j == at, ref).otherwise(v))
             one = model.copy().setFeaturesCol(f"_f{i}").setProbabilityCol(f"_p{i}").setRawPredictionCol(f"_r{i}").setPredictionCol(f"_y{i}")
-            rows = one.transform(rows.withColumn(f"_f{i}", array_to_vector(swapped))).drop(f"_f{i}", f"_r{i}", f"_y{i}")
+            rows = one.transform(rows.withColumn(f"_f{i}", swapped(r))).drop(f"_f{i}", f"_r{i}", f"_y{i}")
             results.append(F.struct(F.lit(r["gene"]).alias("gene"), vector_to_array(f"_p{i}")[1].alias("perturbed_prob")))
         return rows.select("sample_id", label, "original_prob", F.explode(F.array(*results)).alias("_o")).select(
             "sample_id", label, "_o.gene", "original_prob", "_o.perturbed_prob"
@@ -457,7 +459,9 @@ def bootstrap_arrays(
         low, high = (F.array(*[F.lit(float(v)) for v in x]) for x in (limits["min"], limits["max"]))
         ranges = _ranges(df, COMPONENTS)
         scaled = lambda v, lo, hi: F.when(hi > lo, (v - lo) / F.nullif(hi - lo, F.lit(0.0))).otherwise(v)
-        fixed = {c: scaled(v, ranges.getField(f"{c}_min"), ranges.getField(f"{c}_max")) for c, v in fixed.items()}
+        # Scaled as columns first: a row's iterations can't hold the subquery of the ranges.
+        parts = parts.withColumns({f"_{c}": scaled(v, ranges.getField(f"{c}_min"), ranges.getField(f"{c}_max")) for c, v in fixed.items()})
+        fixed = {c: F.col(f"_{c}") for c in fixed}
         stability = F.transform("_stability", lambda v, i: scaled(v, F.get(low, i), F.get(high, i)))
 
     def total(s: Column) -> Column:
