@@ -35,18 +35,28 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     pairs = edges.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(pairs.distinct())
-    state = None
     for _ in range(rounds):
         before, pairs = pairs, materialize(_star(_star(pairs, large=True), large=False))
         discard(before)
-        # Stars stay as they are when no node is both a centre and a leaf and all leaves have one centre.
-        now = pairs.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.countDistinct("b")).first()
-        if state is not None and tuple(now) == state and now[0] == now[2]:
+        # All is done when every leaf has one centre and no centre is a leaf: components are stars then.
+        leaves = pairs.groupBy("b").agg(F.count("*").alias("n"))
+        again = leaves.filter("n > 1").select("b").union(leaves.select("b").join(pairs.select(F.col("a").alias("b")), "b", "left_semi"))
+        if again.isEmpty():
             break
-        state = tuple(now)
     else:
         raise RuntimeError(f"components not settled after {rounds} rounds")
     own = pairs.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     roots = materialize(pairs.select(F.col("b").alias("node"), F.col("a").alias("root")).union(own))
     discard(pairs)
     return roots
+
+
+def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Stored (node, root) after more links (a, b): components of the old roots that they join, put behind the old ones."""
+    old = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    lifted = links.join(old("a"), "a", "left").join(old("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    up = components(lifted)
+    moved = roots.join(up.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    found = materialize(moved.union(up.join(roots, "node", "left_anti").select("node", "root")))
+    discard(up)
+    return found

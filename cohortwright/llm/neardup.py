@@ -25,7 +25,6 @@ give no rows.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -35,13 +34,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, joined_roots
 from .filters import build_filter, count_table, counts_of, passes
 from .store import discard, keyed, materialize, text_key, texts, whole
 from .words import SPACED, Words, chunks, cut, grams, mix, signed
 
 ROWS, BANDS, BLOCK = 5, 45, 512
-ROUNDS = 2
+ROUNDS = 1
 HASHES = ROWS * BANDS
 _random = np.random.default_rng(20)
 _FACTOR = _random.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -258,10 +257,11 @@ class _Graph:
         members = materialize(bucket.join(shared, "key"))
         stars = members.filter("uid != least").select(F.col("least").alias("a"), F.col("uid").alias("b")).distinct()
         tested = [materialize(self.near(stars))]
-        links = [self.confirmed(tested[0])]
+        links = self.confirmed(tested[0])
         members, all_members = materialize(members.filter("n > 2").select("uid", "key")), members
         discard(all_members)
-        roots = components(links[0])
+        roots = components(links)
+        discard(links)
         for n in range(ROUNDS + 1):
             placed = self.mixed(members, roots)
             across = self.pivots(placed, n) if n < ROUNDS else self.across(placed)
@@ -273,10 +273,10 @@ class _Graph:
             members = placed  # buckets of one component stay so
             tested.append(across)
             if new is not None and not new.isEmpty():
-                links.append(new)
-                before, roots = roots, components(functools.reduce(DataFrame.union, links))
+                before, roots = roots, joined_roots(roots, new)
                 discard(before)
-        discard(*tested, *links)
+            discard(new)
+        discard(*tested)
         return roots
 
     def mixed(self, members: DataFrame, roots: DataFrame) -> DataFrame:
