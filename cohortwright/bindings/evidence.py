@@ -272,7 +272,7 @@ def _ranked(spark, sf) -> DataFrame:
     return r.rank_entities(_composed(spark, sf))
 
 
-@book.add("r20_rank_entities", sql(f"{STEPS} SELECT gene, composite_score, final_rank, CASE WHEN coalesce(directional_consistency, 0) >= 0.7 THEN 'Stable computationally prioritized driver-associated gene with consistent counterfactual effect.' ELSE 'Computationally prioritized candidate driver gene; interpret with observational caution.' END AS notes FROM ranked", "composite_score"))
+@book.add("r20_rank_entities", sql(f"{STEPS} SELECT gene, composite_score, final_rank, CASE WHEN round(coalesce(directional_consistency, 0), 12) >= 0.7 THEN 'Stable computationally prioritized driver-associated gene with consistent counterfactual effect.' ELSE 'Computationally prioritized candidate driver gene; interpret with observational caution.' END AS notes FROM ranked", "composite_score"))
 def r20(spark, sf):
     return _ranked(spark, sf).select("gene", "composite_score", "final_rank", "notes")
 

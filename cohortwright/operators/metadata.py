@@ -272,7 +272,8 @@ NOTE_CAUTION = "Computationally prioritized candidate driver gene; interpret wit
 
 
 def note(consistency: Column | str = "directional_consistency") -> Column:
-    value = F.coalesce(as_column(consistency), F.lit(0.0))
+    # A mean that should be 0.7 may fall short of it by the order of its sum.
+    value = F.round(F.coalesce(as_column(consistency), F.lit(0.0)), 12)
     return F.when(value >= CONSISTENT, NOTE_STABLE).otherwise(NOTE_CAUTION)
 
 
