@@ -4,7 +4,7 @@
    as one repeated node, so a tree is as long as its layout, not as its text.
 2. The page of a host with the most kinds of nodes is the host's reference tree. Simple tree matching aligns every
    page of the host with it: each node gets a slot, the reference node it matches, or the path from the nearest
-   matched one. Each page of distinct content (title and longest block) votes once. A text that more than half of the
+   matched one. Each page of distinct content (title, first heading and longest block) votes once. A text that more than half of the
    pages with a slot hold there, at least MIN_PAGES, is constant: template. All else is a varying slot.
 3. A page's varying slots are its content where neither their element, role nor class names something else (menus,
    sidebars, adverts, comments, ...). With an article or main element, that one's blocks; otherwise the least
@@ -194,9 +194,9 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             page = parse(html)
             live = [b for b in page.blocks if not b.dropped]
-            longest = max((b.text for b in live), key=len, default="")
+            heading, longest = next((b.text for b in live if b.heading), ""), max((b.text for b in live), key=len, default="")
             held = [(b.node, hash64(b.text)) for b in live]
-            rows.append((host, hash64(html or ""), hash64(f"{page.title}\n{longest}"), len(set(page.labels)), pack((page.labels, page.parents)), pack(held)))
+            rows.append((host, hash64(html or ""), hash64(f"{page.title}\n{heading}\n{longest}"), len(set(page.labels)), pack((page.labels, page.parents)), pack(held)))
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
             names=["host", "page", "content", "kinds", "tree", "held"],
