@@ -238,41 +238,41 @@ def bottom_by_hash(
     cuts the group. Rows before it are in, those after it are out, and only those under it are ordered. While a cut
     prefix holds more than ``most`` rows, longer prefixes divide it; rows that share the whole hash are ranged by ``tie``.
     """
-    staged = df.withColumn("_group", _group(by))
+    staged = df.withColumn("_class", _group(by))
     # A group's hash range [_low, _high) still contested, and how many of its rows are in.
-    cut = materialize(staged.select("_group").distinct().select(
-        "_group", F.lit(0).cast("bigint").alias("_low"), F.lit(1 << 32).cast("bigint").alias("_high"), F.lit(k).cast("bigint").alias("_need"), F.lit(0).cast("bigint").alias("_held")
+    cut = materialize(staged.select("_class").distinct().select(
+        "_class", F.lit(0).cast("bigint").alias("_low"), F.lit(1 << 32).cast("bigint").alias("_high"), F.lit(k).cast("bigint").alias("_need"), F.lit(0).cast("bigint").alias("_held")
     ))
     crowded = True
     for shift in (20, 8, 0):
         if not crowded:
             break
-        inside = lookup_join(staged.select("_group", F.col(hash_col).alias("_h")), cut, "_group", "inner", stored=True)
+        inside = lookup_join(staged.select("_class", F.col(hash_col).alias("_h")), cut, "_class", "inner", stored=True)
         inside = inside.filter((F.col("_h") >= F.col("_low")) & (F.col("_h") < F.col("_high")))
-        counts = inside.groupBy("_group", "_need", F.shiftright("_h", shift).alias("_prefix")).agg(F.count("*").alias("_n"))
+        counts = inside.groupBy("_class", "_need", F.shiftright("_h", shift).alias("_prefix")).agg(F.count("*").alias("_n"))
         running = counts.withColumn(
-            "_upto", F.sum("_n").over(Window.partitionBy("_group").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            "_upto", F.sum("_n").over(Window.partitionBy("_class").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         )
         found = running.filter((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_n") < F.col("_need"))).select(
-            "_group", F.shiftleft("_prefix", shift).alias("_new"), (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_left"), F.col("_n").alias("_in_cut")
+            "_class", F.shiftleft("_prefix", shift).alias("_new"), (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_left"), F.col("_n").alias("_in_cut")
         )
         # A group with fewer rows than wanted is in as a whole: nothing of it is contested any more.
-        before, cut = cut, materialize(cut.drop("_held").join(found, "_group", "left").select(
-            "_group", F.coalesce("_new", "_high").alias("_low"),
+        before, cut = cut, materialize(cut.drop("_held").join(found, "_class", "left").select(
+            "_class", F.coalesce("_new", "_high").alias("_low"),
             F.when(F.col("_new").isNull(), F.col("_high")).otherwise(F.col("_new") + (1 << shift)).alias("_high"),
             F.coalesce("_left", F.lit(0)).alias("_need"), F.coalesce("_in_cut", F.lit(0)).alias("_held"),
         ))
         discard(before)
         crowded = not cut.filter(F.col("_held") > most).isEmpty()
-    placed = lookup_join(staged, cut.drop("_held"), "_group", "inner")
+    placed = lookup_join(staged, cut.drop("_held"), "_class", "inner")
     first = placed.filter(F.col(hash_col) < F.col("_low"))
     contested = placed.filter((F.col(hash_col) >= F.col("_low")) & (F.col(hash_col) < F.col("_high")))
     if crowded:
-        numbered = number_rows(contested, ["_group"], [hash_col, *tie], "_place")
+        numbered = number_rows(contested, ["_class"], [hash_col, *tie], "_place")
     else:
-        numbered = contested.withColumn("_place", F.row_number().over(Window.partitionBy("_group").orderBy(hash_col, *tie)))
+        numbered = contested.withColumn("_place", F.row_number().over(Window.partitionBy("_class").orderBy(hash_col, *tie)))
     chosen = numbered.filter(F.col("_place") <= F.col("_need")).drop("_place")
-    return first.unionByName(chosen).drop("_group", "_low", "_high", "_need")
+    return first.unionByName(chosen).drop("_class", "_low", "_high", "_need")
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str, extra: Mapping[str, Column] | None = None) -> DataFrame:
