@@ -218,8 +218,7 @@ def test_bootstrap_scales_each_iteration(spark, runs):
         means = drawn.groupby("gene").apply(lambda p: np.average(p.run_predictive_score, weights=p.draws), include_groups=False)
         parts = frame.set_index("gene")
         parts["stability_score"] = 0.7 * parts.stability_score + 0.3 * means.reindex(parts.index).fillna(0)
-        width = parts.max() - parts.min()
-        scaled = ((parts - parts.min()) / width).where(width > 0, parts)
+        scaled = parts.apply(lambda c: (c - c.min()) / (c.max() - c.min()) if c.max() > c.min() else c)
         total = sum(w * scaled[c] for c, w in r.WEIGHTS.items())
         one = got[got.iteration == it].set_index("gene")
         assert np.allclose(one.composite_bootstrap.reindex(total.index), total, atol=1e-12)
@@ -228,7 +227,7 @@ def test_bootstrap_scales_each_iteration(spark, runs):
 
 def test_bootstrap_makes_no_rows_by_iteration(spark, runs):
     _, df = runs
-    scores = r.run_scores(spark.createDataFrame([], "seed int, outer_fold int, gene string, mean_abs_attribution double"), df)
+    scores = d.materialize(r.run_scores(spark.createDataFrame([], "seed int, outer_fold int, gene string, mean_abs_attribution double"), df))
     parts = scores.select("gene").distinct().withColumns({c: F.lit(0.5) for c in r.COMPONENTS})
     plan = r.bootstrap_ci(r.bootstrap_arrays(parts, scores, 50, 1))._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "iteration" not in plan
