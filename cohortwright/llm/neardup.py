@@ -307,7 +307,7 @@ class _Graph:
         rarest = held.mapInArrow(lambda it: _rarest(it, counts, percent), "uid bigint, root bigint, h bigint")
         meet = rarest.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("h")
         live = materialize(rarest.join(meet, "h").select("uid").distinct())
-        rest = self.mixed(placed.join(live, "uid"), held.select(F.col("uid").alias("node"), "root"))
+        rest = self.mixed(placed.join(live, "uid", "left_semi"), held.select(F.col("uid").alias("node"), "root"))
         parts = rest.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("m"))
         rest = rest.join(parts, "key").withColumn("minor", F.col("root") != F.col("main.root"))
         blocks = lambda n: F.ceil(n / BLOCK).cast("int")
