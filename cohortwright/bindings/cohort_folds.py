@@ -105,14 +105,23 @@ SELECT (SELECT count(*) FROM samples) AS all_samples,
   count(DISTINCT patient_id) AS unique_patient_count,
   (SELECT count(*) FROM (SELECT patient_id FROM samples WHERE disease_label IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS duplicate_patient_count,
   (SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM (SELECT 'duplicate_' || disease_label_name || '_sample_within_patient' AS k, count(*) AS n FROM ({BEST}) WHERE r > 1 GROUP BY 1)) AS reasons,
-  (SELECT string_agg(c || '=' || n, ',' ORDER BY c) FROM (SELECT 'sex_raw' AS c, count(env_sex) AS n FROM samples)) AS fields,
+  (SELECT string_agg(c || '=' || n, ',' ORDER BY c) FROM (SELECT 'env_stage' AS c, count(env_stage) AS n FROM samples UNION ALL SELECT 'sex_raw', count(env_sex) FROM samples)) AS fields,
+  count(*) FILTER (WHERE r = 1 AND env_sex = 'male') AS male,
+  count(*) FILTER (WHERE r = 1 AND env_stage IS NULL) AS stage_missing,
   (SELECT string_agg(f || '=' || zero || '/' || one, ',' ORDER BY f) FROM (SELECT row_id % 5 + 1 AS f, count(*) FILTER (WHERE disease_label = 0) AS zero, count(*) FILTER (WHERE disease_label = 1) AS one FROM ({BEST}) WHERE r = 1 GROUP BY 1)) AS folds
 FROM ({BEST})"""))
 def k10(spark, sf):
     everything = view(spark, sf, "samples")
     kept, rest = cohort.pick_representative(_candidates(spark, sf))
     placed = kept.withColumn("outer_fold", F.col("row_id") % 5 + 1)
-    row = cohort.cohort_summary(kept, rest, {"metadata": everything}, placed, everything.withColumn("sex_raw", F.col("env_sex")), _candidates(spark, sf))
+    row = cohort.cohort_summary(
+        kept, rest, {"metadata": everything}, placed, everything.withColumn("sex_raw", F.col("env_sex")), _candidates(spark, sf), ("env_stage", "sex_raw")
+    )
+    # Levels of the environments that the row repeats; all of them are in k10_category_counts.
+    levels = cohort.category_counts(kept)
+
+    def rows_of(c: str, level: Column) -> Column:
+        return levels.agg(F.coalesce(F.sum(F.when((F.col("column") == c) & level, F.col("n"))), F.lit(0))).scalar()
 
     def listed(c: str, value) -> Column:
         return F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), value(e["value"])))), ",")
@@ -121,6 +130,7 @@ def k10(spark, sf):
         F.col("matched_sample_counts.metadata").alias("all_samples"), "tumor_count", "normal_count", "unique_patient_count", "duplicate_patient_count",
         listed("excluded_sample_counts_by_reason", lambda n: n.cast("string")).alias("reasons"),
         listed("available_confounder_counts", lambda n: n.cast("string")).alias("fields"),
+        rows_of("env_sex", F.col("level") == "male").alias("male"), rows_of("env_stage", F.col("level").isNull()).alias("stage_missing"),
         listed("fold_distribution", lambda c: F.concat_ws("/", c["label_0"].cast("string"), c["label_1"].cast("string"))).alias("folds"),
     )
 

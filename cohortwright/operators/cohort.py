@@ -96,11 +96,11 @@ def excluded_by_reason(log: DataFrame) -> DataFrame:
 
 def cohort_summary(
     cohort: DataFrame, excluded: DataFrame, matched: dict[str, DataFrame], folds: DataFrame, everything: DataFrame,
-    candidates: DataFrame,
+    candidates: DataFrame, fields: Sequence[str] = COMPLETENESS_FIELDS,
 ) -> DataFrame:
     """The nested one-row summary of a cohort build.
 
-    ``matched`` names the counts of matched samples. The maps are keyed by reasons, fields and folds. Environments
+    ``matched`` names the counts of matched samples. The maps are keyed by reasons, ``fields`` and folds. Environments
     can have any number of levels, so their counts are a long table of their own (``category_counts``).
     """
 
@@ -115,7 +115,7 @@ def cohort_summary(
     )
     reasons = excluded_by_reason(excluded).agg(entries(excluded_by_reason(excluded), "exclusion_reason", "n").alias("m"))
     per_fold = fold_distribution(folds).withColumn("c", F.struct("label_0", "label_1"))
-    fields = available_counts(everything)
+    available = available_counts(everything, fields)
     return counts.select(
         F.struct(*[df.agg(F.count("*")).scalar().alias(name) for name, df in matched.items()]).alias("matched_sample_counts"),
         "tumor_count",
@@ -123,7 +123,7 @@ def cohort_summary(
         "unique_patient_count",
         duplicate_patients(candidates).select("duplicate_patient_count").scalar().alias("duplicate_patient_count"),
         reasons.scalar().alias("excluded_sample_counts_by_reason"),
-        fields.agg(entries(fields, "field", "available")).scalar().alias("available_confounder_counts"),
+        available.agg(entries(available, "field", "available")).scalar().alias("available_confounder_counts"),
         per_fold.agg(entries(per_fold, "outer_fold", "c")).scalar().alias("fold_distribution"),
     )
 

@@ -111,3 +111,21 @@ def test_representatives_of_shared_sample_ids(spark):
         assert sorted((r.patient_id, r.disease_label_name, r.sample_id) for r in kept.collect()) == [("p1", "normal", "s3"), ("p1", "tumor", "s1"), ("p2", "tumor", "s4")]
         assert rest.count() == 3
     assert sorted(map(str, found[0][0].collect())) == sorted(map(str, found[1][0].collect()))
+
+
+def test_summary_counts_every_given_field(spark):
+    rows = spark.createDataFrame(
+        [("s1", "p1", 1, "tumor", "male", None), ("s2", "p2", 0, "normal", "female", "late_stage")],
+        "sample_id string, patient_id string, disease_label int, disease_label_name string, env_sex string, env_stage string",
+    )
+    none = rows.limit(0).withColumn("exclusion_reason", F.lit("x"))
+    row = cohort.cohort_summary(rows, none, {"all": rows}, rows.withColumn("outer_fold", F.lit(1)), rows, rows, ("env_sex", "env_stage")).first()
+    assert row["available_confounder_counts"] == {"env_sex": 2, "env_stage": 1}
+
+
+def test_cohort_query_keeps_its_stages_and_levels(spark):
+    from __spark_entry__ import queries
+
+    row = queries()["k10_cohort_summary"](spark, "/root/testdata/sf0.001").first()
+    assert row["fields"].startswith("env_stage=") and ",sex_raw=" in row["fields"]
+    assert 0 < row["male"] < row["tumor_count"] + row["normal_count"] and row["stage_missing"] > 0
