@@ -49,6 +49,8 @@ GRIDS: dict[str, dict[str, list]] = {
 }
 DEFAULT_MODELS = ("LR_L1", "LR_ElasticNet", "RandomForest", "GBT")
 UNLIMITED_DEPTH = 30
+# Sums over many rows leave a pure leaf a variance of rounding (about 1e-13 of targets of size 1): no ground for a split.
+ROUNDING_GAIN = 1e-9
 DRIVER_THREADS = 4
 
 
@@ -82,7 +84,7 @@ def model(name: str, params: Mapping, n: float, n_features: int, seed: int = 42,
     if name == "GBT":
         return GBTClassifier(
             stepSize=float(params["learning_rate"]), maxDepth=int(params["max_depth"]),
-            maxIter=int(params["n_estimators"]), subsamplingRate=float(params["subsample"]), seed=seed, **common,
+            maxIter=int(params["n_estimators"]), subsamplingRate=float(params["subsample"]), minInfoGain=ROUNDING_GAIN, seed=seed, **common,
         )
     if name == "MLP":
         layers = [n_features, *[int(h) for h in params["hidden_layer_sizes"]], 2]

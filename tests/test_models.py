@@ -80,3 +80,14 @@ def test_flags_and_projection(spark, data):
     v = np.linalg.svd(centred, full_matrices=False)[2][0]
     v = v * np.sign(v[np.abs(v).argmax()])
     assert np.allclose(got, centred @ v, atol=1e-8)
+
+
+def test_boosted_trees_do_not_split_on_rounding(spark):
+    """One slot separates the label; what sums over 3,000 rows leave of a pure leaf's variance is no reason to split on others."""
+    from cohortwright.operators.ranking import features_used
+
+    label = F.col("id") % 3 == 0
+    slots = F.array(*[F.rand(k) for k in range(4)], F.when(label, 4.0).otherwise(-4.0))
+    rows = spark.range(3_000).select(label.cast("double").alias("label"), array_to_vector(slots).alias("features"))
+    params = {"learning_rate": 0.03, "max_depth": 3, "n_estimators": 30, "subsample": 0.8}
+    assert features_used(m.model("GBT", params, 3_000, 5).fit(rows)) == {4}
