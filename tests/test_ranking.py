@@ -238,3 +238,18 @@ def test_set_summary_drops_sets_without_overlap(spark):
     sets = spark.createDataFrame([("p", "a"), ("p", "b"), ("p", "a"), ("q", "zz")], "pathway string, gene string")
     rows = r.set_summary(ranked, sets).collect()
     assert len(rows) == 1 and (rows[0]["pathway_gene_count"], rows[0]["top25_hits"], rows[0]["top100_hits"]) == (2, 1, 2)
+
+
+def test_environment_effects_sum_combinations_of_levels(spark):
+    """Changes count towards their own threshold, and both tables meet in one row per sample and gene."""
+    envs = spark.createDataFrame([("a", "x", "u"), ("b", "x", None), ("c", "y", "u")], "sample_id string, e1 string, e2 string")
+    attr = spark.createDataFrame([("a", "g", 1.0), ("a", "g", -3.0), ("b", "g", None), ("c", "g", 2.0), ("b", "h", 5.0)], "sample_id string, gene string, attribution_value double")
+    pert = spark.createDataFrame([("a", "g", 0.5), ("b", "g", 0.1), ("c", "k", 0.7)], "sample_id string, gene string, delta_prob double")
+    out = r.environment_effects(attr, pert, envs, ["e1", "e2"], 1)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    got = {tuple(x)[:3]: tuple(x)[3:] for x in out.collect()}
+    assert got[("e1", "x", "g")] == (2.0, pytest.approx(0.3), 2, 2)
+    assert got[("e1", "y", "g")] == (2.0, None, 1, 1) and got[("e2", "u", "g")] == (2.0, 0.5, 3, 2)
+    assert got[("e1", "x", "h")] == (5.0, None, 1, 1) and len(got) == 4
+    # One join with the environments, of rows that both tables share.
+    assert plan.count("Join ") == 1
