@@ -253,3 +253,21 @@ def test_environment_effects_sum_combinations_of_levels(spark):
     assert got[("e1", "x", "h")] == (5.0, None, 1, 1) and len(got) == 4
     # One join with the environments, of rows that both tables share.
     assert plan.count("Join ") == 1
+
+
+def test_drawn_means_by_hand():
+    """A run drawn twice counts twice, undrawn or missing runs give null, a missing score leaves its gene out; batches don't matter."""
+    import pyarrow as pa
+
+    draws = np.array([[2.0, 0.0, 1.0], [0.0, 0.0, 2.0], [1.0, 3.0, 0.0]])
+    runs, values = pa.array([[0, 1, 2], [1], [], [2, 0]], pa.list_(pa.int32())), pa.array([[1.0, 2.0, 4.0], [7.0], [], [None, 1.0]], pa.list_(pa.float64()))
+    want = [[2.0, 4.0, 5.0 / 3.0], [None, None, 7.0], [None] * 3, [None] * 3]
+    for most in (1, 3, 2_048):
+        assert r._drawn_means(runs, values, draws, most).to_pylist() == want
+
+
+def test_resampling_runs_no_expression_per_draw(spark, runs):
+    attr = spark.createDataFrame([], "seed int, outer_fold int, gene string, mean_abs_attribution double")
+    scores = r.run_scores(attr, runs[1])
+    plan = r._resampled(scores, 50, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "lambdafunction" not in plan
