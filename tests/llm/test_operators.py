@@ -6,6 +6,9 @@ from collections import Counter, defaultdict
 import brute
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
 
 from cohortwright.llm import licenses, lines, lm, mixing, neardup, quality, substrings, toxicity
@@ -112,6 +115,43 @@ def test_context_tree_deep(spark, monkeypatch, depth):
         assert r.score == pytest.approx(tree.score(texts[r.doc_id]), rel=1e-9)
 
 
+def test_context_tree_in_pieces(monkeypatch):
+    """Buckets that send a part several times, and parts that climb in several slices."""
+    texts = ["abracadabra", "abba", None, "", "ünï cödé", "abracadabra abracadabra", "日本語の日本語", "zzz"] * 2
+    rows = pa.record_batch({"bucket": [i // 6 for i in range(16)], "train": [i % 3 > 0 for i in range(16)], "text": texts})
+    keys, doc = lm.byte_grams(rows.column("text"), 7)
+    found = {}
+    for at_once in (1 << 15, 4):
+        monkeypatch.setattr(lm, "KEYS_AT_ONCE", at_once)
+        monkeypatch.setattr(lm, "GRAMS_AT_ONCE", 8 * at_once)
+        monkeypatch.setattr(lm, "chunks", lambda batch: (batch.slice(i, 1) for i in range(batch.num_rows)))
+        sent = pa.Table.from_batches(lm._asked(iter([rows]), 7, 3, 3))
+        parts = [lm._merged(sent.filter(pc.equal(sent.column("part"), p)), 7, 3).to_pylist()[0] for p in sorted(set(sent.column("part").to_pylist()))]
+        got = Counter()
+        for p in (p for p in parts if p["part"] >= 0):
+            key, n = lm._sorted_unpacked(p["keys"], p["n"]), lm._unpacked(p["counts"], p["n"])
+            got.update(dict(zip(key.tolist(), (n.astype(np.int64) + 1).tolist())))
+            for a in p["asked"]:
+                places = lm._sorted_unpacked(a["places"], a["n"]).astype(np.int64)
+                mine = set(keys[doc // 6 == a["bucket"]].tolist())
+                assert key[places].tolist() == sorted(mine & set(key.tolist()))
+        assert got == Counter(keys.tolist()) - Counter(keys[doc % 3 == 0].tolist()) + Counter(set(keys.tolist()))
+        nodes = lm._node_rows(pa.record_batch({"nodes": [p["nodes"]]}) for p in parts if p["part"] >= 0)
+        found[at_once] = pa.Table.from_batches(list(nodes)).sort_by("key").to_pydict()
+    assert found[4]["key"] == found[1 << 15]["key"] and np.allclose(found[4]["weighted"], found[1 << 15]["weighted"], rtol=1e-12)
+
+
+def test_lm_buckets_send_packed_keys():
+    """Under four bytes for a distinct gram, where a row each took more than sixteen."""
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])
+    rows = pa.table({"bucket": [0] * len(table), "train": [True] * len(table), "text": table.column("text")})
+    sent = pa.Table.from_batches(lm._asked(iter(rows.combine_chunks().to_batches()), 7, 3, 2))
+    grams = sent.filter(pc.greater_equal(sent.column("part"), 0))
+    taken = sum(len(x) for c in ("keys", "counts") for x in grams.column(c).to_pylist())
+    n = sum(grams.column("n").to_pylist())
+    assert taken < 4 * n, taken / n
+
+
 def test_lm_query_is_deep(spark, given):
     where, docs, _ = given
     out = QUERIES["op5_lm"](spark, where).collect()
