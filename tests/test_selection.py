@@ -95,3 +95,13 @@ def test_training_medians_of_a_hot_gene(spark, monkeypatch):
     for r in prepare.training_medians(long, range(5)).collect():
         want = frame[(frame.gene == r.gene) & (frame.outer_fold != r.outer_fold)].value.median()
         assert near(r["median"], want)
+
+
+def test_tasks_grow_with_rows(skewed, monkeypatch):
+    """Many small groups: tasks hold so many rows at most, and no aggregate sorts."""
+    frame, df = skewed
+    monkeypatch.setattr(s, "ROWS_PER_TASK", 50)
+    out = s.exact_quantiles(df, ["g"], "v", {"m": 0.5})
+    assert {r["g"]: r["m"] for r in out.collect()}["hot"] == pytest.approx(frame[frame.g == "hot"].v.median())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "SortAggregate" not in plan
