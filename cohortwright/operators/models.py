@@ -28,7 +28,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .distributed import lookup_join, materialize, scratch_root
+from .distributed import discard, lookup_join, materialize, scratch_root
 from .folds import inner_folds
 from .metrics import auroc
 from .prepare import fit_prep, fold_ids, select_features, training_medians
@@ -165,6 +165,8 @@ def grid_search(
     width = len(train.first()["features"])
     path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
     for fold, (fit, valid) in inner_sets.items():
+        # Stored once: each candidate's fit passes over it twice, and would work out prepared vectors again each time.
+        fit = materialize(fit.select("features", label, "weight"))
         size = fit.count()
         base = model(name, {k: v for k, v in grid[0].items() if k != "class_weight"}, size, width, seed, label)
         maps = [_param_map(base, model(name, params, size, width, seed, label)) for params in grid]
@@ -180,6 +182,7 @@ def grid_search(
         rows = scored.select("y_true", F.explode(F.array(*columns)).alias("c")).select("y_true", "c.*")
         # A folder per fold: concurrent searches must not commit into the same one.
         rows.withColumn("inner_fold", F.lit(fold)).write.parquet(f"{path}/fold_{fold}")
+        discard(fit)
     best, log = choose(spark.read.parquet(f"{path}/fold_*"), grid)
     return model(name, grid[best], train.count(), width, seed, label).fit(train), grid[best], log
 

@@ -91,3 +91,15 @@ def test_boosted_trees_do_not_split_on_rounding(spark):
     rows = spark.range(3_000).select(label.cast("double").alias("label"), array_to_vector(slots).alias("features"))
     params = {"learning_rate": 0.03, "max_depth": 3, "n_estimators": 30, "subsample": 0.8}
     assert features_used(m.model("GBT", params, 3_000, 5).fit(rows)) == {4}
+
+
+def test_inner_rows_are_stored_once(spark, monkeypatch):
+    """Candidates fit on stored vectors, not on a preparation that each fit works out again."""
+    rows = spark.createDataFrame([(float(i % 2), [float(i % 2), i / 40], i // 2 % 2 + 1, 1.0) for i in range(40)], "label double, values array<double>, inner_fold int, weight double")
+    prep = m.Prep(np.zeros(2), np.zeros(2), np.ones(2))
+    shared = rows.withColumn("features", prep.features("values"))
+    stored, original = [], m.materialize
+    monkeypatch.setattr(m, "materialize", lambda df, *a: (stored.append(df.columns), original(df, *a))[1])
+    _, best, log = m.grid_search(m.inner_sets(shared, features={1: prep.features("values"), 2: prep.features("values")}), shared, "LR_L1", [{"C": 1.0}, {"C": 5.0}])
+    assert stored.count(["features", "label", "weight"]) == 2
+    assert best == {"C": 1.0} and log.count() == 4
