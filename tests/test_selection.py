@@ -105,3 +105,12 @@ def test_tasks_grow_with_rows(skewed, monkeypatch):
     assert {r["g"]: r["m"] for r in out.collect()}["hot"] == pytest.approx(frame[frame.g == "hot"].v.median())
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "SortAggregate" not in plan
+
+
+def test_no_keys_join_without_loops(skewed):
+    """All rows as one group: joins stay hash joins."""
+    frame, df = skewed
+    out = s.exact_quantiles(df, [], "v", {"m": 0.5})
+    assert near(out.first()["m"], frame.v.median())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
