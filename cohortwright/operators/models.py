@@ -79,7 +79,7 @@ def model(name: str, params: Mapping, n: float, n_features: int, seed: int = 42,
         return RandomForestClassifier(
             numTrees=int(params["n_estimators"]), maxDepth=int(params.get("max_depth") or UNLIMITED_DEPTH),
             minInstancesPerNode=max(1, int(params.get("min_samples_split", 2)) // 2),
-            featureSubsetStrategy="sqrt", seed=seed, **common,
+            featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=True, **common,
         )
     if name == "GBT":
         return GBTClassifier(

@@ -103,3 +103,16 @@ def test_inner_rows_are_stored_once(spark, monkeypatch):
     _, best, log = m.grid_search(m.inner_sets(shared, features={1: prep.features("values"), 2: prep.features("values")}), shared, "LR_L1", [{"C": 1.0}, {"C": 5.0}])
     assert stored.count(["features", "label", "weight"]) == 2
     assert best == {"C": 1.0} and log.count() == 4
+
+
+def test_forests_remember_each_rows_node(spark, data):
+    """Else every level's tasks carry whole trees and walk all rows from the root; the trees stay the same."""
+    _, _, df = data
+    grown = m.model("RandomForest", {"n_estimators": 5}, 120, 6)
+    assert grown.getCacheNodeIds()
+    df.count()
+    stored = set(spark.sparkContext._jsc.getPersistentRDDs())
+    trees = [forest.fit(df).toDebugString.split("\n", 1)[1] for forest in (grown, grown.copy({grown.cacheNodeIds: False}))]
+    assert trees[0] == trees[1]
+    # Nothing stays stored after a fit.
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= stored
