@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -233,6 +235,43 @@ def test_bootstrap_makes_no_rows_by_iteration(spark, runs):
     assert "Generate" not in plan and "iteration" not in plan
 
 
+@pytest.mark.parametrize("dealt", [64, 1 << 16])
+def test_iterations_are_ranked_without_rows_by_iteration(spark, monkeypatch, dealt):
+    """Many ranges: ties within and across them, missing genes and values, NaN, both zeros, lists of all lengths. Nothing
+    is exploded or stored, blocks of a range are all that is shuffled."""
+    monkeypatch.setattr(r, "RANGE_ROWS", 50, raising=False)
+    monkeypatch.setattr(r, "DEALT_ROWS", dealt, raising=False)
+    rng = np.random.default_rng(4)
+    odd = [None, float("nan"), 0.0, -0.0, float("inf"), -float("inf"), -1.5]
+
+    def value(i, j):
+        if j == 0:
+            return 0.25 if i % 10 else float(rng.random())
+        return odd[rng.integers(len(odd))] if rng.random() < 0.2 else float(rng.normal())
+
+    genes = [None if i % 300 == 7 else f"g{i}" if i % 11 else f"\u00e9{i}\U0001f600" for i in range(900)]
+    rows = [(g, None if i % 101 == 5 else [value(i, j) for j in range(3 if i % 13 else i % 4)]) for i, g in enumerate(genes)]
+    arrays = d.materialize(spark.createDataFrame(rows, "gene string, composites array<double>").repartition(5))
+    stored = set(os.listdir(d.scratch_root(spark)))
+    out = r.rank_iterations(arrays)
+    assert set(os.listdir(d.scratch_root(spark))) == stored
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("Generate", "Window", "Join"))
+
+    def place(row):
+        gene, v = row
+        falling = (2, 0.0) if v is None else (0, 0.0) if v != v else (1, -v)
+        return falling, (gene is not None, (gene or "").encode())
+
+    got = out.collect()
+    assert out.columns == ["gene", "iteration", "composite_bootstrap", "rank_bootstrap"] and len(got) == sum(len(v or []) for _, v in rows)
+    for j in range(3):
+        want = sorted(((g, v[j]) for g, v in rows if v and len(v) > j), key=place)
+        mine = sorted((x for x in got if x["iteration"] == j), key=lambda x: x["rank_bootstrap"])
+        assert [x["rank_bootstrap"] for x in mine] == list(range(1, len(want) + 1))
+        assert [place((x["gene"], x["composite_bootstrap"])) for x in mine] == [place(x) for x in want]
+
+
 def test_set_summary_drops_sets_without_overlap(spark):
     ranked = spark.createDataFrame([("a", 1, 0.9, 0.5, 0.1), ("b", 30, 0.3, 0.1, 0.3)], "gene string, final_rank int, composite_score double, attribution_score double, perturbation_score double")
     sets = spark.createDataFrame([("p", "a"), ("p", "b"), ("p", "a"), ("q", "zz")], "pathway string, gene string")
