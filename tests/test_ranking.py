@@ -235,6 +235,38 @@ def test_bootstrap_makes_no_rows_by_iteration(spark, runs):
     assert "Generate" not in plan and "iteration" not in plan
 
 
+@pytest.mark.parametrize("normalize", [False, True])
+def test_bootstrap_stores_no_iterations(spark, runs, normalize):
+    """Iterations are worked out by numpy alone, from stored rows that hold none of them; the sums are those of single steps."""
+    scores = d.materialize(r.run_scores(spark.createDataFrame([], "seed int, outer_fold int, gene string, mean_abs_attribution double"), runs[1]))
+    rng = np.random.default_rng(9)
+    names = [*sorted(x["gene"] for x in scores.select("gene").distinct().collect()), "unscored", None, None]
+    rows = [(g, *(None if rng.random() < 0.2 else float(rng.normal()) for _ in r.COMPONENTS)) for g in names]
+    parts = spark.createDataFrame(rows, f"gene string, {', '.join(f'{c} double' for c in r.COMPONENTS)}")
+    before = set(os.listdir(d.scratch_root(spark)))
+    arrays = r.bootstrap_arrays(parts, scores, 7, 3, normalize=normalize)
+    for name in set(os.listdir(d.scratch_root(spark))) - before:
+        assert not [f for f in spark.read.parquet(f"{d.scratch_root(spark)}/{name}").schema if f.name in ("_resampled", "_stability")]
+    plan = arrays._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and "Join" not in plan and plan.count("ArrowEvalPython") == 1
+    means = {x["gene"]: x["_resampled"] for x in r._resampled(scores, 7, 3).collect()}
+    value = {c: np.array([x[i + 1] or 0.0 for x in rows]) for i, c in enumerate(r.COMPONENTS)}
+    got = {}
+    for x in arrays.collect():
+        got.setdefault(x["gene"], []).append(x["composites"])
+    for it in range(7):
+        total = np.zeros(len(rows))
+        for c, w in r.WEIGHTS.items():
+            v = value[c]
+            if c == "stability_score":
+                v = 0.7 * v + 0.3 * np.array([(means.get(g) or [None] * 7)[it] or 0.0 for g in names])
+            total = total + w * ((v - v.min()) / (v.max() - v.min()) if normalize else v)
+        want = {}
+        for g, t in zip(names, total):
+            want.setdefault(g, []).append(t)
+        assert {g: sorted(v[it] for v in vs) for g, vs in got.items()} == {g: sorted(v) for g, v in want.items()}
+
+
 @pytest.mark.parametrize("dealt", [64, 1 << 16])
 def test_iterations_are_ranked_without_rows_by_iteration(spark, monkeypatch, dealt):
     """Many ranges: ties within and across them, missing genes and values, NaN, both zeros, lists of all lengths. Nothing
